@@ -14,7 +14,7 @@ import numpy as np
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Code points handled at once; bounds a worker's memory, not what is read.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -61,20 +61,17 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), starts
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _INVERSE):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_table: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(10, int(n).bit_length())
-    p, q = _powers(size)
-    return p[:n], q[:n]
+    """The first n powers of the base and of its inverse; one table, grown as needed."""
+    if len(_table[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            p = np.full(n + n // 4, base, np.uint64)
+            p[0] = 1
+            _table[k] = np.multiply.accumulate(p)
+    return _table[0][:n], _table[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -101,6 +98,18 @@ class Spans:
         return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = BATCH_CHARS) -> np.ndarray:
+    """Hashes of spans in order of their starts, as Spans gives them, over pieces of bounded size."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+        out[at:to] = Spans(values[base : int(ends[to - 1])]).hash(starts[at:to] - base, ends[at:to] - base)
+        at = to
+    return out
+
+
 def runs(inside: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True that cross no text boundary."""
     n = len(inside)

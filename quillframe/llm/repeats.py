@@ -68,7 +68,8 @@ def anchors(word_hashes: np.ndarray, doc_words: np.ndarray, min_words: int, gram
         low[own] = np.minimum(low[own], d)
         high[own] = d
     keep = high >= 0
-    return chosen[keep], h[keep], low[keep], high[keep]
+    # least hashes are small ones: mixed again, they spread evenly over all ranges
+    return chosen[keep], K.mix(h[keep]) >> np.uint64(1), low[keep], high[keep]
 
 
 class Words:
@@ -93,6 +94,8 @@ class Words:
 
 
 def _anchor_rows(src: DataFrame, min_words: int) -> DataFrame:
+    """(id, key, h, times): the different anchors of each text and how often it has them."""
+
     def run(it):
         import pyarrow as pa
 
@@ -100,33 +103,44 @@ def _anchor_rows(src: DataFrame, min_words: int) -> DataFrame:
             texts = frames.strings(batch, "text")
             for a, b in K.batches(texts):
                 w = Words(texts[a:b])
-                at, g, low, high = anchors(w.hashes, w.docs, min_words)
+                at, g, _, _ = anchors(w.hashes, w.docs, min_words)
                 doc = np.searchsorted(w.docs, at, "right") - 1
-                take = pa.array(doc + a)
-                place = (at - w.docs[doc]) << 32 | low << 16 | high
-                yield pa.RecordBatch.from_arrays([frames.column(batch, "id").take(take), frames.column(batch, "key").take(take), pa.array(place), pa.array(g.astype(np.int64))], names=["id", "key", "place", "h"])
-
-    return src.mapInArrow(run, "id long, key int, place long, h long")
-
+                order = np.lexsort((g, doc))
+                doc, g = doc[order], g[order]
+                new = np.ones(len(g), bool)
+                new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
+                first = np.flatnonzero(new)
+                take = pa.array(doc[first] + a)
+                times = np.diff(np.append(first, len(g)))
+                yield pa.RecordBatch.from_arrays([frames.column(batch, "id").take(take), frames.column(batch, "key").take(take), pa.array(g[first].astype(np.int64)), pa.array(times.astype(np.int32))], names=["id", "key", "h", "times"])
 
-def placed(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Position of an anchor in its text, and the distances (from, to) of its windows."""
-    return place >> 32, (place >> 16) & 0xFFFF, place & 0xFFFF
+    return src.mapInArrow(run, "id long, key int, h long, times int")
 
 
 def candidates(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, key, text, place array, h array) of the texts that have anchors which occur repeatedly.
+    """(id, key, text, h array) of the texts that have anchors which occur repeatedly.
 
     id and key name a text, so equal rows are one text and repeat nothing by that.
     """
     if not 1 <= min_words < 1 << 16:
         raise ValueError("min_words must be from 1 to 65535")
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").withColumn("key", frames.text_key())
-    rows = _anchor_rows(src, min_words).withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
-    each = rows.groupBy("id", "key").agg(F.collect_list(F.struct("place", "h")).alias("at"))
-    each = each.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("at.place").alias("place"), F.col("at.h").alias("h"))
+    rows = _anchor_rows(src, min_words).withColumn("n", F.sum("times").over(Window.partitionBy("h"))).where("n > 1")
+    each = rows.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("h").alias("h"))
     on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
-    return src.join(each.hint("shuffle_hash"), on).select("id", "key", "text", "place", "h")
+    return src.join(each.hint("shuffle_hash"), on).select("id", "key", "text", "h")
+
+
+def repeated_anchors(w: Words, hashes, min_words: int):
+    """(document, position among all words, hash, from, to) of the anchors of a batch that are in its
+    lists of hashes (an Arrow array of lists)."""
+    at, g, low, high = anchors(w.hashes, w.docs, min_words)
+    doc = np.searchsorted(w.docs, at, "right") - 1
+    sizes = hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    own = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64)
+    wanted = K.mix(hashes.flatten().to_numpy(zero_copy_only=False).astype(np.uint64) + own * np.uint64(0x9E3779B97F4A7C15))
+    keep = np.isin(K.mix(g + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), wanted)
+    return doc[keep], at[keep], g[keep], low[keep], high[keep]
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:

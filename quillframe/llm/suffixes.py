@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, functions as F
 
 
 from . import frames, kernels as K
-from .repeats import MIN_WORDS, Words, candidates, islands, pack, part_of, placed, unpack
+from .repeats import MIN_WORDS, Words, candidates, islands, pack, part_of, repeated_anchors, unpack
 
 #: Bytes of suffixes that a task sorts at once; what exceeds it makes another run.
-RUN_BYTES = 48 << 20
+RUN_BYTES = 16 << 20
 
 
 def common(a: bytes, b: bytes, at: int) -> int:
@@ -136,7 +136,7 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int, in
     return order, shared
 
 
-def window_groups(shared_words, right_words, left: list[bytes], low, high, rank, min_words: int):
+def window_groups(shared_words, right_words, left: list[bytes], low, high, rank, ranges, min_words: int):
     """For suffixes in order, which windows that start d words before them (column d) are repeated.
 
     Returns (copy, first, least): copy and first are boolean tables of suffixes x d, least the rank
@@ -145,12 +145,12 @@ def window_groups(shared_words, right_words, left: list[bytes], low, high, rank,
     n, reach = len(right_words), int(high.max()) + 1 if len(high) else 0
     copy, first = np.zeros((n, reach), bool), np.zeros((n, reach), bool)
     least = np.full((n, reach), -1, np.int64)
-    if n < 2:
+    if not n:
         return copy, first, least
     data = np.frombuffer(b"".join(left), np.uint8)
     ends = np.flatnonzero(data == 0x20)
     starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    hashes = K.Spans(data).hash(starts, ends)
+    hashes = K.hash_spans(data, starts, ends)
     sizes = np.cumsum([len(x) for x in left])
     upto = np.searchsorted(ends, sizes, "left")  # words of all left contexts up to this one
     lefts = np.diff(upto, prepend=0)
@@ -171,7 +171,9 @@ def window_groups(shared_words, right_words, left: list[bytes], low, high, rank,
         new[1:] = h[1:] != h[:-1]
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(h)))
-        many = np.repeat(size > 1, size)
+        # a suffix that stands for a range of places is repeated by itself
+        several = (size > 1) | np.logical_or.reduceat(ranges[own], start) if len(start) else size > 1
+        many = np.repeat(several, size)
         first[own[new & many], d] = True
         copy[own[~new], d] = True
         least[own[many], d] = np.repeat(rank[own[start]], size)[many]
@@ -205,42 +207,48 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
             m = np.concatenate(meta)
             order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
             m = m[order]
-            part = part_of(m[:, 6], parts)
+            part = part_of(m[:, 7], parts)
             cut = np.flatnonzero(np.diff(part, prepend=-1))
             names, blobs = part[cut], []
             for a, b in zip(cut, np.append(cut[1:], len(part))):
                 own = order[a:b].tolist()
                 shared, sizes, rests = front_code([keys[k] for k in own])
                 left = [lefts[k] for k in own]
-                blobs.append(pack(shared, sizes, rests, np.array([len(x) for x in left], np.int32), b"".join(left), m[a:b, :6]))
+                blobs.append(pack(shared, sizes, rests, np.array([len(x) for x in left], np.int32), b"".join(left), m[a:b, :7]))
             keys.clear(), lefts.clear(), meta.clear()
             size = 0
             return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "run"])
 
         for batch in it:
             texts = frames.strings(batch, "text")
-            ids, ks = frames.column(batch, "id"), frames.column(batch, "key").to_pylist()
-            nulls, ids = ids.is_null().to_pylist(), ids.fill_null(0).to_pylist()
-            places, hashes = frames.column(batch, "place"), frames.column(batch, "h")
+            ids, ks = frames.column(batch, "id"), frames.column(batch, "key").to_numpy(zero_copy_only=False)
+            nulls, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+            hashes = frames.column(batch, "h")
             for a, b in K.batches(texts):
                 w = Words(texts[a:b])
                 data, at = w.joined()
-                for k in range(a, b):
-                    lo, hi = int(w.docs[k - a]), int(w.docs[k - a + 1])
-                    pos, near, far = placed(np.array(places[k].as_py(), np.int64))
-                    h = np.array(hashes[k].as_py(), np.int64)
-                    p = pos + lo
-                    x = at[p].tolist()
-                    y = at[np.minimum(p - near + min_words, hi)].tolist()
-                    z = at[np.maximum(p - far, lo)].tolist()
-                    head = h.astype(">i8").tobytes()
-                    for j, (i, end, start) in enumerate(zip(x, y, z)):
-                        keys.append(head[8 * j : 8 * j + 8] + data[i:end])
-                        lefts.append(data[start:i])
-                        size += end - start + 130
-                    meta.append(np.stack([np.full(len(p), nulls[k]), np.full(len(p), ids[k]), np.full(len(p), ks[k]), pos, near, far, h], 1).astype(np.int64))
-                    if size > RUN_BYTES:
-                        yield flush()
+                doc, p, h, near, far = repeated_anchors(w, hashes.slice(a, b - a), min_words)
+                pos = p - w.docs[doc]
+                m = np.stack([nulls[a + doc], ids[a + doc], ks[a + doc], pos, pos, near, far, h.astype(np.int64)], 1).astype(np.int64)
+                # places in a row: runs of one word have equal suffixes, which become one with a range
+                row = np.zeros(len(p), bool)
+                row[1:] = (np.diff(p) == 1) & (doc[1:] == doc[:-1]) & (h[1:] == h[:-1]) & (near[1:] == near[:-1]) & (far[1:] == far[:-1])
+                heads = h.astype(">i8").tobytes()
+                x, y = at[p].tolist(), at[np.minimum(p - near + min_words, w.docs[doc + 1])].tolist()
+                z = at[np.maximum(p - far, w.docs[doc])].tolist()
+                kept: list[int] = []
+                for j, (i, end, start, again) in enumerate(zip(x, y, z, row.tolist())):
+                    key, left = heads[8 * j : 8 * j + 8] + data[i:end], data[start:i]
+                    if again and key == keys[-1] and left == lefts[-1]:
+                        m[kept[-1], 4] += 1
+                        continue
+                    kept.append(j)
+                    keys.append(key)
+                    lefts.append(left)
+                    size += end - start + 130
+                meta.append(m[kept])
+                if size > RUN_BYTES:
+                    yield flush()
         if keys:
             yield flush()
 
@@ -253,13 +261,13 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
             runs.append((front_decode(shared, sizes, rests), shared.tolist()))
             end = np.cumsum(left_sizes).tolist()
             lefts.append([left[e - n : e] for e, n in zip(end, left_sizes.tolist())])
-            metas.append(meta.reshape(-1, 6))
+            metas.append(meta.reshape(-1, 7))
         order, shared = merge(runs)
         n = len(order)
         words = np.fromiter((runs[r][0][k].count(b" ", 8, s) if s > 8 else 0 for (r, k), s in zip(order, shared)), np.int64, n)
         right = np.fromiter((runs[r][0][k].count(b" ", 8) for r, k in order), np.int64, n)
         first_row = np.cumsum([0] + [len(m) for m in metas])
-        meta = np.concatenate(metas)[np.array([first_row[r] + k for r, k in order], np.int64)] if n else np.empty((0, 6), np.int64)
+        meta = np.concatenate(metas)[np.array([first_row[r] + k for r, k in order], np.int64)] if n else np.empty((0, 7), np.int64)
         left = [lefts[r][k] for r, k in order]
         # the same text may come from equal rows: one occurrence
         by = np.lexsort((meta[:, 3], meta[:, 2], meta[:, 1], meta[:, 0]))
@@ -272,14 +280,22 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
         low = np.minimum.reduceat(words, np.concatenate([[0], keep[:-1] + 1])) if len(keep) else words[:0]
         where = np.empty(len(keep), np.int64)
         where[rank[keep]] = keep
-        copy, first, least = window_groups(low, right[keep], [left[k] for k in keep.tolist()], meta[keep, 4], meta[keep, 5], rank[keep], min_words)
+        copy, first, least = window_groups(low, right[keep], [left[k] for k in keep.tolist()], meta[keep, 5], meta[keep, 6], rank[keep], meta[keep, 4] > meta[keep, 3], min_words)
         out = []
         for table_, is_copy in ((copy, True), (first, False)):
             r, a, b = _bit_runs(table_)
             own = meta[keep[r]]
             lowest = np.array([least[i, x : y + 1].min() for i, x, y in zip(r.tolist(), a.tolist(), b.tolist())], np.int64)
-            src = meta[where[lowest]] if len(r) else np.empty((0, 6), np.int64)
-            out.append((own[:, 1], own[:, 0] != 0, own[:, 2], np.full(len(r), is_copy), own[:, 3] - b, own[:, 3] - a + min_words, src[:, 1], src[:, 0] != 0))
+            src = meta[where[lowest]] if len(r) else np.empty((0, 7), np.int64)
+            rows = (own[:, 1], own[:, 0] != 0, own[:, 2], np.full(len(r), is_copy), own[:, 3] - b, (own[:, 4] if is_copy else own[:, 3]) - a + min_words, src[:, 1], src[:, 0] != 0)
+            out.append(rows)
+            if not is_copy and (more := own[:, 4] > own[:, 3]).any():
+                # the other places of a range are copies of its first
+                rest = [c[more] for c in rows]
+                rest[3] = np.full(len(rest[3]), True)
+                rest[4] = rest[4] + 1
+                rest[5] = rest[5] + (own[:, 4] - own[:, 3])[more]
+                out.append(tuple(rest))
         c = [np.concatenate(x) for x in zip(*out)]
         return pa.table({"id": pa.array(c[0], mask=c[1]), "key": pa.array(c[2].astype(np.int32)), "copy": pa.array(c[3]), "s": pa.array(c[4].astype(np.int32)), "e": pa.array(c[5].astype(np.int32)), "first_id": pa.array(c[6], mask=c[7])})
 
