@@ -25,12 +25,12 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from . import frames, kernels as K
-from .repeats import MIN_WORDS, Words, candidates, islands, pack, part_of, placed, unpack
+from .repeats import MIN_WORDS, Words, candidates, islands, pack, part_of, repeated_anchors, unpack
 
 #: Bytes of places that a task holds before it sends them.
-SEND_BYTES = 32 << 20
+SEND_BYTES = 16 << 20
 #: Shards for each shuffle partition: smaller indexes need less memory at a time.
-SHARDS = 2
+SHARDS = 4
 #: Words of a sequence that stream in one piece.
 PIECE = 160
 
@@ -196,6 +196,22 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def pmod(x: np.ndarray, n: int) -> np.ndarray:
+    return np.mod(x.astype(np.int64), n)
+
+
+def word_runs(hashes: np.ndarray, docs: np.ndarray, over: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of more than `over` equal words start and end; docs: where texts start."""
+    if not len(hashes):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    new = np.ones(len(hashes) + 1, bool)
+    new[1:-1] = hashes[1:] != hashes[:-1]
+    new[docs] = True
+    at = np.flatnonzero(new)
+    size = np.diff(at)
+    return at[:-1][size > over], at[1:][size > over]
+
+
 def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(id, key, s, e, longest): passages found, not yet united."""
     shards = frames.partitions(df.sparkSession) * SHARDS
@@ -204,37 +220,47 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
         import pyarrow as pa
 
         held: list[tuple] = []
+        runs: list[np.ndarray] = []
         size = 0
 
         def flush():
             nonlocal size
             meta = np.concatenate([m for m, _ in held])
             texts = [t for _, ts in held for t in ts]
+            direct = np.concatenate(runs)
+            names = np.unique(np.concatenate([meta[:, 0], direct[:, 0]]))
             order = np.argsort(meta[:, 0], kind="stable")
-            part = meta[order, 0]
-            cut = np.flatnonzero(np.diff(part, prepend=-1))
+            cut = np.searchsorted(meta[order, 0], np.append(names, names[-1:] + 1))
             blobs = []
-            for a, b in zip(cut, np.append(cut[1:], len(part))):
+            for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
                 own = order[a:b]
-                blobs.append(pack(meta[own, 1:], np.array([len(texts[k]) for k in own.tolist()], np.int64), b"".join([texts[k] for k in own.tolist()])))
-            held.clear()
+                pieces = [texts[x] for x in own.tolist()]
+                blobs.append(pack(meta[own, 1:], np.array([len(x) for x in pieces], np.int64), b"".join(pieces), direct[direct[:, 0] == names[k], 1:]))
+            held.clear(), runs.clear()
             size = 0
-            return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(blobs, pa.binary())], names=["shard", "places"])
+            return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], names=["shard", "places"])
 
         for batch in it:
             texts = frames.strings(batch, "text")
             ids, ks = frames.column(batch, "id"), frames.column(batch, "key").to_numpy(zero_copy_only=False)
             nulls, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
-            places, hashes = frames.column(batch, "place"), frames.column(batch, "h")
+            hashes = frames.column(batch, "h")
             for a, b in K.batches(texts):
                 w = Words(texts[a:b])
                 data, at = w.joined()
-                sizes = places.slice(a, b - a).value_lengths().to_numpy(zero_copy_only=False)
-                doc = np.repeat(np.arange(b - a), sizes)
-                pos, near, far = placed(places.slice(a, b - a).flatten().to_numpy(zero_copy_only=False))
-                shard = part_of(hashes.slice(a, b - a).flatten().to_numpy(zero_copy_only=False), shards)
-                s = pos - far + w.docs[doc]
-                e = np.minimum(pos - near + min_words + w.docs[doc], w.docs[doc + 1])
+                doc, p, h, near, far = repeated_anchors(w, hashes.slice(a, b - a), min_words)
+                shard = part_of(h, shards)
+                s, e = p - far, np.minimum(p - near + min_words, w.docs[doc + 1])
+                # a long run of one word repeats itself: it is reported at once, and only its ends,
+                # in which all other windows that it touches are, go to the shard
+                first, last = word_runs(w.hashes, w.docs, 2 * min_words)
+                own = np.searchsorted(w.docs, first, "right") - 1
+                runs.append(np.stack([pmod(ids[a + own], shards), nulls[a + own], ids[a + own], ks[a + own], first - w.docs[own], last - w.docs[own]], 1).astype(np.int64))
+                k = np.searchsorted(first, p, "right") - 1
+                keep = np.ones(len(p), bool)
+                ok = k >= 0
+                keep[ok] = ~((p[ok] > first[k[ok]]) & (p[ok] < last[k[ok]] - min_words))
+                doc, shard, s, e = doc[keep], shard[keep], s[keep], e[keep]
                 order = np.lexsort((e, s, doc, shard))
                 doc, shard, s, e = doc[order], shard[order], s[order], e[order]
                 group = shard * (b - a) + doc
@@ -252,23 +278,24 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
                 size += sum(map(len, cutouts)) + 100 * len(cutouts)
                 if size > SEND_BYTES:
                     yield flush()
-        if held and sum(len(m) for m, _ in held):
+        if held:
             yield flush()
 
     def search(key, table):
         import pyarrow as pa
 
-        metas, lengths, parts = [], [], []
+        metas, lengths, parts, direct = [], [], [], []
         for blob in table.column("places").to_pylist():
-            meta, size, data = unpack(blob, np.int64, np.int64, None)
+            meta, size, data, runs = unpack(blob, np.int64, np.int64, None, np.int64)
             metas.append(meta.reshape(-1, 4))
             lengths.append(size)
             parts.append(data)
+            direct.append(runs.reshape(-1, 5))
         meta, size = np.concatenate(metas), np.concatenate(lengths)
         data = np.frombuffer(b"".join(parts), np.uint8)
         del parts
         end = np.cumsum(size)
-        whole = K.Spans(data).hash(end - size, end).view(np.int64)
+        whole = K.hash_spans(data, end - size, end).view(np.int64)
         # equal rows of the table give one place
         order = np.lexsort((whole, meta[:, 3], meta[:, 2], meta[:, 1], meta[:, 0]))
         rows = np.column_stack([meta, whole])[order]
@@ -285,7 +312,7 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
         data = data[K.ranges(end[kind] - size[kind], size[kind])]
         stop = np.flatnonzero(data == 0x20)
         start = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
-        hashes = K.Spans(data).hash(start, stop)
+        hashes = K.hash_spans(data, start, stop)
         names, words = np.unique(hashes, return_inverse=True)
         words = words + 1
         ends = np.searchsorted(stop, np.cumsum(size[kind]))
@@ -301,7 +328,11 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
         rows = own[by[K.ranges(at[seq], n)]]
         s = meta[rows, 3] + np.repeat(pos, n)
         longest = np.repeat(longest, n)
-        return pa.table({"id": pa.array(meta[rows, 1], mask=meta[rows, 0] != 0), "key": pa.array(meta[rows, 2].astype(np.int32)), "s": pa.array(s.astype(np.int32)), "e": pa.array((s + longest).astype(np.int32)), "longest": pa.array(longest.astype(np.int32))})
+        found = np.column_stack([meta[rows, :3], s, s + longest, longest])
+        # a run of n equal words repeats n - 1 of them
+        direct = np.unique(np.concatenate(direct), axis=0)
+        found = np.concatenate([found, np.column_stack([direct, direct[:, 4] - direct[:, 3] - 1])])
+        return pa.table({"id": pa.array(found[:, 1], mask=found[:, 0] != 0), "key": pa.array(found[:, 2].astype(np.int32)), "s": pa.array(found[:, 3].astype(np.int32)), "e": pa.array(found[:, 4].astype(np.int32)), "longest": pa.array(found[:, 5].astype(np.int32))})
 
     places = candidates(df, id_col, text_col, min_words).mapInArrow(send, "shard int, places binary")
     return places.groupBy("shard").applyInArrow(search, "id long, key int, s int, e int, longest int")
