@@ -56,7 +56,7 @@ def _parts(text: str) -> dict[str, str]:
         "_chars": f"length({text})",
         "_bare": f"length(translate({text}, '{SYMBOLS}', ''))",
         "_upper": f"length({text}) - length(regexp_replace({text}, r'\\p{{Lu}}', ''))",
-        "_solid": f"length(translate({text}, ' \\t\\n\\r\\f', ''))",
+        "_solid": f"length(translate({text}, ' \t\n\r' || chr(12), ''))",
     }
 
 
