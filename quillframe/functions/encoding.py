@@ -99,8 +99,16 @@ def fixed(text: str, language: str | None = None, normalize_quotes: bool = False
 
 def has_mojibake(c: Column | str) -> Column:
     """Whether a garbled sequence is there. Carriage returns with line feeds count as one."""
-    pattern = "|".join("".join(f"\\x{{{ord(x):x}}}" for x in k) for k in _long())
-    return F.rlike(rx.col(c), F.lit(pattern))
+    shown = lambda k: "".join(f"\\x{{{ord(x):x}}}" for x in k)
+    branches = []
+    firsts = sorted({k[0] for k in _long()})
+    for first in firsts:
+        rest = [k[1:] for k in _long() if k[0] == first]
+        singles = "".join(shown(r) for r in rest if len(r) == 1)
+        options = [f"[{singles}]"] * bool(singles) + [shown(r) for r in rest if len(r) > 1]
+        branches.append(f"{shown(first)}(?:{'|'.join(options)})")
+    # most characters start none of these
+    return F.rlike(rx.col(c), F.lit(f"(?=[{''.join(map(shown, firsts))}])(?:{'|'.join(branches)})"))
 
 
 def _suspect(c: Column) -> Column:

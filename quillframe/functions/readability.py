@@ -86,9 +86,10 @@ def is_gibberish(c: Column | str, threshold: float = 0.35) -> Column:
     letters = F.lower(rx.sub(F.coalesce(rx.col(c), F.lit("")), r"\P{L}"))
     n = F.length(letters)
     vowels = (n - F.length(F.translate(letters, "aeiou", ""))) / n
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.substring(letters, i, F.lit(2)))
+    chars = F.split(letters, "")
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(n, F.lit(1))), lambda p, q: F.concat(p, q))  # the last is NULL
     common = F.size(F.filter(pairs, lambda p: p.isin(COMMON_BIGRAMS))) / (n - 1)
-    different = F.size(F.array_distinct(F.split(letters, ""))) / n
+    different = F.size(F.array_distinct(chars)) / n
     score = (F.when((vowels >= 0.2) & (vowels <= 0.6), 0.0).otherwise(1.0) + (1.0 - common) + F.when(different > 0.8, different).otherwise(0.0)) / 3.0
     return F.when(n < 3, True).otherwise(score > threshold)
 

@@ -111,8 +111,9 @@ def jaccard_similarity(a: Column | str, b: Column | str, mode: str = "char") ->
 
 def bigrams(c: Column) -> Column:
     """Different pairs of neighbouring characters."""
-    n = F.length(c)
-    return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))))
+    chars = F.split(c, "")
+    pairs = F.zip_with(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, F.lit(2), F.size(chars)), lambda p, q: F.concat(p, q))
+    return F.array_distinct(pairs)
 
 
 def sorensen_dice_coefficient(a: Column | str, b: Column | str) -> Column:
