@@ -73,8 +73,11 @@ class Generator:
         return F.element_at(F.array(*map(F.lit, values)), (F.pmod(self._h(salt), F.lit(len(values))) + 1).cast("int"))
 
     def chars(self, n: int, alphabet: str, salt: str) -> Column:
-        one = lambda k: F.substring(F.lit(alphabet), (F.pmod(self._h(f"{salt}{k}"), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
-        return F.concat(*[one(k) for k in range(n)]) if n else F.lit("")
+        if not n:
+            return F.lit("")
+        hashed = lambda k: F.xxhash64(F.lit(self.seed), self.key, F.lit(salt), k)
+        one = lambda k: F.substring(F.lit(alphabet), (F.pmod(hashed(k), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
+        return F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(n)), one))
 
     def digits(self, n: int, salt: str) -> Column:
         return self.chars(n, "0123456789", salt)

@@ -167,16 +167,13 @@ def language_confusion(spark, d):
 _KEY = "o_orderkey"
 
 
-def _ids(spark, d) -> DataFrame:
+def _ids(spark, d, *kinds: str) -> DataFrame:
     g = generate.Generator(_KEY, "es_ES", 3)
+    made = {"card": g.credit_card_number, "ean": g.ean13, "ptnif": g.portuguese_nif}
     o = _t(spark, d, "orders").select(_KEY)
-    made = {
-        "card": g.credit_card_number(), "iban": g.iban(), "ean": g.ean13(), "isbn10": g.isbn10(), "isbn13": g.isbn13(), "dni": g.dni(), "nie": g.nie(), "cpf": g.cpf(),
-        "cnpj": g.cnpj(), "ptnif": g.portuguese_nif(), "rut": g.rut(), "cuil": g.cuil(), "ssn": g.ssn(), "nino": g.nino(),
-    }
     # the last character goes one on for odd keys
     spoilt = lambda c: F.when(F.col(_KEY) % 2 == 0, c).otherwise(F.concat(F.substring(c, F.lit(1), F.length(c) - 1), F.translate(F.substring(c, -1, 1), "0123456789TRWAGMYFPDXBNJZSQVHLCKE", "1234567890RWAGMYFPDXBNJZSQVHLCKET")))
-    return o.select(_KEY, *[c.alias(n) for n, c in made.items()]).select(_KEY, *[spoilt(F.col(n)).alias(n) for n in made])
+    return o.select(_KEY, *[made.get(k, getattr(g, k, None))().alias(k) for k in kinds]).select(_KEY, *[spoilt(F.col(k)).alias(k) for k in kinds])
 
 
 _CHECKS: dict[str, tuple[str, Callable]] = {
@@ -188,7 +185,7 @@ _CHECKS: dict[str, tuple[str, Callable]] = {
 
 def _check_query(kind: str) -> Query:
     column, fn = _CHECKS[kind]
-    return lambda spark, d: _ids(spark, d).select(_KEY, fn(column).alias("valid"))
+    return lambda spark, d: _ids(spark, d, column).select(_KEY, fn(column).alias("valid"))
 
 
 for _kind in _CHECKS:
@@ -226,7 +223,7 @@ def validate_bsn(spark, d):
 
 @query("parse_nif")
 def parse_nif(spark, d):
-    return _ids(spark, d).select(_KEY, ids.nif_parse("dni").alias("parsed"), ids.european_nif("dni")["type"].alias("kind"), ids.validate_id_document("dni", "ES").alias("valid"))
+    return _ids(spark, d, "dni").select(_KEY, ids.nif_parse("dni").alias("parsed"), ids.european_nif("dni")["type"].alias("kind"), ids.validate_id_document("dni", "ES").alias("valid"))
 
 
 @query("email_domains", "select c_custkey, case c_custkey % 4 when 0 then 'free' when 1 then 'disposable' when 2 then 'corporate' else 'invalid' end as kind from customer")
