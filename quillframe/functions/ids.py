@@ -63,15 +63,22 @@ def _control(c: Column) -> Column:
 def nif_parse(c: Column | str) -> Column:
     """The document in canonical form if it is a valid DNI, NIE or CIF, else NULL."""
     dni, nie, cif = "[0-9]{8}[A-HJ-NP-TV-Z]", "[XYZ][0-9]{7}[A-HJ-NP-TV-Z]", "[A-HJ-NP-SU-W][0-9]{7}[0-9A-J]"
-    s = F.upper(F.trim(rx.col(c)))
-    s = F.when(_is(s, f"{dni}|{nie}|{cif}"), s).otherwise(nif_padding(s))
-    doubled = [D.at(s, k) * 2 for k in (2, 4, 6)]
-    total = reduce(lambda a, b: a + b, [F.floor(x / 10) + x % 10 for x in doubled] + [D.at(s, k) for k in (1, 3, 5, 7)])
-    digit = ((10 - total % 10) % 10).cast("int")
-    last, first = F.substring(s, 9, 1), F.substring(s, 1, 1)
-    as_letter, as_digit = last == D.pick("JABCDEFGHI", digit), last == digit.cast("string")
-    good = F.when(first.isin(*"PQRSW"), as_letter).when(first.isin(*"ABEH"), as_digit).otherwise(as_letter | as_digit)
-    return F.when(_is(s, f"{dni}|{nie}"), F.when(F.substring(s, 9, 1) == _control(s), s)).when(_is(s, cif), F.when(good, s))
+    raw = F.upper(F.trim(rx.col(c)))
+    canonical = rx.let(raw, lambda s: F.when(_is(s, f"{dni}|{nie}|{cif}"), s).otherwise(nif_padding(s)))
+
+    def parsed(s: Column) -> Column:
+        doubled = [D.at(s, k) * 2 for k in (2, 4, 6)]
+        total = reduce(lambda a, b: a + b, [F.floor(x / 10) + x % 10 for x in doubled] + [D.at(s, k) for k in (1, 3, 5, 7)])
+        last, first = F.substring(s, 9, 1), F.substring(s, 1, 1)
+
+        def good(digit: Column) -> Column:
+            as_letter, as_digit = last == D.pick("JABCDEFGHI", digit), last == digit.cast("string")
+            return F.when(first.isin(*"PQRSW"), as_letter).when(first.isin(*"ABEH"), as_digit).otherwise(as_letter | as_digit)
+
+        control = rx.let(((10 - total % 10) % 10).cast("int"), good)
+        return F.when(_is(s, f"{dni}|{nie}"), F.when(last == _control(s), s)).when(_is(s, cif), F.when(control, s))
+
+    return rx.let(canonical, parsed)
 
 
 def nif_letter(c: Column | str) -> Column:
@@ -111,19 +118,24 @@ def validate_spanish_nif(kind: str, c: Column | str) -> Column:
 def european_nif(c: Column | str, find_letter: bool = False) -> Column:
     """Struct (type, country, code, value) of a European tax number, NULL if it is none. Without a
     known prefix it is taken for Spanish; for others only the start must fit."""
-    s = F.upper(F.replace(rx.col(c), F.lit(" "), F.lit("")))
-    known = F.substring(s, 1, 2).isin(_CODES)
-    s = F.when(known, s).otherwise(F.concat(F.lit("ES"), s))
-    code, value = F.substring(s, 1, 2), F.substring(s, F.lit(3), F.length(s))
-    if find_letter:
-        value = F.when(_is(value, "[0-9]{7,8}"), nif_letter(value)).otherwise(value)
-    spanish = nif_parse(value)
-    kind = F.when(is_valid_dni(spanish), "DNI").when(is_valid_nie(spanish), "NIE").when(is_valid_cif(spanish), "CIF")
+    raw = F.upper(F.replace(rx.col(c), F.lit(" "), F.lit("")))
     make = lambda t, country, cc, v: F.struct(t.alias("type"), F.lit(country).alias("country"), F.lit(cc).alias("code"), v.alias("value"))
-    out = F.when((code == "ES") & kind.isNotNull(), make(kind, "SPAIN", "ES", spanish))
-    for cc, (pattern, country) in _NATIONAL.items():
-        out = out.when(F.rlike(s, F.lit(f"^{cc}{pattern}")), make(F.lit("NIF"), country, cc, s if cc in ("PT", "IT", "EL") else value))
-    return F.when(F.length(rx.col(c)) > 0, out)
+
+    def found(s: Column) -> Column:
+        code, value = F.substring(s, 1, 2), F.substring(s, F.lit(3), F.length(s))
+        lettered = rx.let(value, lambda v: F.when(_is(v, "[0-9]{7,8}"), nif_letter(v)).otherwise(v)) if find_letter else value
+
+        def spanish(v: Column) -> Column:
+            kind = F.when(is_valid_dni(v), "DNI").when(is_valid_nie(v), "NIE").when(is_valid_cif(v), "CIF")
+            return F.when(kind.isNotNull(), make(kind, "SPAIN", "ES", v))
+
+        out = F.when(code == "ES", rx.let(nif_parse(lettered), spanish))
+        for cc, (pattern, country) in _NATIONAL.items():
+            out = out.when(F.rlike(s, F.lit(f"^{cc}{pattern}")), make(F.lit("NIF"), country, cc, s if cc in ("PT", "IT", "EL") else value))
+        return out
+
+    tagged = rx.let(raw, lambda s: F.when(F.substring(s, 1, 2).isin(_CODES), s).otherwise(F.concat(F.lit("ES"), s)))
+    return F.when(F.length(rx.col(c)) > 0, rx.let(tagged, found))
 
 
 def is_valid_ssn(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions import digits as D, ids
+from ..functions import digits as D, ids, rx
 from ..functions.normalize import strip_accents
 from ..locales import LOCALES
 
@@ -45,11 +45,6 @@ _POOLS: dict[str, list[str]] = {
 _ALNUM, _ALPHA, _HEX = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with the value computed once however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 class Generator:
     """Columns of fake values for a locale; key is any column (of integers, say) that tells rows apart."""
 
@@ -170,20 +165,20 @@ class Generator:
 
     # documents and money
     def dni(self) -> Column:
-        return let(self.digits(8, "dni"), ids.nif_letter)
+        return rx.let(self.digits(8, "dni"), ids.nif_letter)
 
     def nie(self) -> Column:
-        return let(F.concat(self.chars(1, "XYZ", "nie"), self.digits(7, "nie")), ids.nif_letter)
+        return rx.let(F.concat(self.chars(1, "XYZ", "nie"), self.digits(7, "nie")), ids.nif_letter)
 
     def _luhn(self, body: Column) -> Column:
-        return let(body, lambda b: F.concat(b, ((10 - D.luhn_sum(b, True) % 10) % 10).cast("string")))
+        return rx.let(body, lambda b: F.concat(b, ((10 - D.luhn_sum(b, True) % 10) % 10).cast("string")))
 
     def credit_card_number(self) -> Column:
         return self._luhn(F.concat(F.lit("4"), self.digits(14, "card")))
 
     def _mod11(self, body: Column, weights: list[int]) -> Column:
         rest = lambda b: D.weighted(b, weights) % 11
-        return let(body, lambda b: F.concat(b, let(rest(b), lambda r: F.when(r < 2, 0).otherwise(11 - r)).cast("string")))
+        return rx.let(body, lambda b: F.concat(b, rx.let(rest(b), lambda r: F.when(r < 2, 0).otherwise(11 - r)).cast("string")))
 
     def cpf(self) -> Column:
         one = self._mod11(F.concat(F.lit("1"), self.digits(8, "cpf")), list(range(10, 1, -1)))
@@ -198,11 +193,11 @@ class Generator:
 
     def rut(self) -> Column:
         rest = lambda b: 11 - D.weighted(b, [3, 2, 7, 6, 5, 4, 3, 2]) % 11
-        return let(F.concat(F.lit("1"), self.digits(7, "rut")), lambda b: F.concat(b, F.lit("-"), let(rest(b), lambda r: F.when(r == 11, "0").when(r == 10, "K").otherwise(r.cast("string")))))
+        return rx.let(F.concat(F.lit("1"), self.digits(7, "rut")), lambda b: F.concat(b, F.lit("-"), rx.let(rest(b), lambda r: F.when(r == 11, "0").when(r == 10, "K").otherwise(r.cast("string")))))
 
     def cuil(self) -> Column:
         rest = lambda b: 11 - D.weighted(b, [5, 4, 3, 2, 7, 6, 5, 4, 3, 2]) % 11
-        return let(F.concat(F.lit("20"), self.digits(8, "cuil")), lambda b: F.concat(b, let(rest(b), lambda r: F.when(r == 11, 0).when(r == 10, 9).otherwise(r)).cast("string")))
+        return rx.let(F.concat(F.lit("20"), self.digits(8, "cuil")), lambda b: F.concat(b, rx.let(rest(b), lambda r: F.when(r == 11, 0).when(r == 10, 9).otherwise(r)).cast("string")))
 
     def ssn(self) -> Column:
         return F.concat_ws("-", self.integer(100, 665, "ssn1").cast("string"), self.integer(10, 99, "ssn2").cast("string"), self.integer(1000, 9999, "ssn3").cast("string"))
@@ -220,7 +215,7 @@ class Generator:
         country = self.profile.iso if self.profile else "ES"
         tail = "".join(str(ord(c) - 55) for c in country) + "00"
         rest = lambda b: F.aggregate(F.split(F.concat(b, F.lit(tail)), ""), F.lit(0), lambda a, x: F.when(x == "", a).otherwise((a * 10 + F.instr(F.lit("0123456789"), x) - 1) % 97))
-        return let(self.digits(20, "iban"), lambda b: F.concat(F.lit(country), F.lpad((98 - rest(b)).cast("string"), 2, "0"), b))
+        return rx.let(self.digits(20, "iban"), lambda b: F.concat(F.lit(country), F.lpad((98 - rest(b)).cast("string"), 2, "0"), b))
 
     def bban(self) -> Column:
         return self.digits(20, "bban")
@@ -229,17 +224,17 @@ class Generator:
         return F.concat(self.chars(4, _ALPHA, "swift"), F.lit(self.profile.iso if self.profile else "ES"), self.chars(2, _ALNUM, "swiftl"))
 
     def ean13(self) -> Column:
-        return let(self.digits(12, "ean"), lambda b: F.concat(b, ((10 - D.weighted(b, [1, 3] * 6) % 10) % 10).cast("string")))
+        return rx.let(self.digits(12, "ean"), lambda b: F.concat(b, ((10 - D.weighted(b, [1, 3] * 6) % 10) % 10).cast("string")))
 
     def ean8(self) -> Column:
-        return let(self.digits(7, "ean8"), lambda b: F.concat(b, ((10 - D.weighted(b, [3, 1, 3, 1, 3, 1, 3]) % 10) % 10).cast("string")))
+        return rx.let(self.digits(7, "ean8"), lambda b: F.concat(b, ((10 - D.weighted(b, [3, 1, 3, 1, 3, 1, 3]) % 10) % 10).cast("string")))
 
     def isbn13(self) -> Column:
-        return let(F.concat(F.lit("978"), self.digits(9, "isbn")), lambda b: F.concat(b, ((10 - D.weighted(b, [1, 3] * 6) % 10) % 10).cast("string")))
+        return rx.let(F.concat(F.lit("978"), self.digits(9, "isbn")), lambda b: F.concat(b, ((10 - D.weighted(b, [1, 3] * 6) % 10) % 10).cast("string")))
 
     def isbn10(self) -> Column:
         rest = lambda b: (11 - D.weighted(b, list(range(10, 1, -1))) % 11) % 11
-        return let(self.digits(9, "isbn10"), lambda b: F.concat(b, let(rest(b), lambda r: F.when(r == 10, "X").otherwise(r.cast("string")))))
+        return rx.let(self.digits(9, "isbn10"), lambda b: F.concat(b, rx.let(rest(b), lambda r: F.when(r == 10, "X").otherwise(r.cast("string")))))
 
     def number(self, low: float = 0, high: float = 999999, decimals: int = 0) -> Column:
         return F.round(low + self.fraction("num") * (high - low), decimals)

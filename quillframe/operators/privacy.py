@@ -21,7 +21,7 @@ ENTITY = "struct<text:string,pii_type:string,start:int,end:int,confidence:double
 
 #: In the order in which equals are preferred.
 UNIVERSAL = (
-    ("EMAIL", r"\b[\w.%+-&&[\p{ASCII}]]+@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}\b"),
+    ("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}\b"),
     ("CREDIT_CARD", r"\b(?:4\d{3}|5[1-5]\d\d|3[47]\d\d|6(?:011|5\d\d))[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{2,4}\b"),
     ("IBAN", r"\b[A-Z]{2}\d\d\s?[\dA-Z]{4}\s?(?:[\dA-Z]{4}\s?){2,7}[\dA-Z]{1,4}\b"),
     ("IP_ADDRESS", r"\b(?:\d{1,3}\.){3}\d{1,3}\b|\b(?:[\da-fA-F]{1,4}:){7}[\da-fA-F]{1,4}\b"),

@@ -28,7 +28,7 @@ CASES = [
     (ops.split_all, {"a,b;c  d": ["a", "b", "c", "d"], "": []}),
     (lambda c: ops.normalize_phone(c, "ES"), {"612 345 678": "+34612345678", "+1 (2)": "+12", "0612": "+34612", " ": " "}),
     (lambda c: ops.normalize_phone(c, "ZZ"), {"612 345": "612345"}),
-    (normalize.normalize_text, {"  Hello,   World! ": "hello, world", "U.S.A": "u.s.a", "": "", " ": "", "'q' \"r\"": "q r"}),
+    (normalize.normalize_text, {"  Hello,   World! ": "hello, world!", "Hi there!": "hi there", "U.S.A": "u.s.a", "": "", " ": "", "'q' \"r\"": "q r"}),
     (lambda c: normalize.normalize_text(c, remove_accents=True), {"José García": "jose garcia"}),
     (lambda c: normalize.prepare_for_comparison(c, True), {"Café (x) [y] Ñandú-1": "cafe nandu 1"}),
     (normalize.strip_quotes, {"a, b \"c\" 'd'": "ab c d"}),
@@ -70,7 +70,7 @@ CASES = [
     (lambda c: reduction.reduce_letters(c, "es", 0), {"Ñandú": "Nandu"}),
     (encoding.fix_encoding, {"JosÃ© GarcÃ\xada": "José García", "plain": "plain", None: None, "a\r\nb\x00": "a\nb"}),
     (encoding.has_mojibake, {"JosÃ©": True, "José": False}),
-    (ids.nif_parse, {"12345678Z": "12345678Z", "12345678A": None, "X1234567L": "X1234567L", "1234567L": "01234567L", "A58818501": "A58818501"}),
+    (ids.nif_parse, {"12345678Z": "12345678Z", "12345678A": None, "X1234567L": "X1234567L", "1234567L": "01234567L", "A58818509": "A58818509", "A58818501": None}),
     (ids.nif_padding, {"123-Z": "00000123Z", "X12L": "X0000012L"}),
     (ids.nif_letter, {"12345678": "12345678Z", "abc": "abc"}),
     (ids.is_valid_dni, {"12345678Z": True, "00000000T": False}),
