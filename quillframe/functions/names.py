@@ -63,16 +63,21 @@ def parse_company(c: Column | str, legal_forms: list[str] | None = None) -> Colu
     s = F.regexp_replace(s, r"^ASOC[ .]", " ASOCIACION ")
     for a, b in _PHRASES:
         s = F.replace(s, F.lit(a), F.lit(b))
-    s = erase_lrspaces(s)
     forms = legal_forms or DEFAULT_FORMS
-    tight = F.translate(s, " .()", "")
-    form = reduce(lambda a, x: a.when(tight.endswith(x), F.lit(x)), forms, F.when(F.lit(False), F.lit("")))
-    # the form's letters may be spaced or dotted: they are cut off from the end
-    cut = reduce(lambda a, x: a.when(form == x, F.regexp_replace(s, "".join(f"{ch}[ .()]*" for ch in x) + "$", "")), forms, F.when(F.lit(False), s))
-    name = rx.sub(cut, r"[\s(.]+\z")
-    keyword = reduce(lambda a, x: F.when(F.instr(s, x) > 0, F.lit("ASOCIACION" if x == "ASSOCIACIO" else x)).otherwise(a), _KEYWORDS, F.lit(None).cast("string"))
-    ok = form.isNotNull() & (name != "") & F.rlike(s, F.lit("[ .(]"))
-    return F.when(s != "", F.struct(F.when(ok, name).otherwise(s).alias("name"), F.when(ok, form).otherwise(keyword).alias("form")))
+
+    def parsed(s: Column) -> Column:
+        first = lambda t: reduce(lambda a, x: a.when(t.endswith(x), F.lit(x)), forms, F.when(F.lit(False), F.lit("")))
+        keyword = reduce(lambda a, x: F.when(F.instr(s, x) > 0, F.lit("ASOCIACION" if x == "ASSOCIACIO" else x)).otherwise(a), _KEYWORDS, F.lit(None).cast("string"))
+
+        def named(form: Column) -> Column:
+            # the form's letters may be spaced or dotted: they are cut off from the end
+            cut = reduce(lambda a, x: a.when(form == x, F.regexp_replace(s, "".join(f"{ch}[ .()]*" for ch in x) + "$", "")), forms, F.when(F.lit(False), s))
+            return rx.let(rx.sub(cut, r"[\s(.]+\z"), lambda name: F.when(form.isNotNull() & (name != "") & F.rlike(s, F.lit("[ .(]")), F.struct(name.alias("name"), form.alias("form"))))
+
+        split = rx.let(rx.let(F.translate(s, " .()", ""), first), named)
+        return F.when(s != "", F.coalesce(split, F.struct(s.alias("name"), keyword.alias("form"))))
+
+    return rx.let(erase_lrspaces(s), parsed)
 
 
 def get_companyname(c: Column | str, form: Column | str) -> Column:
