@@ -41,15 +41,15 @@ class Vocabulary:
         for t, r in self.ranks.items():
             self.tokens[r] = t
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.pairs: dict[tuple[int, int], int] = {}
+        keys, values = [], []
         get = self.ranks.get
         for t, r in self.ranks.items():
             for i in range(1, len(t)):
                 a, b = get(t[:i]), get(t[i:])
                 if a is not None and b is not None:
-                    self.pairs[a, b] = r
-        keys = np.array([a << 32 | b for a, b in self.pairs], np.int64)
-        self._table(keys, np.array(list(self.pairs.values()), np.int32))
+                    keys.append(a << 32 | b)
+                    values.append(r)
+        self._table(np.array(keys, np.int64), np.array(values, np.int32))
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
@@ -97,7 +97,14 @@ class Vocabulary:
         width = 1 << (n - 1).bit_length()
         none = (1 << 62, 0)
         tree = [none] * (2 * width)
-        pair = self.pairs.get
+        known: dict[tuple[int, int], int | None] = {}
+
+        def pair(ab: tuple[int, int]) -> int | None:
+            if ab not in known:
+                r = int(self.rank(np.array(ab[:1]), np.array(ab[1:]))[0])
+                known[ab] = None if r == _NONE else r
+            return known[ab]
+
         for i in range(n - 1):
             r = pair((ids[i], ids[i + 1]))
             if r is not None:
@@ -332,49 +339,54 @@ def _broadcast(df: DataFrame, vocabulary: str):
         return df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary: about a megabyte, whatever the corpus
 
 
-def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """df with the token ids of its texts as an array of integers."""
+def _encoded(encoder: Encoder, texts: list):
+    """Arrow lists of the ids of texts."""
+    import pyarrow as pa
+
+    plain = [t or "" for t in texts]
+    starts, parts, total = [np.zeros(1, np.int64)], [], 0
+    for a, b in K.batches(plain):
+        at, ids = encoder.encode(plain[a:b])
+        starts.append(at[1:] + total)
+        parts.append(ids)
+        total += len(ids)
+    flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
+    mask = pa.array([t is None for t in texts], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(starts).astype(np.int32)), pa.array(flat), mask=mask)
+
+
+def _decoded(vocab: Vocabulary, lists):
+    """Arrow strings of the texts that lists of ids stand for."""
+    import pyarrow as pa
+
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = lists.flatten().cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+    data, lengths = vocab.decode(ids)
+    at = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
+    raw = data.tobytes()
+    nulls = lists.is_null().to_pylist()
+    return pa.array([None if no else raw[a:b].decode("utf-8", "replace") for no, a, b in zip(nulls, at[:-1].tolist(), at[1:].tolist())], pa.string())
+
+
+_IDS = ArrayType(IntegerType())
+
+
+def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabulary: str = DEFAULT_VOCABULARY, decoded_col: str | None = None) -> DataFrame:
+    """df with the token ids of its texts as an array of integers; with decoded_col, also with what
+    these ids decode to, in the same pass."""
     content = _broadcast(df, vocabulary)
     state: dict = {}
 
     def make(batch):
-        import pyarrow as pa
-
         if "encoder" not in state:
             state["encoder"] = Encoder(loaded(content.value))
-        encoder = state["encoder"]
-        texts = frames.strings(batch, text_col)
-        plain = [t or "" for t in texts]
-        starts, parts, total = [np.zeros(1, np.int64)], [], 0
-        for a, b in K.batches(plain):
-            at, ids = encoder.encode(plain[a:b])
-            starts.append(at[1:] + total)
-            parts.append(ids)
-            total += len(ids)
-        offsets = np.concatenate(starts).astype(np.int32)
-        flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        mask = pa.array([t is None for t in texts], pa.bool_())
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=mask)]
-
-    return frames.add_columns(df, make, [StructField(ids_col, ArrayType(IntegerType()))])
+        ids = _encoded(state["encoder"], frames.strings(batch, text_col))
+        return [ids] if decoded_col is None else [ids, _decoded(state["encoder"].vocabulary, ids)]
+
+    return frames.add_columns(df, make, [StructField(ids_col, _IDS)] + [StructField(decoded_col, StringType())] * (decoded_col is not None))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """df with the texts that its arrays of token ids stand for."""
     content = _broadcast(df, vocabulary)
-
-    def make(batch):
-        import pyarrow as pa
-
-        vocab = loaded(content.value)
-        lists = frames.column(batch, ids_col)
-        flat = lists.flatten()
-        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = flat.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-        data, lengths = vocab.decode(ids)
-        at = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
-        raw = data.tobytes()
-        nulls = lists.is_null().to_pylist()
-        return [pa.array([None if no else raw[a:b].decode("utf-8", "replace") for no, a, b in zip(nulls, at[:-1].tolist(), at[1:].tolist())], pa.string())]
-
-    return frames.add_columns(df, make, [StructField(text_col, StringType())])
+    return frames.add_columns(df, lambda batch: [_decoded(loaded(content.value), frames.column(batch, ids_col))], [StructField(text_col, StringType())])

@@ -70,6 +70,10 @@ def text_key(text_col: str = "text"):
     return F.hash(F.col(text_col))
 
 
+#: Rows that a worker computes and holds at a time.
+ROWS = 256
+
+
 def add_columns(df: DataFrame, make, fields: list) -> DataFrame:
     """df with the columns that make(batch) -> list of Arrow arrays computes, after those it has.
     A column of the same name (in any case) is replaced; all others pass through as they are."""
@@ -82,9 +86,11 @@ def add_columns(df: DataFrame, make, fields: list) -> DataFrame:
     def run(it):
         import pyarrow as pa
 
-        for batch in it:
-            at = {n: i for i, n in enumerate(batch.schema.names)}
-            yield pa.RecordBatch.from_arrays([batch.column(at[c]) for c in keep] + list(make(batch)), names=names)
+        for whole in it:
+            at = {n: i for i, n in enumerate(whole.schema.names)}
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                yield pa.RecordBatch.from_arrays([batch.column(at[c]) for c in keep] + list(make(batch)), names=names)
 
     ship(df.sparkSession)
     return df.mapInArrow(run, StructType([df.schema[c] for c in keep] + list(fields)))

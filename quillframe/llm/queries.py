@@ -43,7 +43,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids, decoded): all documents encoded, and what their ids decode to."""
-    return bpe.decode(bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"))).select("doc_id", "ids", "decoded")
+    return bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), decoded_col="decoded").select("doc_id", "ids", "decoded")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
