@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, decoded): token ids of each document, and the text they decode to."""
-    return bpe.decode(bpe.encode(docs.select("doc_id", "text"))).select("doc_id", "ids", "decoded")
+    return bpe.encode(docs.select("doc_id", "text"), decoded_col="decoded").select("doc_id", "ids", "decoded")
 
 
 STAGES = [
