@@ -86,7 +86,7 @@ def replicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 
 def oracle_sql(source: str = "documents", seed: int = SEED) -> str:
-    """(doc_id, source, copy) of replicate() with equal weights, in DuckDB's SQL."""
+    """(doc_id, source, copy, text) of replicate() with equal weights, in DuckDB's SQL."""
     return f"""
 with recursive sizes as (
   select source, sum(length(text)) as chars from {source} group by source having sum(length(text)) > 0
@@ -101,9 +101,9 @@ with recursive sizes as (
 ), bounds as (
   select source, parts, list(c order by k) as cs from steps group by source, parts
 ), u as (
-  select d.doc_id, d.source, b.cs, ('0x' || substr(md5(concat('{seed}:', d.doc_id, ':', md5(coalesce(d.text, '')), ':', j)), 1, 13))::bigint / 4503599627370496.0::double as u
+  select d.doc_id, d.source, d.text, b.cs, ('0x' || substr(md5(concat('{seed}:', d.doc_id, ':', md5(coalesce(d.text, '')), ':', j)), 1, 13))::bigint / 4503599627370496.0::double as u
   from {source} d join bounds b on d.source is not distinct from b.source, unnest(range(1, b.parts + 1)) as t(j)
 ), n as (
-  select doc_id, source, sum(len(list_filter(cs, lambda c: c <= u)))::bigint as n from u group by doc_id, source
+  select doc_id, source, text, sum(len(list_filter(cs, lambda c: c <= u)))::bigint as n from u group by doc_id, source, text
 )
-select doc_id, source, unnest(range(n)) as copy from n where n > 0"""
+select doc_id, source, text, unnest(range(n)) as copy from n where n > 0"""

@@ -19,10 +19,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source, copy): all documents replicated to equal weights of the sources. The texts
-    move with their copies, as in the mixed corpus; copies of a text differ in order only."""
+    """(doc_id, source, copy, text): all documents replicated to equal weights of the sources, whole
+    texts in the global random order."""
     mixed = mixing.replicate(_documents(spark, sf_dir), copy_col="copy")
-    return mixed.select("doc_id", "source", "copy")
+    return mixed.select("doc_id", "source", "copy", "text")
 
 
 def op3_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
