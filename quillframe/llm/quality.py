@@ -5,7 +5,9 @@ expressions: counts of words and lines, symbols and punctuation against words, s
 words, repeated lines against lines. A text passes if no rule fails.
 
 Defined results: NULL, empty and blank texts have 0 words and NULL for the other measures, and fail
-`n_words`. Texts of any length are measured whole. Rows are independent; repeated rows get repeated
+`n_words`. Texts of any length are measured whole. Distinct words over all words fall as any prose
+grows, so drop_low_quality() takes their mean ratio over consecutive blocks of BLOCK words of the
+whole text instead, and has no greatest number of words; RULES and measure() are what the SQL says. Rows are independent; repeated rows get repeated
 results, an empty table an empty one. Columns of df named like a measure, `failed` or `keep` are
 replaced by measure(); drop_low_quality() returns df's own columns untouched.
 """
@@ -45,6 +47,10 @@ RULES = (
     Rule("ellipsis_line_ratio", None, 0.3, 20),
 )
 MEASURES = tuple(r.measure for r in RULES)
+#: Words of a block; texts of no more words have the ratio of all their words.
+BLOCK = 1000
+#: The rules of drop_low_quality(): as RULES, but none rejects a text for its length.
+KEEP_RULES = tuple(r._replace(high=None) if r.measure == "n_words" else r._replace(measure="block_unique_ratio") if r.measure == "unique_word_ratio" else r for r in RULES)
 
 
 def _parts(text: str) -> dict[str, str]:
@@ -72,6 +78,7 @@ def _measures() -> dict[str, str]:
         "alpha_word_ratio": f"size(filter(_words, w -> w rlike r'\\p{{L}}')) / {n}",
         "stop_word_ratio": f"size(filter(split(_plain, ' '), w -> w in ({stop}))) / {n}",
         "unique_word_ratio": f"size(array_distinct(_words)) / {n}",
+        "block_unique_ratio": f"size(array_distinct(transform(_words, (w, i) -> concat(i div {BLOCK}, ' ', w)))) / {n}",
         "repeated_line_ratio": f"1 - size(array_distinct(_lines)) / {lines}",
         "bullet_line_ratio": f"size(filter(_lines, l -> substr(l, 1, 1) in ('-', '*', '•'))) / {lines}",
         "ellipsis_line_ratio": f"size(filter(_lines, l -> l like '%...' or l like '%…')) / {lines}",
@@ -97,7 +104,7 @@ def measure(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
     return third.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], *MEASURES, "failed", (F.col("failed") == "").alias("keep"))
 
 
-def drop_low_quality(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def drop_low_quality(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = KEEP_RULES) -> DataFrame:
     """The rows of df whose texts pass all rules."""
     held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), df[text_col].alias("_text"))
     first = held.select("row", *[F.expr(e).alias(n) for n, e in _parts("_text").items()])

@@ -43,6 +43,18 @@ def test_quality_long(spark):
     assert quality.measure(df).first()["n_words"] == 120000
 
 
+def test_quality_keeps_long_prose(spark):
+    """No clean text is dropped for its length alone; repetition is, at any length."""
+    rng = random.Random(5)
+    words = [f"w{chr(97 + k % 26)}{k}" if k % 4 else "the" for k in range(4000)]
+    prose = " ".join(rng.choices(words, k=60000))
+    long = " ".join([prose] * 17)
+    rows = [(1, prose), (2, long), (3, "the cat sat on a mat " * 200000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(long.split()) > 1_000_000 and len(set(prose.split())) / 60000 < 0.15
+    assert sorted(r["doc_id"] for r in quality.drop_low_quality(df).select("doc_id").collect()) == [1, 2]
+
+
 # --- mixing
 
 
