@@ -61,7 +61,15 @@ def anchors(word_hashes: np.ndarray, doc_words: np.ndarray, min_words: int, gram
     same = h[order[1:]] == h[order[:-1]]
     before[order[1:][same]] = chosen[order[:-1][same]]
     low, high = np.full(len(chosen), width, np.int64), np.full(len(chosen), -1, np.int64)
-    for d in range(width):
+    if width > 64 and len(chosen):  # each window's anchor at once: the next place of its least hash
+        i = np.flatnonzero(least)
+        names, own = np.unique(h, return_inverse=True)
+        places = np.sort(own * (n + 1) + chosen)
+        p = places[np.searchsorted(places, np.searchsorted(names, least[i]) * (n + 1) + i)] % (n + 1)
+        k = np.searchsorted(chosen, p)
+        np.minimum.at(low, k, p - i)
+        np.maximum.at(high, k, p - i)
+    for d in range(width if width <= 64 else 0):
         i = chosen - d
         own = np.flatnonzero((i >= 0) & (i > before))
         own = own[least[i[own]] == h[own]]

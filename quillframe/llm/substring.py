@@ -8,10 +8,13 @@ one text's places are united, so that no word of it is there twice. The shard's
 * the Burrows-Wheeler transform of the words in a wavelet matrix of packed bits with block counts,
 * the lengths of the prefixes that neighbouring suffixes share, under a table of range minima.
 
-The places stream through the index from right to left, all at once: each step is a backward search
-for one more word. Where fewer than two occurrences are left, the interval is widened to its parent
-until the word fits. This gives the matching statistics: for every position the length of the
-longest passage from there that occurs twice. Those of at least `min_words` words are reported.
+For every position the longest passage from there that occurs twice follows from its suffix and the
+two next to it. Those of at least `min_words` words are reported. (Other texts can be streamed
+through the index by backward search: matches().)
+
+A passage is found whole, whatever its length and the number of shards: windows of min_words, twice,
+four times as many words and so on have anchors of their own, and where a longest match of `size` to
+2 * size words may start, 2 * size words go to the shard of the anchor of its first `size` words.
 
 Equal places are indexed twice and searched once, which changes no answer to "at least two".
 
@@ -21,11 +24,13 @@ with NULL ids are told apart by their texts, white space between words doesn't c
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import frames, kernels as K
-from .repeats import MIN_WORDS, Words, candidates, islands, pack, part_of, repeated_anchors, unpack
+from .repeats import GRAM, MIN_WORDS, Words, anchors, islands, pack, part_of, unpack
 
 #: Bytes of places that a task holds before it sends them.
 SEND_BYTES = 16 << 20
@@ -121,17 +126,38 @@ class Index:
             a[same] += 1 << level
             b[same] += 1 << level
             lcp[1:n] += same.astype(kind) << level
-        self.n = n
-        self.minima = [lcp]
-        while len(self.minima[-1]) > 1 << (len(self.minima) - 1):
-            half = 1 << (len(self.minima) - 1)
-            m = self.minima[-1]
-            self.minima.append(np.minimum(m[:-half], m[half:]) if len(m) > half else m[:0])
-            if not len(self.minima[-1]):
-                self.minima.pop()
-                break
+        self.n, self.lcp, self.suffixes, self.count = n, lcp, suffixes, count
+        self.text, self.is_word, self.ends = text, is_word, sequence_ends
         self.starts = np.concatenate([[0, s], s + np.cumsum(np.bincount(words, minlength=count)[1:count])])[: count + 1]
-        self.transform = Wavelet(text[suffixes - 1], count)
+
+    @cached_property
+    def minima(self) -> list[np.ndarray]:
+        minima = [self.lcp]
+        while len(minima[-1]) > 1 << (len(minima) - 1):
+            half = 1 << (len(minima) - 1)
+            m = minima[-1]
+            minima.append(np.minimum(m[:-half], m[half:]) if len(m) > half else m[:0])
+            if not len(minima[-1]):
+                minima.pop()
+                break
+        return minima
+
+    @cached_property
+    def transform(self) -> Wavelet:
+        return Wavelet(self.text[self.suffixes - 1], self.count)
+
+    def repeats(self, sequences: int, least: int):
+        """(sequence, position, length) of the longest repeated passages of the first `sequences` indexed
+        ones, from positions that can't be continued to the left: whole, however long they are."""
+        longest = np.empty(self.n, np.int64)
+        longest[self.suffixes] = np.maximum(self.lcp[: self.n], self.lcp[1:])
+        longest = longest[self.is_word][: self.ends[sequences - 1] if sequences else 0]
+        first = np.zeros(len(longest), bool)
+        first[np.concatenate([[0], self.ends[: sequences - 1]]).astype(np.int64)[:sequences]] = True
+        before = np.concatenate([[0], longest[:-1]])
+        at = np.flatnonzero((longest >= least) & (first | (before != longest + 1)))
+        seq = np.searchsorted(self.ends[:sequences], at, "right")
+        return seq, at - np.concatenate([[0], self.ends])[seq], longest[at]
 
     def search(self, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the passages that have one more word in front."""
@@ -212,6 +238,82 @@ def word_runs(hashes: np.ndarray, docs: np.ndarray, over: int) -> tuple[np.ndarr
     return at[:-1][size > over], at[1:][size > over]
 
 
+def _scales(w: Words, min_words: int):
+    """(size, base, position, text, hash, head hash, forced, near, far) of the anchors of windows of
+    min_words, 2 min_words, 4 min_words and so on words, as far as the texts reach.
+
+    The head hash is that of the words from one before the anchor's first window: where all
+    occurrences of the anchor agree in it, no longest match starts in the anchor's windows.
+    """
+    size, spans = min_words, K.Spans(w.hashes)
+    most = int(np.diff(w.docs).max(initial=0))
+    while size <= most:
+        gram = min(size, max(GRAM, size * GRAM // MIN_WORDS))
+        at, h, near, far = anchors(w.hashes, w.docs, size, gram)
+        doc = np.searchsorted(w.docs, at, "right") - 1
+        h = K.mix(h + np.uint64(size) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+        start = at - far - 1
+        forced = start < w.docs[doc]
+        head = K.mix(spans.hash(np.maximum(start, w.docs[doc]), at + gram) + K.mix(h + forced.astype(np.uint64))) >> np.uint64(1)
+        yield size, at, doc, h, head, forced, near, far
+        size *= 2
+
+
+def _candidates(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(id, key, text, h array, heads array): texts with anchors that occur repeatedly; h: those of
+    windows of min_words words; heads: of all sizes, where a longest match may start."""
+    if not 1 <= min_words < 1 << 16:
+        raise ValueError("min_words must be from 1 to 65535")
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").withColumn("key", frames.text_key())
+
+    def run(it):
+        import pyarrow as pa
+
+        for batch in it:
+            texts = frames.strings(batch, "text")
+            for a, b in K.batches(texts):
+                w = Words(texts[a:b])
+                for size, _, doc, h, head, forced, _, _ in _scales(w, min_words):
+                    rows, times = np.unique(np.column_stack([doc, h.view(np.int64), head.view(np.int64), forced]), axis=0, return_counts=True)
+                    take = pa.array(rows[:, 0] + a)
+                    cols = [frames.column(batch, "id").take(take), frames.column(batch, "key").take(take), pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(rows[:, 3] != 0), pa.array(np.full(len(rows), size == min_words)), pa.array(times.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "h", "head", "forced", "base", "times"])
+
+    rows = src.mapInArrow(run, "id long, key int, h long, head long, forced boolean, base boolean, times int")
+    by = Window.partitionBy("h")
+    rows = rows.withColumn("n", F.sum("times").over(by)).withColumn("same", F.sum("times").over(Window.partitionBy("h", "head"))).where("n > 1")
+    rows = rows.withColumn("is_head", F.expr("forced or same < n")).where("base or is_head")
+    each = rows.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.expr("collect_list(if(base, h, null))").alias("h"), F.expr("collect_list(if(is_head, head, null))").alias("heads"))
+    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    return src.join(each.hint("shuffle_hash"), on).select("id", "key", "text", "h", "heads")
+
+
+def _wanted(lists):
+    """Whether documents have hashes in their lists (an Arrow array of lists)."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    own = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    wanted = K.mix(lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint64) + own)
+    return lambda doc, h: np.isin(K.mix(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), wanted)
+
+
+def _places(w: Words, hashes, heads, min_words: int):
+    """(text, hash, start, end) of the words to be compared: around the anchors of windows of min_words
+    words these windows; from where a longest match of size to 2 * size words may start, 2 * size."""
+    base, head_of, out = _wanted(hashes), _wanted(heads), []
+    for size, p, doc, h, head, _, near, far in _scales(w, min_words):
+        # long runs of one word: only their ends, in which all other windows that they touch are
+        first, last = word_runs(w.hashes, w.docs, 2 * size)
+        k = np.searchsorted(first, p, "right") - 1
+        keep = np.ones(len(p), bool)
+        ok = k >= 0
+        keep[ok] = ~((p[ok] > first[k[ok]]) & (p[ok] < last[k[ok]] - 2 * size))
+        for chosen, reach in ((base(doc, h) if size == min_words else None, size), (head_of(doc, head), 2 * size)):
+            if chosen is not None:
+                x = np.flatnonzero(chosen & keep)
+                out.append((doc[x], h[x], p[x] - far[x], np.minimum(p[x] - near[x] + reach, w.docs[doc[x] + 1])))
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
+
+
 def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(id, key, s, e, longest): passages found, not yet united."""
     shards = frames.partitions(df.sparkSession) * SHARDS
@@ -244,23 +346,16 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
             texts = frames.strings(batch, "text")
             ids, ks = frames.column(batch, "id"), frames.column(batch, "key").to_numpy(zero_copy_only=False)
             nulls, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
-            hashes = frames.column(batch, "h")
+            hashes, heads = frames.column(batch, "h"), frames.column(batch, "heads")
             for a, b in K.batches(texts):
                 w = Words(texts[a:b])
                 data, at = w.joined()
-                doc, p, h, near, far = repeated_anchors(w, hashes.slice(a, b - a), min_words)
+                doc, h, s, e = _places(w, hashes.slice(a, b - a), heads.slice(a, b - a), min_words)
                 shard = part_of(h, shards)
-                s, e = p - far, np.minimum(p - near + min_words, w.docs[doc + 1])
-                # a long run of one word repeats itself: it is reported at once, and only its ends,
-                # in which all other windows that it touches are, go to the shard
+                # a long run of one word repeats itself: it is reported at once
                 first, last = word_runs(w.hashes, w.docs, 2 * min_words)
                 own = np.searchsorted(w.docs, first, "right") - 1
                 runs.append(np.stack([pmod(ids[a + own], shards), nulls[a + own], ids[a + own], ks[a + own], first - w.docs[own], last - w.docs[own]], 1).astype(np.int64))
-                k = np.searchsorted(first, p, "right") - 1
-                keep = np.ones(len(p), bool)
-                ok = k >= 0
-                keep[ok] = ~((p[ok] > first[k[ok]]) & (p[ok] < last[k[ok]] - min_words))
-                doc, shard, s, e = doc[keep], shard[keep], s[keep], e[keep]
                 order = np.lexsort((e, s, doc, shard))
                 doc, shard, s, e = doc[order], shard[order], s[order], e[order]
                 group = shard * (b - a) + doc
@@ -320,7 +415,7 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
         twice = np.flatnonzero(times > 1)
         again = words[K.ranges(ends[twice] - lens[twice], lens[twice])]
         index = Index(np.concatenate([words, again]), np.concatenate([ends, len(words) + np.cumsum(lens[twice])]), len(names) + 1)
-        seq, pos, longest = index.matches(words, ends - lens, lens, min_words)
+        seq, pos, longest = index.repeats(len(lens), min_words)
         # to every text that has the place
         by = np.argsort(which, kind="stable")
         at = np.searchsorted(which[by], np.arange(len(kind) + 1))
@@ -334,13 +429,12 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
         found = np.concatenate([found, np.column_stack([direct, direct[:, 4] - direct[:, 3] - 1])])
         return pa.table({"id": pa.array(found[:, 1], mask=found[:, 0] != 0), "key": pa.array(found[:, 2].astype(np.int32)), "s": pa.array(found[:, 3].astype(np.int32)), "e": pa.array(found[:, 4].astype(np.int32)), "longest": pa.array(found[:, 5].astype(np.int32))})
 
-    places = candidates(df, id_col, text_col, min_words).mapInArrow(send, "shard int, places binary")
+    places = _candidates(df, id_col, text_col, min_words).mapInArrow(send, "shard int, places binary")
     return places.groupBy("shard").applyInArrow(search, "id long, key int, s int, e int, longest int")
 
 
 def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, longest_match): intervals of words that are covered by passages
-    of at least min_words words which occur twice or more; longest_match is the longest of these
-    that was seen in one piece."""
+    of at least min_words words which occur twice or more; longest_match is the longest of these."""
     united = islands(_spans(df, id_col, text_col, min_words), ["id", "key"], F.max("longest").alias("longest"))
     return united.select(F.col("id").alias("doc_id"), F.col("s").alias("start_word"), F.col("e").alias("end_word"), F.col("longest").alias("longest_match"))

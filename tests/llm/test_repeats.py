@@ -125,3 +125,45 @@ def test_index():
                 for k, j in places:
                     want[k].update(range(j, j + n))
         assert got == want
+
+
+def longest_in(rows, n):
+    """(text's id, start, end, longest match) of the repeated passages, by brute force."""
+    texts = {d: t.split() for d, t in rows}
+    places = [(d, i) for d, w in texts.items() for i in range(len(w))]
+    places.sort(key=lambda x: texts[x[0]][x[1] :])
+    longest = defaultdict(int)
+    for (a, i), (b, j) in zip(places, places[1:]):
+        size = next((k for k, (x, y) in enumerate(zip(texts[a][i:], texts[b][j:])) if x != y), min(len(texts[a]) - i, len(texts[b]) - j))
+        for place in ((a, i), (b, j)):
+            longest[place] = max(longest[place], size)
+    out = set()
+    for d, w in texts.items():
+        spans = [(i, i + longest[d, i]) for i in range(len(w)) if longest[d, i] >= n]
+        while spans:
+            s, e = spans.pop(0)
+            most = e - s
+            while spans and spans[0][0] <= e:
+                x, y = spans.pop(0)
+                e, most = max(e, y), max(most, y - x)
+            out.add((d, s, e, most))
+    return out
+
+
+@pytest.mark.parametrize("n", [6, 20])
+def test_longest_match_is_whole(spark, n):
+    """The longest match is the true one, whatever the number of shuffle partitions."""
+    rng = random.Random(8)
+    some = lambda k: [f"v{rng.randint(0, 3000)}" for _ in range(k)]
+    long, other = some(1000), some(400)
+    rows = [long, long, some(30) + long[100:700] + some(9) + other, long[650:] + other[50:390], some(60) + other[:200] + ["the"] * 170 + other[200:], other[150:200] + ["the"] * 120 + other[200:260], ["the"] * 300, some(50)]
+    rows += [t.split() for _, t in corpus(4, docs=12) if t]
+    df = spark.createDataFrame(rows := [(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    want, before = longest_in(rows, n), spark.conf.get("spark.sql.shuffle.partitions")
+    assert (0, 0, 1000, 1000) in want
+    try:
+        for partitions in (3, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            assert {tuple(r) for r in substring.repeated_substrings(df, min_words=n).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
