@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from ..runtime import ship
 
@@ -14,9 +16,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests, one machine), an own one."""
+    """The cluster's spark.checkpoint.dir; where it is unset on one machine (tests), an own one. On a
+    cluster a folder of the driver's machine would be no use to the executors: that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="quillframe-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -65,9 +70,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_key(text_col: str = "text"):
-    """32 bits of the text: with doc_id it tells rows apart whose ids are NULL or repeated."""
-    return F.hash(F.col(text_col))
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """(k1, k2): 128 bits of a row's id (of any type) and text, which name the row: rows with NULL or
+    repeated ids are told apart by their texts. Only equal rows have equal names; among 10^12 rows
+    two others share one with a probability of about 10^-15."""
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return [F.xxhash64(F.lit(seed), id_.isNull(), id_, text.isNull(), F.length(text), text).alias(f"k{n}") for n, seed in ((1, 0x51ED27), (2, 0x7F4A7C))]
+
+
+def whole_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether the ids are whole numbers."""
+    return isinstance(df.schema[id_col].dataType, (ByteType, ShortType, IntegerType, LongType))
+
+
+def whole_id(df: DataFrame, id_col: str) -> Column:
+    """The id as a long where its type is a whole number; else NULL, so that row_key() alone orders."""
+    return F.col(f"`{id_col}`").cast("long") if whole_ids(df, id_col) else F.lit(None).cast("long")
+
+
+def named(found: DataFrame, df: DataFrame, id_col: str, text_col: str, out: str, k1: str = "k1", k2: str = "k2") -> DataFrame:
+    """found with the id, in its own type, of the rows of df that its columns k1 and k2 name."""
+    ids = df.select(*row_key(id_col, text_col), F.col(f"`{id_col}`").alias(out)).groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.first(out).alias(out))
+    return found.join(ids, [k1, k2])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (n + "_" * k for k in range(len(taken) + 1)) if x.lower() not in taken) for n in names]
 
 
 #: Rows that a worker computes and holds at a time.

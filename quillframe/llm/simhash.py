@@ -1,40 +1,40 @@
 """Near-duplicate documents: SimHash fingerprints and multi-index hashing.
 
-A fingerprint has 128 bits: each different word of the lower-cased text (letters and numbers; those
-of at least `min_word` characters, or all if there are none; the text itself if it has no word)
-votes on every bit. Two texts are near duplicates if their fingerprints differ in at most `radius`
-bits. Such fingerprints are at most radius // segments apart in at least one segment, so every
-fingerprint looks up the small Hamming ball around each of its segments in that segment's table and
-compares whole fingerprints with what it meets. This finds all pairs within the radius: it is exact,
-not approximate. Equal fingerprints are one entry.
+A fingerprint has 128 bits: each different word of the lower-cased text (runs of letters and numbers;
+the text itself if it has none) votes on every bit. Two texts are near duplicates if their
+fingerprints differ in at most `radius` bits. Such fingerprints are at most radius // segments apart
+in at least one segment, so every fingerprint looks up the small Hamming ball around each of its
+segments in that segment's table and compares whole fingerprints with what it meets. This finds all
+pairs within the radius: it is exact, not approximate. Equal fingerprints are one entry.
 
 The tables are cut by the leading bits of a segment; a fingerprint is sent to the tables that its
 ball reaches. Within a table only a spanning forest of the pairs found goes out, so what is written
 grows with the documents and not with the square of a group.
 
 Defined results: documents whose text is NULL, empty or only white space have no fingerprint and no
-duplicates. Rows whose doc_id is NULL are kept apart by their texts. Of each group the row with the
-least doc_id stays (NULLs last; then the least hash of the text); of repeated rows, one. Words are
-counted once a text, so very long texts need no other treatment. Other columns pass through.
+duplicates. Ids may have any type that can be compared and keep it; rows whose ids are NULL or
+repeated are told apart by 128 bits of id and text. Of each group the row with the least id stays
+(NULLs last; ties by these bits); of equal rows, one. Words are counted once a text, so very long
+texts need no other treatment. An empty table gives an empty result. Other columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..runtime import ship
 from . import frames, kernels as K
 from .components import components
 
-BITS, SEGMENTS, RADIUS, MIN_WORD = 128, 7, 20, 4
+BITS, SEGMENTS, RADIUS = 128, 7, 20
 #: Entries of one table at most, about; it only sets how many leading bits cut the tables.
 TABLE_ENTRIES = 1 << 19
 
 
-def fingerprints(texts: list[str], min_word: int = MIN_WORD) -> np.ndarray:
+def fingerprints(texts: list[str]) -> np.ndarray:
     """128-bit fingerprints, a row of two uint64 (low, high) for each text that isn't blank."""
     out = np.zeros((len(texts), 2), np.uint64)
     for a, b in K.batches(texts, 1 << 19):
@@ -45,12 +45,7 @@ def fingerprints(texts: list[str], min_word: int = MIN_WORD) -> np.ndarray:
         # texts without words have themselves as their only feature
         bare = np.setdiff1d(np.arange(len(own)), doc)
         starts, ends, doc = (np.concatenate(x) for x in ((starts, doc_starts[bare]), (ends, doc_starts[bare + 1]), (doc, bare)))
-        long = ends - starts >= min_word
-        has = np.zeros(len(own), bool)
-        has[doc[long]] = True
-        keep = long | ~has[doc]
-        h = K.Spans(cp).hash(starts[keep], ends[keep])
-        doc = doc[keep]
+        h = K.Spans(cp).hash(starts, ends)
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
         new = np.ones(len(h), bool)
@@ -68,10 +63,10 @@ def fingerprints(texts: list[str], min_word: int = MIN_WORD) -> np.ndarray:
     return out
 
 
-def fingerprint_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_word: int = MIN_WORD) -> DataFrame:
-    """(id, key, hi, lo) of every row with a text that isn't blank."""
+def fingerprint_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, k1, k2, hi, lo) of every row with a text that isn't blank; k1 and k2 name the row."""
     ship(df.sparkSession)
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("key", frames.text_key())
+    src = df.select(F.col(f"`{id_col}`").alias("id"), *frames.row_key(id_col, text_col), F.col(f"`{text_col}`").alias("text"))
 
     def run(it):
         import pyarrow as pa
@@ -79,10 +74,11 @@ def fingerprint_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in it:
             batch = batch.filter(pa.array([bool(t and t.strip()) for t in frames.strings(batch, "text")], pa.bool_()))
             if batch.num_rows:
-                fp = fingerprints(frames.strings(batch, "text"), min_word).view(np.int64)
-                yield pa.RecordBatch.from_arrays([frames.column(batch, "id"), frames.column(batch, "key"), pa.array(fp[:, 1].copy()), pa.array(fp[:, 0].copy())], names=["id", "key", "hi", "lo"])
+                fp = fingerprints(frames.strings(batch, "text")).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*[frames.column(batch, c) for c in ("id", "k1", "k2")], pa.array(fp[:, 1].copy()), pa.array(fp[:, 0].copy())], names=["id", "k1", "k2", "hi", "lo"])
 
-    return src.mapInArrow(run, "id long, key int, hi long, lo long")
+    fields = [StructField(c, LongType()) for c in ("k1", "k2", "hi", "lo")]
+    return src.mapInArrow(run, StructType([StructField("id", src.schema["id"].dataType), *fields]))
 
 
 def cuts(bits: int, segments: int) -> list[tuple[int, int]]:
@@ -220,47 +216,40 @@ def _pair_edges(prints: DataFrame, n: int, segments: int, radius: int) -> DataFr
     return sent.repartition(min(tables, max(frames.partitions(spark), 1) * 4), "grp").groupBy("grp").applyInArrow(meet, "a long, b long")
 
 
-def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, segments: int = SEGMENTS, min_word: int = MIN_WORD) -> DataFrame:
-    """(id, key, kept_id, kept_key, repeated) of every row in a group of near duplicates.
+def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    """(id, k1, k2, kept, repeated) of every row in a group of near duplicates.
 
-    id and key (32 bits of the text) name a row; kept_id and kept_key the row of its group that
-    stays. `repeated` is true where several rows have this id and text. Rows without near duplicates
-    and repetitions are absent.
+    k1 and k2 name a row (frames.row_key); kept is a struct of the same three of the row of its group
+    that stays. `repeated` is true where several rows are equal in id and text. Rows without near
+    duplicates and repetitions are absent.
     """
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    prints = frames.written(fingerprint_table(df, id_col, text_col, min_word).groupBy("id", "key", "hi", "lo").agg(F.count("*").alias("rows")))
-    # each distinct fingerprint is an entry with a 64-bit name
-    entry = F.xxhash64("hi", "lo").alias("entry")
-    groups = prints.groupBy(entry, "hi", "lo").agg(F.min(order).alias("kept"), F.sum("rows").alias("rows"))
-    distinct = frames.written(groups)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
+    prints = frames.written(fingerprint_table(df, id_col, text_col).groupBy("id", "k1", "k2", "hi", "lo").agg(F.count("*").alias("rows")))
+    groups = prints.groupBy("hi", "lo").agg(F.min(order).alias("kept"), F.sum("rows").alias("rows"))
+    # each distinct fingerprint is an entry, numbered once: what is written stays as it is
+    distinct = frames.written(groups.withColumn("entry", F.monotonically_increasing_id()))
     links = components(_pair_edges(distinct.select("entry", "hi", "lo"), distinct.count(), segments, radius))
     placed = distinct.join(links.withColumnRenamed("node", "entry"), "entry", "left").withColumn("root", F.coalesce("root", "entry"))
     best = placed.groupBy("root").agg(F.min("kept").alias("kept"), F.sum("rows").alias("size")).where("size > 1")
-    kept = placed.select("entry", "hi", "lo", "root").join(best, "root")
-    return (
-        prints.join(kept.select("hi", "lo", "kept"), ["hi", "lo"])
-        .select("id", "key", F.col("kept.id").alias("kept_id"), F.col("kept.key").alias("kept_key"), (F.col("rows") > 1).alias("repeated"))
-    )
+    kept = placed.select("hi", "lo", "root").join(best, "root")
+    return prints.join(kept.select("hi", "lo", "kept"), ["hi", "lo"]).select("id", "k1", "k2", "kept", (F.col("rows") > 1).alias("repeated"))
+
+
+_GOES = "not (k1 = kept.k1 and k2 = kept.k2)"
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, kept_doc_id): the documents that have a near duplicate to keep instead, each once."""
     d = duplicates(df, id_col, text_col, **options)
-    return d.where("not (id <=> kept_id and key = kept_key)").select(F.col("id").alias("doc_id"), F.col("kept_id").alias("kept_doc_id")).distinct()
+    return d.where(_GOES).select(F.col("id").alias("doc_id"), F.col("kept.id").alias("kept_doc_id")).distinct()
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df with one row of each group of near duplicates, all columns as they were."""
-    d = duplicates(df, id_col, text_col, **options)
-    names = {c.lower() for c in df.columns}
-    id_, key, dup, rep, n = (next(x for x in (f"_{c}{'_' * k}" for k in range(99)) if x.lower() not in names) for c in ("id", "key", "dup", "repeated", "nth"))
-    marks = d.select(F.col("id").alias(id_), F.col("key").alias(key), (~(F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))).alias(dup), F.col("repeated").alias(rep))
-    text = df[text_col]
-    marked = df.withColumns({f"{id_}d": df[id_col].cast("long"), f"{key}d": F.hash(text)})
-    on = F.col(f"{id_}d").eqNullSafe(F.col(id_)) & (F.col(f"{key}d") == F.col(key))
-    joined = marked.join(marks.hint("shuffle_hash"), on, "left").where(f"not coalesce(`{dup}`, false)")
-    plain = joined.where(f"not coalesce(`{rep}`, false)")
-    if d.where("repeated").isEmpty():
-        return plain.select(*[F.col(f"`{c}`") for c in df.columns])
-    once = joined.where(f"coalesce(`{rep}`, false)").withColumn(n, F.row_number().over(Window.partitionBy(f"{id_}d", f"{key}d").orderBy(F.lit(1)))).where(f"`{n}` = 1")
-    return reduce(DataFrame.unionByName, [x.select(*[F.col(f"`{c}`") for c in df.columns]) for x in (plain, once)])
+    marks = frames.written(duplicates(df, id_col, text_col, **options).select("k1", "k2", F.expr(_GOES).alias("goes"), "repeated"))
+    held = df.select(*frames.row_key(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    joined = held.join(marks, ["k1", "k2"], "left").where("not coalesce(goes, false)")
+    left = joined.where("not coalesce(repeated, false)").select("row")
+    if not marks.where("repeated").isEmpty():
+        left = left.union(joined.where("repeated").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row"))
+    return left.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

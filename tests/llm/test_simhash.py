@@ -1,8 +1,10 @@
 import random
+import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from quillframe.llm import simhash
+from quillframe.llm import kernels as K, simhash
 from quillframe.llm.components import components
 
 
@@ -56,6 +58,46 @@ def test_pairs_are_exact(spark):
     assert sum(1 for r in left if r["doc_id"] == rows[1][0]) <= 1
 
 
+def test_fingerprints_by_the_definition():
+    """Every different word votes on every bit; ties are 0."""
+    texts = ["The cat, the CAT and a dog 12", "one", "!!! ???", "a b a b c"]
+    for t, (lo, hi) in zip(texts, simhash.fingerprints(texts).tolist()):
+        words = sorted(set(re.findall(r"[^\W_]+", t.lower()))) or [t]
+        prints = []
+        for w in words:
+            cp, at = K.code_points([w])
+            h = K.Spans(cp).hash(at[:-1], at[1:])
+            prints.append(int(K.mix(h ^ np.uint64(0x94D049BB133111EB))[0]) << 64 | int(h[0]))
+        want = sum(1 << b for b in range(128) if 2 * sum(p >> b & 1 for p in prints) > len(prints))
+        assert hi << 64 | lo == want
+
+
+def test_ids_of_any_type_and_colliding_texts(spark):
+    """Rows are told apart by id and whole text, not by a short hash."""
+    texts = _colliding(spark)
+    for kind, ids in (("long", [1, None, None]), ("string", ["b", None, None]), ("decimal(20,3)", [None, None, None])):
+        rows = list(zip(ids, [texts[0], texts[0], texts[1]]))
+        df = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+        left = simhash.drop_near_duplicates(df).collect()
+        assert sorted(r["text"] for r in left) == sorted(texts)
+        assert simhash.near_duplicates(df).schema["doc_id"].dataType == df.schema["doc_id"].dataType
+
+
+def _colliding(spark):
+    """Two texts without common words that have equal 32-bit hashes."""
+    df = spark.range(300000).select(F.concat(F.lit("only here "), F.col("id") * 7919).alias("t")).withColumn("h", F.hash("t"))
+    pair = df.groupBy("h").agg(F.collect_list("t").alias("ts")).where("size(ts) > 1").first()["ts"]
+    return pair[:2]
+
+
+def test_hot_rows(spark):
+    """A third of all rows are equal, another third have equal texts."""
+    rows = [(7, "the same row again and again")] * 400 + [(1000 + k, "one text under many ids") for k in range(400)] + [(5000 + k, f"text{k * k} word{k} only{k + 3} here{k * 7}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()]
+    assert left.count(7) == 1 and sorted(d for d in left if 1000 <= d < 2000) == [1000] and len(left) == 402
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0 and simhash.drop_near_duplicates(df).count() == 0
