@@ -101,8 +101,14 @@ class Words:
         return out.tobytes(), at
 
 
+def sources(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, k1, k2, text) of the rows that have a text: k1 and k2 name the row (frames.row_key), id is
+    NULL unless ids are whole numbers."""
+    return df.select(frames.whole_id(df, id_col).alias("id"), *frames.row_key(id_col, text_col), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+
+
 def _anchor_rows(src: DataFrame, min_words: int) -> DataFrame:
-    """(id, key, h, times): the different anchors of each text and how often it has them."""
+    """(k1, k2, h, times): the different anchors of each text and how often it has them."""
 
     def run(it):
         import pyarrow as pa
@@ -120,23 +126,56 @@ def _anchor_rows(src: DataFrame, min_words: int) -> DataFrame:
                 first = np.flatnonzero(new)
                 take = pa.array(doc[first] + a)
                 times = np.diff(np.append(first, len(g)))
-                yield pa.RecordBatch.from_arrays([frames.column(batch, "id").take(take), frames.column(batch, "key").take(take), pa.array(g[first].astype(np.int64)), pa.array(times.astype(np.int32))], names=["id", "key", "h", "times"])
+                yield pa.RecordBatch.from_arrays([frames.column(batch, "k1").take(take), frames.column(batch, "k2").take(take), pa.array(g[first].astype(np.int64)), pa.array(times.astype(np.int32))], names=["k1", "k2", "h", "times"])
 
-    return src.mapInArrow(run, "id long, key int, h long, times int")
+    return src.mapInArrow(run, "k1 long, k2 long, h long, times int")
 
 
-def candidates(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, key, text, h array) of the texts that have anchors which occur repeatedly.
+def candidates(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, int]:
+    """(id, k1, k2, text, h array) of the texts that have anchors which occur repeatedly, and how many
+    such anchors there are in all texts.
 
-    id and key name a text, so equal rows are one text and repeat nothing by that.
+    Anchors are counted before they meet (partial sums of each task), so one that a third of all texts
+    have is one row a task; which texts have it is then a semi join, whose skew Spark can split.
     """
     if not 1 <= min_words < 1 << 16:
         raise ValueError("min_words must be from 1 to 65535")
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").withColumn("key", frames.text_key())
-    rows = _anchor_rows(src, min_words).withColumn("n", F.sum("times").over(Window.partitionBy("h"))).where("n > 1")
-    each = rows.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("h").alias("h"))
-    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
-    return src.join(each.hint("shuffle_hash"), on).select("id", "key", "text", "h")
+    src = sources(df, id_col, text_col)
+    rows = frames.written(_anchor_rows(src, min_words))
+    often = rows.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h")
+    each = frames.written(rows.join(often, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("h").alias("h")))
+    return src.join(each, ["k1", "k2"]).select("id", "k1", "k2", "text", "h"), each.agg(F.sum(F.size("h"))).first()[0] or 0
+
+
+class Once:
+    """Which rows of a task were not there before, by their names: of equal rows one is enough."""
+
+    def __init__(self):
+        self.seen: set[tuple[int, int]] = set()
+
+    def filter(self, batch):
+        import pyarrow as pa
+
+        new = []
+        for name in zip(*[frames.column(batch, c).to_pylist() for c in ("k1", "k2")]):
+            new.append(name not in self.seen)
+            self.seen.add(name)
+        return batch if all(new) else batch.filter(pa.array(new, pa.bool_()))
+
+
+#: Places that a part or shard holds, about: what sets the number of parts.
+PART_PLACES = 1 << 17
+
+
+def grouped(df: DataFrame, by: str, places: int, least: int):
+    """df grouped by its number of the part, with as many tasks as parts where these are many."""
+    parts = part_count(places, least)
+    return (df.repartition(parts, by) if parts > least else df).groupBy(by)
+
+
+def part_count(places: int, least: int) -> int:
+    """Parts for so many places: their sizes don't grow with the corpus."""
+    return max(least, -(-places // PART_PLACES))
 
 
 def repeated_anchors(w: Words, hashes, min_words: int):

@@ -1,25 +1,30 @@
 """Repeated substrings by matching statistics on compressed FM-indexes.
 
-Shards are made by content, not by document: the places around a text's anchors (see repeats) go to
+Shards are made by content, not by document: the words around a text's anchors (see repeats) go to
 the shard of the anchor's hash, so the occurrences of any passage of `min_words` words meet in one
 shard and every text is compared with all others without being sent to all shards. Within a shard
 one text's places are united, so that no word of it is there twice. The shard's index is
 
 * the Burrows-Wheeler transform of the words in a wavelet matrix of packed bits with block counts,
-* the lengths of the prefixes that neighbouring suffixes share, under a table of range minima.
+* the lengths of the prefixes that neighbouring suffixes share.
 
-For every position the longest passage from there that occurs twice follows from its suffix and the
-two next to it. Those of at least `min_words` words are reported. (Other texts can be streamed
-through the index by backward search: matches().)
+Its sequences stream through it by backward search, in pieces that overlap: matching statistics say
+from where passages of at least `min_words` words occur twice. How far such a passage goes beyond its
+piece is read off the shared prefixes.
 
 A passage is found whole, whatever its length and the number of shards: windows of min_words, twice,
 four times as many words and so on have anchors of their own, and where a longest match of `size` to
 2 * size words may start, 2 * size words go to the shard of the anchor of its first `size` words.
+A longest match starts where not all occurrences have the same word before, or at a text's start:
+that is seen by hashes from the word before an anchor's first window to the anchor. As any repeated
+window is part of such a match, nothing else need be sent.
 
 Equal places are indexed twice and searched once, which changes no answer to "at least two".
 
 Defined results: as in suffixes; NULL or short texts have no passage, equal rows are one text, rows
-with NULL ids are told apart by their texts, white space between words doesn't count.
+with NULL or repeated ids are told apart by 128 bits of id and text, white space between words
+doesn't count, texts of any length are searched whole, an empty table gives an empty one, and other
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -27,15 +32,17 @@ from __future__ import annotations
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import frames, kernels as K
-from .repeats import GRAM, MIN_WORDS, Words, anchors, islands, pack, part_of, unpack
+from .repeats import GRAM, MIN_WORDS, Once, Words, anchors, grouped, islands, pack, part_count, part_of, sources, unpack
 
 #: Bytes of places that a task holds before it sends them.
 SEND_BYTES = 16 << 20
 #: Shards for each shuffle partition: smaller indexes need less memory at a time.
 SHARDS = 4
+#: A place is several hundred words on average: it counts as so many of repeats.PART_PLACES.
+PLACE_WEIGHT = 8
 #: Words of a sequence that stream in one piece.
 PIECE = 160
 
@@ -96,36 +103,45 @@ class Index:
         is_word[separators] = False
         text[is_word] = words
         longest = int(np.diff(sequence_ends, prepend=0).max()) + 1 if s else 1
-        # prefix doubling; every separator is a symbol of its own
+        # prefix doubling; every separator is a symbol of its own. A rank is the first place of those
+        # that are still equal, and only these are sorted on.
         value = text + s - 1
         value[separators] = np.arange(s)
-        rank, levels, k = value, [], 1
-        _, rank = np.unique(rank, return_inverse=True)
+        order = np.argsort(value)
+        rank = np.empty(n, np.int64)
+        rank[order] = _group_starts(value[order])
+        levels, k = [], 1
+        live = np.flatnonzero(_shared(rank, n))
         while True:
             levels.append(rank.astype(np.int32))
-            top = int(rank.max()) + 1 if n else 0
-            if top == n or k > longest:
+            if not len(live) or k > longest:
                 break
-            after = np.zeros(n, np.int64)
-            after[: n - k] = rank[k:] + 1
-            pair = rank.astype(np.int64) * (top + 1) + after
-            order = np.argsort(pair)
-            p = pair[order]
-            step = np.zeros(n, np.int64)
-            step[1:] = p[1:] != p[:-1]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(step)
+            after = np.zeros(len(live), np.int64)
+            inside = live + k < n
+            after[inside] = rank[live[inside] + k] + 1
+            key = rank[live] * (n + 1) + after
+            by = np.argsort(key)
+            live, key = live[by], key[by]
+            old = _group_starts(key // (n + 1))
+            new = _group_starts(key)
+            rank = rank.copy()
+            rank[live] += new - old
+            live = live[_shared(rank[live], n)]
             k *= 2
-        suffixes = np.argsort(rank)
+        suffixes = np.empty(n, np.int64)
+        suffixes[rank] = np.arange(n)
         a, b = suffixes[:-1].copy(), suffixes[1:].copy()
         kind = np.uint8 if longest < 1 << 7 else np.uint16 if longest < 1 << 15 else np.int32
         lcp = np.zeros(n + 1, kind)  # lcp[i]: shared by suffixes i - 1 and i
+        pair = np.arange(max(0, n - 1))
         for level in reversed(range(len(levels))):
             r = levels[level]
-            same = (r[np.minimum(a, n - 1)] == r[np.minimum(b, n - 1)]) & (a < n) & (b < n)
+            same = (a < n) & (b < n)
+            same[same] = r[a[same]] == r[b[same]]
             a[same] += 1 << level
             b[same] += 1 << level
-            lcp[1:n] += same.astype(kind) << level
+            lcp[pair[same] + 1] += kind(1 << level) if 1 << level <= np.iinfo(kind).max else 0
+        self.rank = rank
         self.n, self.lcp, self.suffixes, self.count = n, lcp, suffixes, count
         self.text, self.is_word, self.ends = text, is_word, sequence_ends
         self.starts = np.concatenate([[0, s], s + np.cumsum(np.bincount(words, minlength=count)[1:count])])[: count + 1]
@@ -146,18 +162,27 @@ class Index:
     def transform(self) -> Wavelet:
         return Wavelet(self.text[self.suffixes - 1], self.count)
 
-    def repeats(self, sequences: int, least: int):
+    def passages(self, sequences: int, least: int):
         """(sequence, position, length) of the longest repeated passages of the first `sequences` indexed
         ones, from positions that can't be continued to the left: whole, however long they are."""
-        longest = np.empty(self.n, np.int64)
-        longest[self.suffixes] = np.maximum(self.lcp[: self.n], self.lcp[1:])
-        longest = longest[self.is_word][: self.ends[sequences - 1] if sequences else 0]
-        first = np.zeros(len(longest), bool)
-        first[np.concatenate([[0], self.ends[: sequences - 1]]).astype(np.int64)[:sequences]] = True
-        before = np.concatenate([[0], longest[:-1]])
-        at = np.flatnonzero((longest >= least) & (first | (before != longest + 1)))
-        seq = np.searchsorted(self.ends[:sequences], at, "right")
-        return seq, at - np.concatenate([[0], self.ends])[seq], longest[at]
+        starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)[:sequences]
+        lengths = self.ends[:sequences] - starts
+        seq, pos, size = self.matches(self.text[self.is_word], starts, lengths, least)
+        # every place from where at least `least` words occur twice
+        found = np.zeros(self.n + 1, np.int32)
+        np.add.at(found, starts[seq] + pos + seq, 1)
+        np.add.at(found, starts[seq] + pos + seq + size - least + 1, -1)
+        at = np.flatnonzero(np.cumsum(found))
+        seq = np.searchsorted(starts + np.arange(sequences), at, "right") - 1
+        pos = at - starts[seq] - seq
+        size = self.longest(at)
+        begins = (pos == 0) | (self.longest(np.maximum(at - 1, 0)) != size + 1)
+        return seq[begins], pos[begins], size[begins]
+
+    def longest(self, at: np.ndarray) -> np.ndarray:
+        """How many words from a place in the text occur elsewhere too."""
+        r = self.rank[at]
+        return np.maximum(self.lcp[r], self.lcp[r + 1]).astype(np.int64)
 
     def search(self, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the passages that have one more word in front."""
@@ -222,8 +247,16 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def pmod(x: np.ndarray, n: int) -> np.ndarray:
-    return np.mod(x.astype(np.int64), n)
+def _group_starts(sorted_keys: np.ndarray) -> np.ndarray:
+    """For each of some sorted keys where its equals start."""
+    new = np.ones(len(sorted_keys), bool)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _shared(ranks: np.ndarray, n: int) -> np.ndarray:
+    """Which ranks occur more than once."""
+    return np.bincount(ranks, minlength=n)[ranks] > 1
 
 
 def word_runs(hashes: np.ndarray, docs: np.ndarray, over: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,47 +278,61 @@ def _scales(w: Words, min_words: int):
     The head hash is that of the words from one before the anchor's first window: where all
     occurrences of the anchor agree in it, no longest match starts in the anchor's windows.
     """
-    size, spans = min_words, K.Spans(w.hashes)
-    most = int(np.diff(w.docs).max(initial=0))
-    while size <= most:
+    size = min_words
+    while True:
+        # only texts with a window of that size
+        docs = np.flatnonzero(np.diff(w.docs) >= size)
+        if not len(docs):
+            return
+        begin, count = w.docs[docs], w.docs[docs + 1] - w.docs[docs]
+        hashes, own = (w.hashes, w.docs) if len(docs) == len(w.docs) - 1 else (w.hashes[K.ranges(begin, count)], np.concatenate([[0], np.cumsum(count)]))
         gram = min(size, max(GRAM, size * GRAM // MIN_WORDS))
-        at, h, near, far = anchors(w.hashes, w.docs, size, gram)
-        doc = np.searchsorted(w.docs, at, "right") - 1
+        at, h, near, far = anchors(hashes, own, size, gram)
+        doc = np.searchsorted(own, at, "right") - 1
         h = K.mix(h + np.uint64(size) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
         start = at - far - 1
-        forced = start < w.docs[doc]
-        head = K.mix(spans.hash(np.maximum(start, w.docs[doc]), at + gram) + K.mix(h + forced.astype(np.uint64))) >> np.uint64(1)
-        yield size, at, doc, h, head, forced, near, far
+        forced = start < own[doc]
+        head = K.mix(K.Spans(hashes).hash(np.maximum(start, own[doc]), at + gram) + K.mix(h + forced.astype(np.uint64))) >> np.uint64(1)
+        yield size, at + (begin - own[:-1])[doc], docs[doc], h, head, forced, near, far
         size *= 2
 
 
-def _candidates(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, key, text, h array, heads array): texts with anchors that occur repeatedly; h: those of
-    windows of min_words words; heads: of all sizes, where a longest match may start."""
+def _candidates(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, int]:
+    """(id, k1, k2, text, heads array) of the texts in which longest matches may start, and how many
+    such places there are in all texts.
+
+    A text is named by the first half of its row's name here: another text of the same half gets the
+    same heads, which are looked for and not found.
+    """
     if not 1 <= min_words < 1 << 16:
         raise ValueError("min_words must be from 1 to 65535")
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").withColumn("key", frames.text_key())
+    src = sources(df, id_col, text_col)
 
     def run(it):
         import pyarrow as pa
 
         for batch in it:
-            texts = frames.strings(batch, "text")
+            texts, k1 = frames.strings(batch, "text"), frames.column(batch, "k1").to_numpy(zero_copy_only=False)
             for a, b in K.batches(texts):
                 w = Words(texts[a:b])
-                for size, _, doc, h, head, forced, _, _ in _scales(w, min_words):
-                    rows, times = np.unique(np.column_stack([doc, h.view(np.int64), head.view(np.int64), forced]), axis=0, return_counts=True)
-                    take = pa.array(rows[:, 0] + a)
-                    cols = [frames.column(batch, "id").take(take), frames.column(batch, "key").take(take), pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(rows[:, 3] != 0), pa.array(np.full(len(rows), size == min_words)), pa.array(times.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "h", "head", "forced", "base", "times"])
-
-    rows = src.mapInArrow(run, "id long, key int, h long, head long, forced boolean, base boolean, times int")
-    by = Window.partitionBy("h")
-    rows = rows.withColumn("n", F.sum("times").over(by)).withColumn("same", F.sum("times").over(Window.partitionBy("h", "head"))).where("n > 1")
-    rows = rows.withColumn("is_head", F.expr("forced or same < n")).where("base or is_head")
-    each = rows.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.expr("collect_list(if(base, h, null))").alias("h"), F.expr("collect_list(if(is_head, head, null))").alias("heads"))
-    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
-    return src.join(each.hint("shuffle_hash"), on).select("id", "key", "text", "h", "heads")
+                for _, _, doc, h, head, forced, _, _ in _scales(w, min_words):
+                    order = np.lexsort((head, doc))  # the head tells the anchor
+                    doc, h, head, forced = doc[order], h[order], head[order], forced[order]
+                    new = np.ones(len(doc), bool)
+                    new[1:] = (doc[1:] != doc[:-1]) | (head[1:] != head[:-1])
+                    first = np.flatnonzero(new)
+                    times = np.diff(np.append(first, len(doc)))
+                    cols = [k1[a + doc[first]], h[first].view(np.int64), head[first].view(np.int64), forced[first], times.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k1", "h", "head", "forced", "times"])
+
+    rows = frames.written(src.mapInArrow(run, "k1 long, h long, head long, forced boolean, times int"))
+    # counted before they meet, as in candidates(): partial sums of each task, and joins whose skew can be split
+    heads = rows.groupBy("h", "head").agg(F.sum("times").alias("same"))
+    often = heads.groupBy("h").agg(F.sum("same").alias("n")).where("n > 1")
+    chosen = heads.join(often, "h").select("head", (F.col("same") < F.col("n")).alias("starts"))
+    each = rows.select("k1", "head", "forced").join(chosen, "head").where("forced or starts").groupBy("k1").agg(F.collect_set("head").alias("heads"))
+    each = frames.written(each)
+    return src.join(each, "k1").select("id", "k1", "k2", "text", "heads"), each.agg(F.sum(F.size("heads"))).first()[0] or 0
 
 
 def _wanted(lists):
@@ -296,10 +343,10 @@ def _wanted(lists):
     return lambda doc, h: np.isin(K.mix(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), wanted)
 
 
-def _places(w: Words, hashes, heads, min_words: int):
-    """(text, hash, start, end) of the words to be compared: around the anchors of windows of min_words
-    words these windows; from where a longest match of size to 2 * size words may start, 2 * size."""
-    base, head_of, out = _wanted(hashes), _wanted(heads), []
+def _places(w: Words, heads, min_words: int):
+    """(text, hash, start, end) of the words to be compared: from where a longest match of size to
+    2 * size words may start, 2 * size."""
+    head_of, out = _wanted(heads), []
     for size, p, doc, h, head, _, near, far in _scales(w, min_words):
         # long runs of one word: only their ends, in which all other windows that they touch are
         first, last = word_runs(w.hashes, w.docs, 2 * size)
@@ -307,16 +354,16 @@ def _places(w: Words, hashes, heads, min_words: int):
         keep = np.ones(len(p), bool)
         ok = k >= 0
         keep[ok] = ~((p[ok] > first[k[ok]]) & (p[ok] < last[k[ok]] - 2 * size))
-        for chosen, reach in ((base(doc, h) if size == min_words else None, size), (head_of(doc, head), 2 * size)):
-            if chosen is not None:
-                x = np.flatnonzero(chosen & keep)
-                out.append((doc[x], h[x], p[x] - far[x], np.minimum(p[x] - near[x] + reach, w.docs[doc[x] + 1])))
+        x = np.flatnonzero(head_of(doc, head) & keep)
+        out.append((doc[x], h[x], p[x] - far[x], np.minimum(p[x] - near[x] + 2 * size, w.docs[doc[x] + 1])))
     return [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
 
 
 def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, key, s, e, longest): passages found, not yet united."""
-    shards = frames.partitions(df.sparkSession) * SHARDS
+    """(id, k1, k2, s, e, longest): passages found, not yet united."""
+    least_shards = frames.partitions(df.sparkSession)
+    found, places = _candidates(df, id_col, text_col, min_words)
+    shards = part_count(places * PLACE_WEIGHT, least_shards * SHARDS)
 
     def send(it):
         import pyarrow as pa
@@ -342,20 +389,21 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
             size = 0
             return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], names=["shard", "places"])
 
-        for batch in it:
+        once = Once()
+        for batch in map(once.filter, it):
             texts = frames.strings(batch, "text")
-            ids, ks = frames.column(batch, "id"), frames.column(batch, "key").to_numpy(zero_copy_only=False)
+            ids, (k1, k2) = frames.column(batch, "id"), (frames.column(batch, c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
             nulls, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
-            hashes, heads = frames.column(batch, "h"), frames.column(batch, "heads")
+            heads = frames.column(batch, "heads")
             for a, b in K.batches(texts):
                 w = Words(texts[a:b])
                 data, at = w.joined()
-                doc, h, s, e = _places(w, hashes.slice(a, b - a), heads.slice(a, b - a), min_words)
+                doc, h, s, e = _places(w, heads.slice(a, b - a), min_words)
                 shard = part_of(h, shards)
                 # a long run of one word repeats itself: it is reported at once
                 first, last = word_runs(w.hashes, w.docs, 2 * min_words)
                 own = np.searchsorted(w.docs, first, "right") - 1
-                runs.append(np.stack([pmod(ids[a + own], shards), nulls[a + own], ids[a + own], ks[a + own], first - w.docs[own], last - w.docs[own]], 1).astype(np.int64))
+                runs.append(np.stack([np.mod(k1[a + own], shards), nulls[a + own], ids[a + own], k1[a + own], k2[a + own], first - w.docs[own], last - w.docs[own]], 1).astype(np.int64))
                 order = np.lexsort((e, s, doc, shard))
                 doc, shard, s, e = doc[order], shard[order], s[order], e[order]
                 group = shard * (b - a) + doc
@@ -367,7 +415,7 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
                 first = np.flatnonzero(new)
                 end = (reach - shift)[np.append(first[1:], len(s)) - 1] if len(first) else first
                 s, doc, shard = s[first], doc[first], shard[first]
-                meta = np.stack([shard, nulls[a + doc], ids[a + doc], ks[a + doc], s - w.docs[doc]], 1).astype(np.int64)
+                meta = np.stack([shard, nulls[a + doc], ids[a + doc], k1[a + doc], k2[a + doc], s - w.docs[doc]], 1).astype(np.int64)
                 cutouts = [data[x:y] for x, y in zip(at[s].tolist(), at[end].tolist())]
                 held.append((meta, cutouts))
                 size += sum(map(len, cutouts)) + 100 * len(cutouts)
@@ -382,17 +430,17 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
         metas, lengths, parts, direct = [], [], [], []
         for blob in table.column("places").to_pylist():
             meta, size, data, runs = unpack(blob, np.int64, np.int64, None, np.int64)
-            metas.append(meta.reshape(-1, 4))
+            metas.append(meta.reshape(-1, 5))
             lengths.append(size)
             parts.append(data)
-            direct.append(runs.reshape(-1, 5))
+            direct.append(runs.reshape(-1, 6))
         meta, size = np.concatenate(metas), np.concatenate(lengths)
         data = np.frombuffer(b"".join(parts), np.uint8)
         del parts
         end = np.cumsum(size)
         whole = K.hash_spans(data, end - size, end).view(np.int64)
         # equal rows of the table give one place
-        order = np.lexsort((whole, meta[:, 3], meta[:, 2], meta[:, 1], meta[:, 0]))
+        order = np.lexsort((whole, meta[:, 4], meta[:, 3], meta[:, 2]))
         rows = np.column_stack([meta, whole])[order]
         keep = np.ones(len(order), bool)
         keep[1:] = (rows[1:] != rows[:-1]).any(1)
@@ -415,26 +463,29 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
         twice = np.flatnonzero(times > 1)
         again = words[K.ranges(ends[twice] - lens[twice], lens[twice])]
         index = Index(np.concatenate([words, again]), np.concatenate([ends, len(words) + np.cumsum(lens[twice])]), len(names) + 1)
-        seq, pos, longest = index.repeats(len(lens), min_words)
+        seq, pos, longest = index.passages(len(lens), min_words)
         # to every text that has the place
         by = np.argsort(which, kind="stable")
         at = np.searchsorted(which[by], np.arange(len(kind) + 1))
         n = at[seq + 1] - at[seq]
         rows = own[by[K.ranges(at[seq], n)]]
-        s = meta[rows, 3] + np.repeat(pos, n)
+        s = meta[rows, 4] + np.repeat(pos, n)
         longest = np.repeat(longest, n)
-        found = np.column_stack([meta[rows, :3], s, s + longest, longest])
+        found = np.column_stack([meta[rows, :4], s, s + longest, longest])
         # a run of n equal words repeats n - 1 of them
         direct = np.unique(np.concatenate(direct), axis=0)
-        found = np.concatenate([found, np.column_stack([direct, direct[:, 4] - direct[:, 3] - 1])])
-        return pa.table({"id": pa.array(found[:, 1], mask=found[:, 0] != 0), "key": pa.array(found[:, 2].astype(np.int32)), "s": pa.array(found[:, 3].astype(np.int32)), "e": pa.array(found[:, 4].astype(np.int32)), "longest": pa.array(found[:, 5].astype(np.int32))})
+        found = np.concatenate([found, np.column_stack([direct, direct[:, 5] - direct[:, 4] - 1])])
+        whole = {"k1": found[:, 2], "k2": found[:, 3], "s": found[:, 4].astype(np.int32), "e": found[:, 5].astype(np.int32), "longest": found[:, 6].astype(np.int32)}
+        return pa.table({"id": pa.array(found[:, 1], mask=found[:, 0] != 0)} | {k: pa.array(v) for k, v in whole.items()})
 
-    places = _candidates(df, id_col, text_col, min_words).mapInArrow(send, "shard int, places binary")
-    return places.groupBy("shard").applyInArrow(search, "id long, key int, s int, e int, longest int")
+    blobs = found.mapInArrow(send, "shard int, places binary")
+    return grouped(blobs, "shard", places * PLACE_WEIGHT, least_shards * SHARDS).applyInArrow(search, "id long, k1 long, k2 long, s int, e int, longest int")
 
 
 def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, longest_match): intervals of words that are covered by passages
     of at least min_words words which occur twice or more; longest_match is the longest of these."""
-    united = islands(_spans(df, id_col, text_col, min_words), ["id", "key"], F.max("longest").alias("longest"))
+    united = islands(_spans(df, id_col, text_col, min_words), ["id", "k1", "k2"], F.max("longest").alias("longest"))
+    if not frames.whole_ids(df, id_col):
+        united = frames.named(united.drop("id"), df, id_col, text_col, "id")
     return united.select(F.col("id").alias("doc_id"), F.col("s").alias("start_word"), F.col("e").alias("end_word"), F.col("longest").alias("longest_match"))

@@ -12,12 +12,15 @@
    distance d before the anchor, suffixes with equal min_words - d words after it are grouped by the
    d words before it: what is then together are all occurrences of one window of min_words words.
 
-Of the occurrences of a window the one with the least (doc_id, text hash, position) is the first (a
-NULL doc_id comes last); the others are copies. Windows are united to intervals.
+Of the occurrences of a window the one with the least (doc_id, row name, position) is the first (a
+NULL doc_id comes last; ids that aren't whole numbers have no order, the row name decides); the
+others are copies. Windows are united to intervals.
 
 Defined results: texts that are NULL or have fewer than `min_words` words have no passage. Equal
-rows (doc_id and text) are one text. Rows with NULL ids are told apart by their texts. Words are
-compared as they are, white space between them isn't. A passage repeated within one text counts.
+rows (doc_id and text) are one text. Rows with NULL or repeated ids are told apart by 128 bits of id
+and text. Words are compared as they are, white space between them isn't. A passage repeated within
+one text counts. Texts of any length are searched whole; an empty table gives an empty one; other
+columns, whatever their names, don't matter and pass through drop_repeated_passages().
 """
 
 from __future__ import annotations
@@ -25,9 +28,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-
 from . import frames, kernels as K
-from .repeats import MIN_WORDS, Words, candidates, islands, pack, part_of, repeated_anchors, unpack
+from .repeats import MIN_WORDS, Once, Words, candidates, grouped, islands, pack, part_count, part_of, repeated_anchors, unpack
 
 #: Bytes of suffixes that a task sorts at once; what exceeds it makes another run.
 RUN_BYTES = 16 << 20
@@ -191,8 +193,10 @@ def _bit_runs(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, key, copy, s, e, first_id): windows as intervals, not yet united."""
-    parts = frames.partitions(df.sparkSession)
+    """(id, k1, k2, copy, s, e, first_id, first_k1, first_k2): windows as intervals, not yet united."""
+    least_parts = frames.partitions(df.sparkSession)
+    found, places = candidates(df, id_col, text_col, min_words)
+    parts = part_count(places, least_parts)
 
     def sort(it):
         import pyarrow as pa
@@ -207,21 +211,22 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
             m = np.concatenate(meta)
             order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
             m = m[order]
-            part = part_of(m[:, 7], parts)
+            part = part_of(m[:, 8], parts)
             cut = np.flatnonzero(np.diff(part, prepend=-1))
             names, blobs = part[cut], []
             for a, b in zip(cut, np.append(cut[1:], len(part))):
                 own = order[a:b].tolist()
                 shared, sizes, rests = front_code([keys[k] for k in own])
                 left = [lefts[k] for k in own]
-                blobs.append(pack(shared, sizes, rests, np.array([len(x) for x in left], np.int32), b"".join(left), m[a:b, :7]))
+                blobs.append(pack(shared, sizes, rests, np.array([len(x) for x in left], np.int32), b"".join(left), m[a:b, :8]))
             keys.clear(), lefts.clear(), meta.clear()
             size = 0
             return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "run"])
 
-        for batch in it:
+        once = Once()
+        for batch in map(once.filter, it):
             texts = frames.strings(batch, "text")
-            ids, ks = frames.column(batch, "id"), frames.column(batch, "key").to_numpy(zero_copy_only=False)
+            ids, (k1, k2) = frames.column(batch, "id"), (frames.column(batch, c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
             nulls, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
             hashes = frames.column(batch, "h")
             for a, b in K.batches(texts):
@@ -229,7 +234,7 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
                 data, at = w.joined()
                 doc, p, h, near, far = repeated_anchors(w, hashes.slice(a, b - a), min_words)
                 pos = p - w.docs[doc]
-                m = np.stack([nulls[a + doc], ids[a + doc], ks[a + doc], pos, pos, near, far, h.astype(np.int64)], 1).astype(np.int64)
+                m = np.stack([nulls[a + doc], ids[a + doc], k1[a + doc], k2[a + doc], pos, pos, near, far, h.astype(np.int64)], 1).astype(np.int64)
                 # places in a row: runs of one word have equal suffixes, which become one with a range
                 row = np.zeros(len(p), bool)
                 row[1:] = (np.diff(p) == 1) & (doc[1:] == doc[:-1]) & (h[1:] == h[:-1]) & (near[1:] == near[:-1]) & (far[1:] == far[:-1])
@@ -240,7 +245,7 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
                 for j, (i, end, start, again) in enumerate(zip(x, y, z, row.tolist())):
                     key, left = heads[8 * j : 8 * j + 8] + data[i:end], data[start:i]
                     if again and key == keys[-1] and left == lefts[-1]:
-                        m[kept[-1], 4] += 1
+                        m[kept[-1], 5] += 1
                         continue
                     kept.append(j)
                     keys.append(key)
@@ -261,16 +266,16 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
             runs.append((front_decode(shared, sizes, rests), shared.tolist()))
             end = np.cumsum(left_sizes).tolist()
             lefts.append([left[e - n : e] for e, n in zip(end, left_sizes.tolist())])
-            metas.append(meta.reshape(-1, 7))
+            metas.append(meta.reshape(-1, 8))
         order, shared = merge(runs)
         n = len(order)
         words = np.fromiter((runs[r][0][k].count(b" ", 8, s) if s > 8 else 0 for (r, k), s in zip(order, shared)), np.int64, n)
         right = np.fromiter((runs[r][0][k].count(b" ", 8) for r, k in order), np.int64, n)
         first_row = np.cumsum([0] + [len(m) for m in metas])
-        meta = np.concatenate(metas)[np.array([first_row[r] + k for r, k in order], np.int64)] if n else np.empty((0, 7), np.int64)
+        meta = np.concatenate(metas)[np.array([first_row[r] + k for r, k in order], np.int64)] if n else np.empty((0, 8), np.int64)
         left = [lefts[r][k] for r, k in order]
         # the same text may come from equal rows: one occurrence
-        by = np.lexsort((meta[:, 3], meta[:, 2], meta[:, 1], meta[:, 0]))
+        by = np.lexsort((meta[:, 4], meta[:, 3], meta[:, 2], meta[:, 1], meta[:, 0]))
         same = np.zeros(n, bool)
         same[by[1:]] = (meta[by[1:]] == meta[by[:-1]]).all(1)
         rank = np.empty(n, np.int64)
@@ -280,27 +285,28 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
         low = np.minimum.reduceat(words, np.concatenate([[0], keep[:-1] + 1])) if len(keep) else words[:0]
         where = np.empty(len(keep), np.int64)
         where[rank[keep]] = keep
-        copy, first, least = window_groups(low, right[keep], [left[k] for k in keep.tolist()], meta[keep, 5], meta[keep, 6], rank[keep], meta[keep, 4] > meta[keep, 3], min_words)
+        copy, first, least = window_groups(low, right[keep], [left[k] for k in keep.tolist()], meta[keep, 6], meta[keep, 7], rank[keep], meta[keep, 5] > meta[keep, 4], min_words)
         out = []
         for table_, is_copy in ((copy, True), (first, False)):
             r, a, b = _bit_runs(table_)
             own = meta[keep[r]]
             lowest = np.array([least[i, x : y + 1].min() for i, x, y in zip(r.tolist(), a.tolist(), b.tolist())], np.int64)
-            src = meta[where[lowest]] if len(r) else np.empty((0, 7), np.int64)
-            rows = (own[:, 1], own[:, 0] != 0, own[:, 2], np.full(len(r), is_copy), own[:, 3] - b, (own[:, 4] if is_copy else own[:, 3]) - a + min_words, src[:, 1], src[:, 0] != 0)
+            src = meta[where[lowest]] if len(r) else np.empty((0, 8), np.int64)
+            rows = (own[:, 1], own[:, 0] != 0, own[:, 2], own[:, 3], np.full(len(r), is_copy), own[:, 4] - b, (own[:, 5] if is_copy else own[:, 4]) - a + min_words, src[:, 1], src[:, 0] != 0, src[:, 2], src[:, 3])
             out.append(rows)
-            if not is_copy and (more := own[:, 4] > own[:, 3]).any():
+            if not is_copy and (more := own[:, 5] > own[:, 4]).any():
                 # the other places of a range are copies of its first
                 rest = [c[more] for c in rows]
-                rest[3] = np.full(len(rest[3]), True)
-                rest[4] = rest[4] + 1
-                rest[5] = rest[5] + (own[:, 4] - own[:, 3])[more]
+                rest[4] = np.full(len(rest[4]), True)
+                rest[5] = rest[5] + 1
+                rest[6] = rest[6] + (own[:, 5] - own[:, 4])[more]
                 out.append(tuple(rest))
         c = [np.concatenate(x) for x in zip(*out)]
-        return pa.table({"id": pa.array(c[0], mask=c[1]), "key": pa.array(c[2].astype(np.int32)), "copy": pa.array(c[3]), "s": pa.array(c[4].astype(np.int32)), "e": pa.array(c[5].astype(np.int32)), "first_id": pa.array(c[6], mask=c[7])})
+        whole = {"k1": c[2], "k2": c[3], "copy": c[4], "s": c[5].astype(np.int32), "e": c[6].astype(np.int32), "first_k1": c[9], "first_k2": c[10]}
+        return pa.table({"id": pa.array(c[0], mask=c[1]), "first_id": pa.array(c[7], mask=c[8])} | {k: pa.array(v) for k, v in whole.items()}).select(["id", "k1", "k2", "copy", "s", "e", "first_id", "first_k1", "first_k2"])
 
-    runs = candidates(df, id_col, text_col, min_words).mapInArrow(sort, "part int, run binary")
-    return runs.groupBy("part").applyInArrow(join, "id long, key int, copy boolean, s int, e int, first_id long")
+    runs = found.mapInArrow(sort, "part int, run binary")
+    return grouped(runs, "part", places, least_parts).applyInArrow(join, "id long, k1 long, k2 long, copy boolean, s int, e int, first_id long, first_k1 long, first_k2 long")
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -308,7 +314,10 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text lie in windows of min_words words that occur elsewhere too: in copies, or in the first
     occurrences. first_doc_id is a document in which one of these windows occurs first."""
     spans = _spans(df, id_col, text_col, min_words)
-    united = islands(spans, ["id", "key", "copy"], F.min("first_id").alias("first_id"))
+    least = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "first_k1", "first_k2")).alias("first")
+    united = islands(spans, ["id", "k1", "k2", "copy"], least).select("id", "k1", "k2", "copy", "s", "e", "first.*")
+    if not frames.whole_ids(df, id_col):
+        united = frames.named(frames.named(united.drop("id", "first_id"), df, id_col, text_col, "id"), df, id_col, text_col, "first_id", "first_k1", "first_k2")
     return united.select(F.col("id").alias("doc_id"), F.col("s").alias("start_word"), F.col("e").alias("end_word"), F.col("copy").alias("is_copy"), F.col("first_id").alias("first_doc_id"))
 
 
@@ -337,13 +346,11 @@ def drop_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str
     Texts of which nothing but white space is left go, with their rows; other rows stay, and their
     chars_col, if df has it, is the length of what is left. All other columns are as they were.
     """
-    spans = islands(_spans(df, id_col, text_col, min_words).where("copy"), ["id", "key"])
-    names = {c.lower() for c in df.columns}
-    a, b, c = (next(x for x in (f"_{c}{'_' * k}" for k in range(99)) if x.lower() not in names and f"{x.lower()}d" not in names) for c in ("id", "key", "cuts"))
-    each = spans.groupBy("id", "key").agg(F.collect_list(F.struct("s", "e")).alias(c)).select(F.col("id").alias(a), F.col("key").alias(b), c)
-    keyed = df.withColumns({f"{a}d": df[id_col].cast("long"), f"{b}d": F.hash(df[text_col])})
-    on = F.col(f"{a}d").eqNullSafe(F.col(a)) & (F.col(f"{b}d") == F.col(b))
-    joined = keyed.join(each.hint("shuffle_hash"), on, "left").drop(a, b, f"{a}d", f"{b}d")
+    spans = islands(_spans(df, id_col, text_col, min_words).where("copy"), ["k1", "k2"])
+    a, b, c = frames.unused(df, "_k1", "_k2", "_cuts")
+    each = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias(c)).select(F.col("k1").alias(a), F.col("k2").alias(b), c)
+    keyed = df.withColumns(dict(zip((a, b), frames.row_key(id_col, text_col))))
+    joined = keyed.join(each, [a, b], "left").drop(a, b)
     cols = df.columns
     chars = next((x for x in cols if x.lower() == chars_col.lower()), None)
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from quillframe.llm import substring, suffixes
+from quillframe.llm import frames, substring, suffixes
 
 
 def brute(rows, n, key):
@@ -14,7 +14,7 @@ def brute(rows, n, key):
         if t is not None:
             w = t.split()
             for i in range(len(w) - n + 1):
-                where[tuple(w[i : i + n])].append((d is None, d or 0, key(t), i, d, t))
+                where[tuple(w[i : i + n])].append((not isinstance(d, int), d if isinstance(d, int) else 0, key[d, t], i, d, t))
     copy, first = defaultdict(set), defaultdict(set)
     for places in where.values():
         if len(places) > 1:
@@ -39,32 +39,36 @@ def corpus(seed, words=40, docs=30):
     return rows
 
 
-def hashes(spark, rows):
-    from pyspark.sql import functions as F
+def row_names(df):
+    return {(r["doc_id"], r["text"]): (r["k1"], r["k2"]) for r in df.select("doc_id", "text", *frames.row_key()).collect()}
 
-    ts = sorted({t for _, t in rows if t is not None})
-    return {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in ts], "t string").select("t", F.hash("t").alias("h")).collect()}
 
-
-@pytest.mark.parametrize("seed,n", [(1, 6), (2, 20), (3, 1)])
-def test_against_brute_force(spark, seed, n):
+@pytest.mark.parametrize("seed,n,kind", [(1, 6, "long"), (2, 20, "string"), (3, 1, "int")])
+def test_against_brute_force(spark, seed, n, kind):
     rows = corpus(seed)
-    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, key string")
-    names = hashes(spark, rows)
-    by_key = {(d, names[t]): (d, t) for d, t in rows if t is not None}
-    want_copy, want_first = brute(rows, n, names.__getitem__)
+    if kind == "string":
+        rows = [(None if d is None else f"doc-{d}", t) for d, t in rows]
+    df = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], f"doc_id {kind}, text string, k1 string, _cuts string")
+    names = row_names(df)
+    by_key = {v: k for k, v in names.items()}
+    want_copy, want_first = brute(rows, n, names)
     got_copy, got_first = defaultdict(set), defaultdict(set)
     for r in suffixes._spans(df, "doc_id", "text", n).collect():
-        (got_copy if r["copy"] else got_first)[by_key[r["id"], r["key"]]].update(range(r["s"], r["e"]))
+        (got_copy if r["copy"] else got_first)[by_key[r["k1"], r["k2"]]].update(range(r["s"], r["e"]))
     assert got_copy == want_copy and got_first == want_first
     got = defaultdict(set)
     for r in substring._spans(df, "doc_id", "text", n).collect():
-        got[by_key[r["id"], r["key"]]].update(range(r["s"], r["e"]))
+        got[by_key[r["k1"], r["k2"]]].update(range(r["s"], r["e"]))
     want = defaultdict(set)
     for part in (want_copy, want_first):
         for k, v in part.items():
             want[k] |= v
     assert got == want
+    # ids keep their type, and name documents
+    ids = {d for d, _ in rows}
+    for r in suffixes.repeated_passages(df, min_words=n).collect():
+        assert r["doc_id"] in ids and r["first_doc_id"] in ids
+    assert {r["doc_id"] for r in substring.repeated_substrings(df, min_words=n).collect()} == {d for d, _ in want}
     # the copies leave the texts, and only these
     left = {(r["doc_id"], r["text"]) for r in suffixes.drop_repeated_passages(df, min_words=n).collect()}
     for d, t in set(rows):
@@ -125,6 +129,12 @@ def test_index():
                 for k, j in places:
                     want[k].update(range(j, j + n))
         assert got == want
+        index = substring.Index(words, ends, int(words.max()) + 1)
+        for a, b, c in zip(*(x.tolist() for x in index.passages(len(lens), n))):
+            at = lambda k, j, size: seqs[k][j : j + size].tolist()
+            others = [(k, j) for k in range(len(seqs)) for j in range(len(seqs[k])) if (k, j) != (a, b)]
+            assert any(at(k, j, c) == at(a, b, c) for k, j in others if j + c <= len(seqs[k]))
+            assert not any(at(k, j, c + 1) == at(a, b, c + 1) for k, j in others if j + c < len(seqs[k])) or b + c == len(seqs[a])
 
 
 def longest_in(rows, n):
