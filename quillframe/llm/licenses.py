@@ -1,22 +1,29 @@
 """License scans: normalised text against licence templates by Dice's coefficient of word bigrams.
 
-A text is compared as a whole, paragraph by paragraph (blank lines part these) and line by line,
-since licences come as files, as blocks and as notices. Normalised means: lower case, and words are
-runs of letters and numbers. The coefficient is 2 * common / (bigrams of the unit + bigrams of the
-template), both as sets. With threshold t a unit of n bigrams can only match templates of
-n * t / (2 - t) to n * (2 - t) / t bigrams; others are pruned before anything is compared, and so
-are units without any bigram of a template.
+Normalised means: lower case, and words are runs of letters and numbers. A text is cut into pieces at
+line breaks and after full stops, question and exclamation marks before white space; what is compared
+with a template is every run of consecutive pieces, so a licence is found as a file, as several
+paragraphs inside a longer text, as a line or as a sentence. The coefficient is
+2 * common / (bigrams of the run + bigrams of the template), both as sets.
+
+Sizes prune twice before anything is compared. With threshold t a run that reaches it shares at least
+bigrams * t / (2 - t) with the template: texts that share fewer with it in all leave it out. And a
+run has at most words * (2 - t) / t words, of those of the template: longer ones aren't units. Of the
+other runs only those matter that begin and end with pieces that share a bigram, as the outer pieces
+of others only lower the coefficient.
 
 Defined results: texts that are NULL, blank or of one word have no licence and no row. A licence is
-reported once a row of df with its best score, whichever templates and units matched. Equal rows are
-reported each; ties don't matter, as all licences above the threshold are reported. Long texts are
-scanned whole.
+reported once a row of df with its best score, whichever templates and runs matched. Equal rows are
+reported each; ties don't matter, as all licences above the threshold are reported. Ids pass through
+in their own type, NULL included; other columns, whatever their names, play no part. Long texts are
+scanned whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..runtime import ship
 from . import frames, kernels as K
@@ -34,13 +41,15 @@ class Templates:
 
     def __init__(self, templates=TEMPLATES):
         self.names = np.array([t[0] for t in templates])
-        sets = []
+        sets, words = [], []
         for _, _, text in templates:
             cp, at = K.code_points([text.lower()])
-            sets.append(np.unique(_bigrams(K.Spans(cp).hash(*K.alnum_words(cp, at)))))
+            h = K.Spans(cp).hash(*K.alnum_words(cp, at))
+            sets.append(np.unique(_bigrams(h)))
+            words.append(len(h))
         self.bigrams = np.unique(np.concatenate(sets))
-        self.has = np.stack([np.isin(self.bigrams, s) for s in sets], 1).astype(np.int32)
-        self.sizes = np.array([len(s) for s in sets])
+        self.has = np.stack([np.isin(self.bigrams, s) for s in sets], 1)
+        self.sizes, self.words = np.array([len(s) for s in sets]), np.array(words)
         # most bigrams of a corpus are in no template: a bit table tells it faster
         self._bits = np.zeros(1 << 16, bool)
         self._bits[(self.bigrams >> np.uint64(48)).astype(np.int64)] = True
@@ -53,20 +62,41 @@ class Templates:
         return maybe[ok], at[ok]
 
 
-def _units(cp: np.ndarray, doc_starts: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """For each word the number of its text, its paragraph and its line."""
-    doc = np.searchsorted(doc_starts, starts, "right") - 1
-    nl = np.flatnonzero(cp == 10)
-    lines = np.searchsorted(nl, starts)
-    ink = np.concatenate([[0], np.cumsum((cp != 32) & (cp != 9) & (cp != 13) & (cp != 10))])
-    blank = np.flatnonzero(ink[nl[1:]] == ink[nl[:-1]]) if len(nl) > 1 else nl[:0]
-    paragraphs = np.searchsorted(nl[blank], starts)
-    return [doc, doc + paragraphs, doc + lines]
+def _pieces(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each word a number of its piece, rising through the texts (which are cut elsewhere)."""
+    cut = cp == 10
+    stop = (cp[:-1] == 0x2E) | (cp[:-1] == 0x21) | (cp[:-1] == 0x3F)
+    cut[:-1] |= stop & np.isin(cp[1:], (9, 10, 12, 13, 32))
+    return np.cumsum(cut)[starts]
+
+
+def _best_run(h: np.ndarray, piece: np.ndarray, at: np.ndarray, own: np.ndarray, size: int, words: int, threshold: float) -> float:
+    """The best coefficient of the runs of pieces of one text with one template, 0.0 below the threshold.
+
+    h, piece: the text's bigrams and its words' pieces; at: places of the template's bigrams in the
+    text; own: which of the text's bigrams these are.
+    """
+    first = np.searchsorted(piece, np.unique(piece[at]))
+    last = np.searchsorted(piece, np.unique(piece[at + 1]), "right")
+    most, best = int(words * (2 - threshold) / threshold), 0.0
+    for a in first.tolist():
+        ends = last[(last > a + 1) & (last <= a + most)]
+        if not len(ends):
+            continue
+        _, new = np.unique(h[a : ends[-1] - 1], return_index=True)
+        fresh = np.zeros(int(ends[-1]) - a, np.int64)
+        fresh[new + 1] = 1
+        n = np.cumsum(fresh)[ends - a - 1]
+        fresh[np.flatnonzero(~own[a : ends[-1] - 1]) + 1] = 0
+        score = 2.0 * np.cumsum(fresh)[ends - a - 1] / (n + size)
+        best = max(best, float(score.max()))
+    return best if best >= threshold else 0.0
 
 
 def scan(texts: list[str], templates: Templates, threshold: float = THRESHOLD) -> list[tuple[int, str, float]]:
     """(text, licence, score) of all licences found."""
     out: dict[tuple[int, str], float] = {}
+    least = templates.sizes * threshold / (2 - threshold) - 1e-9
     for a, b in K.batches(texts):
         cp, doc_starts = K.code_points([t.lower() for t in texts[a:b]])
         starts, ends = K.alnum_words(cp, doc_starts)
@@ -74,31 +104,40 @@ def scan(texts: list[str], templates: Templates, threshold: float = THRESHOLD) -
             continue
         h = _bigrams(K.Spans(cp).hash(starts, ends))
         at, which = templates.find(h)
-        units = _units(cp, doc_starts, starts)
-        for unit in units:
-            ok = unit[at] == unit[at + 1]
-            u, w = unit[at[ok]], which[ok]
-            if not len(u):
-                continue
-            pair = np.unique(u * len(templates.bigrams) + w)
-            u, w = np.divmod(pair, len(templates.bigrams))
-            first = np.flatnonzero(np.diff(u, prepend=-1))
-            common = np.add.reduceat(templates.has[w], first, axis=0)
-            u = u[first]
-            # a unit has at least as many bigrams as it shares
-            best = 2 * common / (common + templates.sizes)
-            lo, hi = np.searchsorted(unit, u), np.searchsorted(unit, u, "right")
-            for k in np.flatnonzero((best >= threshold).any(1)):
-                n = len(np.unique(h[lo[k] : hi[k] - 1]))
-                fits = (templates.sizes >= n * threshold / (2 - threshold) - 1e-9) & (templates.sizes <= n * (2 - threshold) / threshold + 1e-9)
-                for t in np.flatnonzero(fits & (best[k] >= threshold)):
-                    score = 2.0 * int(common[k, t]) / (n + int(templates.sizes[t]))
-                    if score >= threshold:
-                        key = (a + int(units[0][lo[k]]), str(templates.names[t]))
-                        out[key] = max(score, out.get(key, 0.0))
+        doc = np.searchsorted(doc_starts, starts, "right") - 1
+        inside = doc[at] == doc[at + 1]
+        at, which = at[inside], which[inside]
+        if not len(at):
+            continue
+        # different bigrams that each text shares with each template
+        count = len(templates.bigrams)
+        d, w = np.divmod(np.unique(doc[at] * count + which), count)
+        first = np.flatnonzero(np.diff(d, prepend=-1))
+        common = np.add.reduceat(templates.has[w].astype(np.int32), first, axis=0)
+        piece = None
+        for k, t in zip(*np.nonzero(common >= least)):
+            piece = _pieces(cp, starts) if piece is None else piece
+            lo, hi = np.searchsorted(doc, d[first[k]]), np.searchsorted(doc, d[first[k]], "right")
+            mine = slice(*np.searchsorted(at, (lo, hi)))
+            places = at[mine][templates.has[which[mine], t]] - lo
+            own = np.zeros(hi - lo, bool)
+            own[places] = True
+            score = _best_run(h[lo : hi - 1], piece[lo:hi], places, own, int(templates.sizes[t]), int(templates.words[t]), threshold)
+            if score:
+                key = (a + int(d[first[k]]), str(templates.names[t]))
+                out[key] = max(score, out.get(key, 0.0))
     return sorted((k, n, s) for (k, n), s in out.items())
 
 
+def read_templates(folder: str) -> tuple[tuple[str, str, str], ...]:
+    """TEMPLATES and every file of a folder of licence texts, named by the file."""
+    import os
+
+    files = sorted(f for f in os.scandir(folder) if f.is_file())
+    own = [(f.name.removesuffix(".txt"), "text", open(f.path, encoding="utf-8", errors="replace").read()) for f in files]
+    return TEMPLATES + tuple(t for t in own if len(t[2].split()) > 1)
+
+
 def find_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """(doc_id, license, score) of every licence in every text."""
     ship(df.sparkSession)
@@ -114,24 +153,33 @@ def find_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids = frames.column(batch, "doc_id").take(pa.array([k for k, _, _ in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([n for _, n, _ in found], pa.string()), pa.array([s for _, _, s in found], pa.float64())], names=["doc_id", "license", "score"])
 
-    src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "doc_id long, license string, score double")
+    src = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return src.mapInArrow(run, StructType([StructField("doc_id", src.schema["doc_id"].dataType), StructField("license", StringType()), StructField("score", DoubleType())]))
 
 
 def oracle_sql(source: str = "documents", threshold: float = THRESHOLD) -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL: of the texts that share enough with a template, all its runs."""
     rows = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, _, t) in enumerate(TEMPLATES))
-    norm = r"string_split(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
-    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    norm = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+    pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
     return rf"""
 with t as (
-  select k, license, {pairs} as tb from (select k, license, {norm.format("txt")} as w from (values {rows}) v(k, license, txt))
-), units as (
-  select doc_id, unnest(list_distinct(list_concat([text], string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t\r]*\n')))) as unit from {source} where text is not null
-), u as (
-  select doc_id, {pairs} as ub from (select doc_id, {norm.format("unit")} as w from units)
+  select k, license, {pairs.format("w")} as tb, len(w) as tw from (select k, license, {norm.format("txt")} as w from (values {rows}) v(k, license, txt))
+), d as (
+  select row_number() over () as r, doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n|[.!?][ \t\n\f\r]'), lambda p: {norm.format("p")}), lambda p: len(p) > 0) as ps
+  from {source} where text is not null
+), f as (
+  select r, doc_id, ps, flatten(ps) as w, list_transform(range(0, len(ps) + 1), lambda i: coalesce(list_sum(list_transform(ps[1:i], lambda p: len(p))), 0)::bigint) as upto from d
+), c as (
+  select r, doc_id, w, upto, k, license, tb, tw
+  from (select *, {pairs.format("w")} as wb from f where len(w) > 1) join t on len(list_intersect(wb, tb)) >= len(tb) * {threshold} / {2 - threshold} - 1e-9
 ), s as (
-  select doc_id, license, 2.0::double * len(list_intersect(ub, tb)) / (len(ub) + len(tb)) as score
-  from u join t on len(tb) >= len(ub) * {threshold} / {2 - threshold} - 1e-9 and len(tb) <= len(ub) * {2 - threshold} / {threshold} + 1e-9 where len(ub) > 0
+  select *, unnest(range(1, len(upto))) as i from c
+), e as (
+  select *, unnest(list_filter(range(i + 1, len(upto) + 1), lambda j: upto[j] - upto[i] > 1 and upto[j] - upto[i] <= floor(tw * {2 - threshold} / {threshold}))) as j from s
+), m as (
+  select r, doc_id, license, tb, list_distinct(list_transform(range(upto[i] + 1, upto[j]), lambda x: w[x] || ' ' || w[x + 1])) as ub from e
+), x as (
+  select r, doc_id, license, max(2.0::double * len(list_intersect(ub, tb)) / (len(ub) + len(tb))) as score from m group by r, doc_id, license
 )
-select doc_id, license, max(score) as score from s where score >= {threshold} group by doc_id, license"""
+select doc_id, license, score from x where score >= {threshold}"""
