@@ -5,11 +5,11 @@ expressions: counts of words and lines, symbols and punctuation against words, s
 words, repeated lines against lines. A text passes if no rule fails.
 
 Defined results: NULL, empty and blank texts have 0 words and NULL for the other measures, and fail
-`n_words`. Texts of any length are measured whole. Distinct words over all words fall as any prose
-grows, so drop_low_quality() takes their mean ratio over consecutive blocks of BLOCK words of the
-whole text instead, and has no greatest number of words; RULES and measure() are what the SQL says. Rows are independent; repeated rows get repeated
-results, an empty table an empty one. Columns of df named like a measure, `failed` or `keep` are
-replaced by measure(); drop_low_quality() returns df's own columns untouched.
+`n_words`. Texts of any length are measured whole, and none fails for its length: the ratio of
+distinct words, which falls as any prose grows, is the mean over consecutive blocks of BLOCK words of
+the whole text. Rows are independent; repeated rows get repeated results, an empty table an empty
+one. Columns of df named like a measure, `failed` or `keep` are replaced by measure();
+drop_low_quality() returns df's own columns untouched.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ class Rule(NamedTuple):
 
 
 RULES = (
-    Rule("n_words", 1, 1_000_000),
+    Rule("n_words", 1, None),
     Rule("mean_word_length", 2, 12, 5),
     Rule("symbol_ratio", None, 0.25, 5),
     Rule("upper_ratio", None, 0.7, 5),
@@ -49,8 +49,6 @@ RULES = (
 MEASURES = tuple(r.measure for r in RULES)
 #: Words of a block; texts of no more words have the ratio of all their words.
 BLOCK = 1000
-#: The rules of drop_low_quality(): as RULES, but none rejects a text for its length.
-KEEP_RULES = tuple(r._replace(high=None) if r.measure == "n_words" else r._replace(measure="block_unique_ratio") if r.measure == "unique_word_ratio" else r for r in RULES)
 
 
 def _parts(text: str) -> dict[str, str]:
@@ -77,8 +75,7 @@ def _measures() -> dict[str, str]:
         "upper_ratio": "_upper / nullif(length(translate(_plain, ' ', '')), 0)",
         "alpha_word_ratio": f"size(filter(_words, w -> w rlike r'\\p{{L}}')) / {n}",
         "stop_word_ratio": f"size(filter(split(_plain, ' '), w -> w in ({stop}))) / {n}",
-        "unique_word_ratio": f"size(array_distinct(_words)) / {n}",
-        "block_unique_ratio": f"size(array_distinct(transform(_words, (w, i) -> concat(i div {BLOCK}, ' ', w)))) / {n}",
+        "unique_word_ratio": f"size(array_distinct(transform(_words, (w, i) -> concat(i div {BLOCK}, ' ', w)))) / {n}",
         "repeated_line_ratio": f"1 - size(array_distinct(_lines)) / {lines}",
         "bullet_line_ratio": f"size(filter(_lines, l -> substr(l, 1, 1) in ('-', '*', '•'))) / {lines}",
         "ellipsis_line_ratio": f"size(filter(_lines, l -> l like '%...' or l like '%…')) / {lines}",
@@ -91,25 +88,29 @@ def fails(rule: Rule) -> str:
     return f"(n_words >= {rule.from_words} and ({' or '.join(bounds)}))"
 
 
+def _measured(df: DataFrame, text_col: str, rules: tuple[Rule, ...], *carried) -> DataFrame:
+    """The carried columns, all measures and `failed`."""
+    own = [c for c, _ in carried]
+    held = df.select(*[value.alias(c) for c, value in carried], F.col(f"`{text_col}`").alias("_text"))
+    first = held.select(*own, *[F.expr(e).alias(n) for n, e in _parts("_text").items()])
+    second = first.select(*own, *[F.expr(e).alias(n) for n, e in _measures().items()])
+    return second.withColumn("failed", F.concat_ws(",", *[F.when(F.expr(fails(r)), F.lit(r.measure)) for r in rules]))
+
+
 def measure(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with all measures, `failed` (names of failed rules, comma-separated) and `keep`."""
     names = {*MEASURES, "failed", "keep"}
     cols = [c for c in df.columns if c.lower() not in names]
-    held = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)], df[text_col].alias("_text"))
-    own = [f"_c{i}" for i in range(len(cols))]
-    first = held.select(*own, *[F.expr(e).alias(n) for n, e in _parts("_text").items()])
-    second = first.select(*own, *[F.expr(e).alias(n) for n, e in _measures().items()])
-    failed = F.concat_ws(",", *[F.when(F.expr(fails(r)), F.lit(r.measure)) for r in rules])
-    third = second.withColumn("failed", failed)
-    return third.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], *MEASURES, "failed", (F.col("failed") == "").alias("keep"))
+    done = _measured(df, text_col, rules, *[(f"_c{i}", F.col(f"`{c}`")) for i, c in enumerate(cols)])
+    return done.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], *MEASURES, "failed", (F.col("failed") == "").alias("keep"))
 
 
-def drop_low_quality(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = KEEP_RULES) -> DataFrame:
-    """The rows of df whose texts pass all rules."""
-    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), df[text_col].alias("_text"))
-    first = held.select("row", *[F.expr(e).alias(n) for n, e in _parts("_text").items()])
-    second = first.select("row", *[F.expr(e).alias(n) for n, e in _measures().items()])
-    good = second.where(F.expr(" and ".join(f"not coalesce({fails(r)}, false)" for r in rules)))
+def drop_low_quality(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of df whose texts pass all rules: the projection of measure(), whose good rows are
+    then generated from arrays of one row or none. A filter would be pushed below the projection and
+    compute every measure again for each rule."""
+    done = _measured(df, text_col, rules, ("_row", F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    good = done.select(F.explode(F.when(F.col("failed") == "", F.array("_row")).otherwise(F.slice(F.array("_row"), 1, 0))).alias("row"))
     return good.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
@@ -131,7 +132,7 @@ with parts as (
     (length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g'))) / nullif(length(replace(plain, ' ', '')), 0) as upper_ratio,
     len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) / {n} as alpha_word_ratio,
     len(list_filter(string_split(plain, ' '), lambda x: x in ({stop}))) / {n} as stop_word_ratio,
-    len(list_distinct(w)) / {n} as unique_word_ratio,
+    len(list_distinct(list_transform(w, lambda x, i: concat((i - 1) // {BLOCK}, ' ', x)))) / {n} as unique_word_ratio,
     1 - len(list_distinct(l)) / {lines} as repeated_line_ratio,
     len(list_filter(l, lambda x: x[1] in ('-', '*', '•'))) / {lines} as bullet_line_ratio,
     len(list_filter(l, lambda x: x like '%...' or x like '%…')) / {lines} as ellipsis_line_ratio
