@@ -3,13 +3,16 @@
 A source with share a of all characters and target weight w is repeated w / a times on average (its
 rate). Each row gets a number in [0, 1) from a hash of the seed, its id and its text; the inverse of
 the Poisson distribution with mean rate at that number says how often the row occurs. Rows are
-exploded by their counts and shuffled globally: sorted by a hash of the seed, row and copy, over
-range partitions. Nothing is drawn at random, so lost tasks give the same rows again.
+exploded by their counts and shuffled globally: sorted by a hash of the seed, row and copy. The
+hash's leading bits name the partition, as they spread evenly: no sampling pass is needed for equal
+ranges. The hash also takes a row's place in the table read, so that equal rows, however many, don't
+meet in one partition. Nothing is drawn at random, so lost tasks give the same rows again.
 
 Defined results: weights default to equal ones for the sources that there are, NULL being a source
 of its own; given weights are scaled to sum 1, and sources without a weight get none. Rows with NULL
 text count 0 characters. Sources without characters have rate 0. Equal rows have equal counts.
-Rates are statistics over all rows; an empty table gives an empty one. Other columns pass through.
+Rates are statistics over all rows; an empty table gives an empty one. Texts of any length count
+whole. Other columns pass through, whatever their names; one named like copy_col is replaced.
 """
 
 from __future__ import annotations
@@ -71,18 +74,21 @@ def replicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     small = r.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     r = r.select(F.col("source").alias("_source"), "rate").where("rate > 0")
     ident = F.concat_ws(":", F.lit(str(seed)), F.coalesce(df[id_col].cast("string"), F.lit("")), F.md5(F.coalesce(df[text_col], F.lit(""))))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), df[source_col].cast("string").alias("_s"), ident.alias("_ident"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), df[source_col].cast("string").alias("_s"), ident.alias("_ident"), F.monotonically_increasing_id().alias("_at"))
     joined = rows.join(F.broadcast(r) if small else r, F.col("_s").eqNullSafe(F.col("_source")))
     # a mean above MEAN is drawn as several equal ones
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN)).cast("int")
-    each = F.expr(f"transform(sequence(1, parts), j -> {uniform('concat(_ident, \":\", j)')})")
-    counted = joined.withColumn("parts", parts).withColumn("rate", F.col("rate") / F.col("parts")).withColumn("us", each)
+    draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN)).cast("long")
+    each = F.expr(f"transform(sequence(cast(1 as bigint), parts), j -> {uniform('concat(_ident, \":\", j)')})")
+    counted = joined.withColumn("parts", draws).withColumn("rate", F.col("rate") / F.col("parts")).withColumn("us", each)
     counted = counted.withColumn("n", F.expr(f"aggregate(us, cast(0 as bigint), (a, u) -> a + {_COUNT})"))
-    copies = counted.where("n > 0").select("row", "_ident", F.explode(F.expr("sequence(cast(0 as bigint), n - 1)")).alias("copy"))
-    order = F.xxhash64(F.lit(seed), F.col("_ident"), F.col("copy"))
-    mixed = copies.withColumn("_order", order).orderBy("_order", "_ident", "copy")
+    copies = counted.where("n > 0").select("row", "_ident", "_at", F.explode(F.expr("sequence(cast(0 as bigint), n - 1)")).alias("copy"))
+    ordered = copies.withColumn("_order", F.xxhash64(F.lit(seed), "_ident", "copy", "_at"))
+    # ranges of the hash (its 32 leading bits, as a number from 0) in order of the partitions
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.shiftright((F.shiftright("_order", 32) + (1 << 31)) * parts, 32).cast("int")
+    mixed = ordered.repartitionById(parts, place).sortWithinPartitions("_order", "_ident", "copy", "_at")
     extra = [F.col("copy").alias(copy_col)] if copy_col else []
-    return mixed.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c != copy_col], *extra)
+    return mixed.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c.lower() != (copy_col or "").lower()], *extra)
 
 
 def oracle_sql(source: str = "documents", seed: int = SEED) -> str:
