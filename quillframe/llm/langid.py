@@ -5,27 +5,31 @@ character n-grams. Decoding is loss-weighted: the chosen language is the one who
 least against all margins, weighted by how well each classifier did on held-out rows. If the next
 codeword loses hardly more, the answer is flagged as ambiguous.
 
-The classifiers are trained (logistic regression, here) on at most `sample_per_language` labelled
-rows of each language, chosen by a hash of the id; everything else reads whole texts of all rows.
+The classifiers are trained (logistic regression, here; one task a bit of the code) on at most
+`sample_per_language` labelled texts of each language, different ones, chosen by a hash of the text;
+everything else reads whole texts of all rows. The sample's features are all that leaves the rows:
+DIMENSIONS numbers a text, however long it is, for sample_per_language texts a language.
 
 Defined results: texts that are NULL or have no letter get a NULL language, NULL margin and are
-ambiguous. Rows with NULL labels aren't trained on. With one label, all texts get it; with none,
-NULL. Equal rows get equal answers, empty tables empty ones; columns of the outputs' names are
-replaced.
+ambiguous. Codewords that lose equally much go to the language that is first in order, with margin 0.
+Rows with NULL labels or texts aren't trained on; ids play no part. With one label, all texts get
+it; with none, NULL. Equal rows get equal answers, empty tables empty ones; columns of the outputs'
+names are replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
+from ..runtime import ship
 from . import frames, kernels as K
 
 DIMENSIONS = 4096
 SAMPLE_PER_LANGUAGE = 400
-#: Languages that a model can hold.
-MAX_LANGUAGES = 256
+#: Languages above which the table of their counts is joined by shuffle instead of sent to all executors.
+BROADCAST_LANGUAGES = 10_000
 AMBIGUOUS = 0.1
 
 
@@ -106,51 +110,66 @@ class Model:
         return out
 
 
-def fit(texts: list[str], labels: list[str], rounds: int = 400, rate: float = 8.0, decay: float = 1e-5) -> Model:
-    """Trains on every row but each fifth, which weighs the bits; deterministic."""
-    languages = sorted(set(labels))
-    code = codewords(len(languages))
-    if len(languages) < 2:
-        return Model(languages, code, np.zeros((DIMENSIONS, code.shape[1] if languages else 1), np.float32), np.zeros(code.shape[1] if languages else 1), np.ones(code.shape[1] if languages else 1))
-    x = features(texts)
-    y = code[[languages.index(v) for v in labels]]
-    held = np.arange(len(texts)) % 5 == 4
-    if held.sum() == 0:
-        held[:] = False
+def fit_bit(x: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = 400, rate: float = 8.0, decay: float = 1e-5) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and trust of one bit's classifier: logistic regression of y (+1, -1) on the rows of
+    x that aren't held out; these weigh the bit. Deterministic."""
     tx, ty = x[~held], y[~held]
-    w, b = np.zeros((DIMENSIONS, y.shape[1])), np.zeros(y.shape[1])
-    vw, vb = np.zeros_like(w), np.zeros_like(b)
+    w, b = np.zeros(x.shape[1]), 0.0
+    vw, vb = np.zeros_like(w), 0.0
     for _ in range(rounds):
-        g = -ty / (1 + np.exp(np.clip(ty * (tx @ w + b), -30, 30))) / len(tx)
-        vw, vb = 0.9 * vw - rate * (tx.T @ g + decay * w), 0.9 * vb - rate * g.sum(0)
+        g = (-ty / (1 + np.exp(np.clip(ty * (tx @ w.astype(np.float32) + b), -30, 30))) / len(tx)).astype(np.float32)
+        vw, vb = 0.9 * vw - rate * (g @ tx + decay * w), 0.9 * vb - rate * float(g.sum())
         w, b = w + vw, b + vb
-    right = ((np.sign(x[held] @ w + b) == y[held]).mean(0) if held.any() else np.ones(y.shape[1])).clip(0.5, 0.999)
-    return Model(languages, code, w.astype(np.float32), b, np.log(right / (1 - right)) + 1e-3)
-
-
-def sample(df: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int) -> list:
-    """At most per_language (text, label) of each label, those with the least hashes of their ids."""
-    labelled = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(11)), F.lit(1 << 40)).alias("h"))
-    counts = labelled.groupBy("label").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return []
-    # a bound on the hash leaves about 1.5 times the rows wanted; the exact ones are then chosen
-    share = [F.when(F.col("label") == r["label"], F.lit(int(min(1.0, 1.5 * per_language / r["count"]) * (1 << 40)) + 1)) for r in counts]
-    few = labelled.where(F.col("h") < F.coalesce(*share)).collect()
-    few.sort(key=lambda r: (r["label"], r["h"], r["text"]))
-    out, taken = [], {}
-    for r in few:
-        if taken.setdefault(r["label"], 0) < per_language:
-            taken[r["label"]] += 1
-            out.append((r["text"], r["label"]))
-    return out
+    right = float((np.sign(x[held] @ w + b) == y[held]).mean()) if held.any() else 1.0
+    right = min(max(right, 0.5), 0.999)
+    return w.astype(np.float32), b, float(np.log(right / (1 - right)) + 1e-3)
+
+
+def sample(df: DataFrame, text_col: str, label_col: str, per_language: int) -> DataFrame:
+    """(label, h, text): at most per_language different texts of each label, those with the least
+    hashes. Equal texts are one before they meet, so a hot text is no hot group."""
+    label, text = F.col(f"`{label_col}`").cast("string"), F.col(f"`{text_col}`")
+    labelled = df.where(label.isNotNull() & text.isNotNull()).select(label.alias("label"), F.xxhash64(F.lit(11), text).alias("h"), text.alias("text"))
+    counts = labelled.groupBy("label").agg(F.approx_count_distinct("h").alias("n"))
+    small = counts.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    # a bound on the hash leaves about 1.5 times the texts wanted, of all rows; the exact ones are then chosen
+    bound = counts.select("label", (F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.col("n")) * F.lit(2.0**64) - F.lit(2.0**63)).alias("most"))
+    few = labelled.join(F.broadcast(bound) if small else bound, "label").where("cast(h as double) <= most")
+    once = few.groupBy("label", "h").agg(F.first("text").alias("text"))
+    return once.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("nth") <= per_language).drop("nth")
+
+
+def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+    """The model of a table of labelled texts: features are computed where the texts are, each bit's
+    classifier is trained in a task of its own; the driver gets the classifiers."""
+    ship(df.sparkSession)
+
+    def featured(it):
+        import pyarrow as pa
+
+        for batch in it:
+            x = features(frames.strings(batch, "text"))
+            yield pa.RecordBatch.from_arrays([frames.column(batch, "label"), frames.column(batch, "h"), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "h", "x"])
+
+    rows = frames.written(sample(df, text_col, label_col, sample_per_language).mapInArrow(featured, "label string, h long, x binary"))
+    languages = sorted(r["label"] for r in rows.select("label").distinct().collect())
+    code = codewords(len(languages))
+    bits = code.shape[1] if languages else 1
+    if len(languages) < 2:
+        return Model(languages, code, np.zeros((DIMENSIONS, bits), np.float32), np.zeros(bits), np.ones(bits))
+
+    def learn(key, table):
+        import pyarrow as pa
 
+        table = table.sort_by([("label", "ascending"), ("h", "ascending")])
+        x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(table.num_rows, DIMENSIONS)
+        y = code[[languages.index(v) for v in table.column("label").to_pylist()], key[0].as_py()]
+        w, b, trust = fit_bit(x, y, np.arange(len(y)) % 5 == 4)
+        return pa.table({"bit": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([w.tobytes()], pa.binary()), "b": [b], "trust": [trust]})
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    rows = sample(df, id_col, text_col, label_col, sample_per_language)
-    return fit([t for t, _ in rows], [v for _, v in rows])
+    each = rows.withColumn("bit", F.explode(F.expr(f"sequence(0, {bits - 1})")))
+    got = sorted(each.repartition(bits, "bit").groupBy("bit").applyInArrow(learn, "bit int, w binary, b double, trust double").collect())
+    return Model(languages, code, np.stack([np.frombuffer(r["w"], np.float32) for r in got], 1), np.array([r["b"] for r in got]), np.array([r["trust"] for r in got]))
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text", ambiguous: float = AMBIGUOUS) -> DataFrame:
