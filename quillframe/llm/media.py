@@ -1,7 +1,8 @@
 """Media columns: Netpbm and BMP images decoded to arrays, resized by area, kept as NPY tiles.
 
 Formats: PBM, PGM, PPM in plain and raw form (P1 to P6, samples of 8 or 16 bits) and Windows BMP
-(1, 4, 8 bits with a palette, 24 and 32 bits, bottom-up or top-down, uncompressed). A tile has
+(1, 4, 8 bits with a palette, 16, 24 and 32 bits, also with bit fields of their own, bottom-up or
+top-down, uncompressed). A tile has
 TILE x TILE pixels; each is the mean of the image's area that it covers, fractions of pixels
 included, read off an integral image. The difference hash has 64 bits: in the image resized to 9 x 8
 grey pixels, each bit tells whether a pixel is brighter than its left neighbour.
@@ -9,7 +10,8 @@ grey pixels, each bit tells whether a pixel is brighter than its left neighbour.
 Defined results: NULL gives NULL everywhere; so do bytes that aren't an image of these formats, or
 hold fewer pixels than they say, with the reason in `media_error`. Images of one pixel are enlarged
 like others. Rows are independent: repeated rows get equal tiles, empty tables give empty ones; an
-image of any size is used whole. Columns of the outputs' names are replaced.
+image of any size is used whole (in memory: eight bytes a sample). Columns of the outputs' names are
+replaced.
 """
 
 from __future__ import annotations
@@ -68,10 +70,21 @@ def _netpbm(data: bytes) -> np.ndarray:
     return x.astype(np.uint8).reshape(h, w, channels)
 
 
+def _field(value: np.ndarray, mask: int, bits: int) -> np.ndarray:
+    """One colour of pixels whose bits a mask says, as bytes; colours without bits are 0."""
+    if not mask:
+        return np.zeros(value.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    top = mask >> low
+    if top & (top + 1) or mask >> bits:
+        raise ValueError("bad bit fields")
+    return ((((value & mask) >> low) * 255 + top // 2) // top).astype(np.uint8)
+
+
 def _bmp(data: bytes) -> np.ndarray:
     offset, size, w, h, planes, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
     used = struct.unpack_from("<I", data, 46)[0]
-    if packed not in (0, 3) or planes != 1 or bits not in (1, 4, 8, 24, 32) or (packed == 3 and bits != 32):
+    if packed not in (0, 3) or planes != 1 or bits not in (1, 4, 8, 16, 24, 32) or (packed == 3 and bits not in (16, 32)):
         raise ValueError("unsupported BMP")
     down, h = h < 0, abs(h)
     if w <= 0 or not h:
@@ -81,7 +94,11 @@ def _bmp(data: bytes) -> np.ndarray:
     if len(raw) < row * h:
         raise ValueError("too few pixels")
     raw = raw.reshape(h, row)
-    if bits >= 24:
+    if packed == 3 or bits == 16:
+        value = np.ascontiguousarray(raw[:, : w * bits // 8]).view(f"<u{bits // 8}").astype(np.int64)
+        masks = struct.unpack_from("<III", data, 54) if packed == 3 else (0x7C00, 0x3E0, 0x1F)
+        x = np.stack([_field(value, m, bits) for m in masks], 2)
+    elif bits >= 24:
         step = bits // 8
         x = raw[:, : w * step].reshape(h, w, step)[:, :, 2::-1]
     else:
