@@ -4,8 +4,9 @@ Every pre-token keeps its live symbols in a linked list and the ranks of its adj
 leaves of a segment tree of minima. The root is the lowest rank at its leftmost place; a merge
 changes at most three leaves, so each takes a logarithmic number of point updates, until the root
 says that no pair is left. The trees of thousands of different pre-tokens are worked on together,
-one merge of each per round; very long pre-tokens are merged alone. What a pre-token gives is kept
-for the rest of the task, since it depends on nothing else.
+one merge of each per round; of a very long pre-token there are seldom several, so the same tree is
+worked on alone. What a pre-token gives is kept for later batches (as many as KEPT), since it
+depends on nothing else; it is found by a hash and compared byte by byte.
 
 Defined results: NULL text gives NULL ids and NULL count; empty text gives no ids. Texts of any
 length are encoded whole. Rows are independent: repeated rows give repeated results, an empty table
@@ -29,12 +30,16 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _NONE = np.iinfo(np.int32).max
 #: Pre-tokens of more bytes than this are merged one at a time.
 _ALONE = 256
+#: Bytes of different pre-tokens that a task keeps the ids of, about; beyond, it starts anew.
+KEPT = 2 << 20
 
 
 class Vocabulary:
     """Ranks, the pairs that merge, and a hash table of these for whole arrays of lookups."""
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, alone: bytes | None = None):
+        #: For each rank whether its string was proved to encode alone as this token.
+        self.alone = None if alone is None else np.unpackbits(np.frombuffer(alone, np.uint8)).astype(bool)
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         size = max(self.ranks.values()) + 1
         self.tokens = [b""] * size
@@ -216,19 +221,10 @@ class Vocabulary:
         lengths = np.where(bad, 3, self.lengths[at])
         return table[K.ranges(np.where(bad, len(self.bytes), self.offsets[at]), lengths)], lengths
 
-    @lru_cache(maxsize=1)  # noqa: B019 - one vocabulary a process
-    def whole(self) -> np.ndarray:
-        """Sorted hashes of the vocabulary's strings that were found to encode alone as one token."""
-        data, starts, ends = self.bytes, self.offsets[:-1], self.offsets[1:]
-        counts, _ = self.encode_pieces(data, starts, ends)
-        texts = []
-        for k in np.flatnonzero(counts == 1):
-            try:
-                texts.append(self.tokens[k].decode())
-            except UnicodeDecodeError:
-                continue
-        cp, at = K.code_points(texts)
-        return np.sort(K.Spans(cp).hash(at[:-1], at[1:]))
+    def prove(self) -> bytes:
+        """Which of the vocabulary's strings encode alone as one token, by merging each: a bit a rank."""
+        counts, _ = self.encode_pieces(self.bytes, self.offsets[:-1], self.offsets[1:])
+        return np.packbits(counts == 1).tobytes()
 
 
 def pretokens(cp: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
@@ -263,80 +259,141 @@ def pretokens(cp: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes batches of texts; remembers by hash what each different pre-token gave."""
+    """Encodes batches of texts; remembers what each different pre-token gave."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self._forget()
+        self._whole = None
+
+    def _forget(self) -> None:
         self._hashes = np.empty(0, np.uint64)
         self._slots = np.empty(0, np.int64)
         self._counts = np.empty(0, np.int64)
         self._offsets = np.zeros(1, np.int64)
         self._flat = np.empty(0, np.int32)
+        self._bytes, self._ends = np.empty(0, np.uint8), np.zeros(1, np.int64)
 
-    def _slots_of(self, hashes: np.ndarray, first: np.ndarray, texts: list[str], cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _ids_of(self, hashes: np.ndarray, first: np.ndarray, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ids of the pre-tokens data[a:b] at `first`, which have different hashes."""
+        a, b = a[first], b[first]
+        if len(self._bytes) > KEPT:
+            self._forget()
         at = np.searchsorted(self._hashes, hashes)
         new = np.ones(len(hashes), bool)
         ok = at < len(self._hashes)
         new[ok] = self._hashes[at[ok]] != hashes[ok]
         if new.any():
-            data = np.frombuffer("".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
-            place = np.concatenate([[0], np.cumsum(K.utf8_lengths(cp))])
-            k = first[new]
-            counts, flat = self.vocabulary.encode_pieces(data, place[starts[k]], place[ends[k]])
+            counts, flat = self.vocabulary.encode_pieces(data, a[new], b[new])
             slots = len(self._counts) + np.arange(len(counts))
             self._hashes = np.insert(self._hashes, at[new], hashes[new])
             self._slots = np.insert(self._slots, at[new], slots)
             self._counts = np.concatenate([self._counts, counts])
             self._offsets = np.concatenate([self._offsets, self._offsets[-1] + np.cumsum(counts)])
             self._flat = np.concatenate([self._flat, flat])
+            self._bytes = np.concatenate([self._bytes, data[K.ranges(a[new], b[new] - a[new])]])
+            self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(b[new] - a[new])])
             at = np.searchsorted(self._hashes, hashes)
-        return self._slots[at]
+        slot = self._slots[at]
+        counts, flat = self._counts[slot], self._flat[K.ranges(self._offsets[slot], self._counts[slot])]
+        if not same_bytes(data, a, b, self._bytes, self._ends[slot], self._ends[slot + 1]):
+            counts, flat = self.vocabulary.encode_pieces(data, a, b)  # equal hashes of different strings
+        return counts, flat
 
-    def tokens(self, texts: list[str]):
+    def _different(self, texts: list[str]):
+        """The bytes of all texts, where their pre-tokens start and end, which pre-token texts start with,
+        and of the different pre-tokens their hashes, first places, and which one each is."""
         cp, doc_starts = K.code_points(texts)
         starts = pretokens(cp, doc_starts)
         ends = np.concatenate([starts[1:], [len(cp)]]).astype(np.int64) if len(starts) else starts
-        hashes, first, inverse = np.unique(K.Spans(cp).hash(starts, ends), return_index=True, return_inverse=True)
-        return cp, starts, ends, hashes, first, inverse, np.searchsorted(starts, doc_starts)
+        hashes, first, which = np.unique(K.Spans(cp).hash(starts, ends), return_index=True, return_inverse=True)
+        data = np.frombuffer("".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+        place = np.concatenate([[0], np.cumsum(K.utf8_lengths(cp))])
+        a, b = place[starts], place[ends]
+        if not same_bytes(data, a, b, data, a[first][which], b[first][which]):
+            first = which = np.arange(len(starts))  # equal hashes of different strings: each by itself
+            hashes = None
+        return data, a, b, np.searchsorted(starts, doc_starts), hashes, first, which
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each text start (one more than texts), and all ids in a row."""
-        cp, starts, ends, hashes, first, inverse, doc_tokens = self.tokens(texts)
-        slot = self._slots_of(hashes, first, texts, cp, starts, ends)[inverse]
-        counts = self._counts[slot]
+        data, a, b, docs, hashes, first, which = self._different(texts)
+        if hashes is None:
+            counts, flat = self.vocabulary.encode_pieces(data, a, b)
+        else:
+            counts, flat = self._ids_of(hashes, first, data, a, b)
         at = np.concatenate([[0], np.cumsum(counts)])
-        return at[doc_tokens], self._flat[K.ranges(self._offsets[slot], counts)]
+        total = np.concatenate([[0], np.cumsum(counts[which])])
+        return total[docs], flat[K.ranges(at[which], counts[which])]
+
+    def _whole_tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes, and ranks, of the strings that are proved to encode alone as one token."""
+        if self._whole is None:
+            v = self.vocabulary
+            alone = v.alone if v.alone is not None else np.unpackbits(np.frombuffer(v.prove(), np.uint8)).astype(bool)
+            ranks, texts = [], []
+            for k in np.flatnonzero(alone[: len(v.tokens)]).tolist():
+                try:
+                    texts.append(v.tokens[k].decode())
+                    ranks.append(k)
+                except UnicodeDecodeError:
+                    continue
+            cp, at = K.code_points(texts)
+            h = K.Spans(cp).hash(at[:-1], at[1:])
+            order = np.argsort(h)
+            self._whole = h[order], np.array(ranks, np.int64)[order]
+        return self._whole
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text: whole tokens count one without being merged."""
-        cp, starts, ends, hashes, first, inverse, doc_tokens = self.tokens(texts)
-        whole = self.vocabulary.whole()
-        at = np.minimum(np.searchsorted(whole, hashes), max(0, len(whole) - 1))
-        one = whole[at] == hashes if len(whole) else np.zeros(len(hashes), bool)
-        counts = np.ones(len(hashes), np.int64)
+        data, a, b, docs, hashes, first, which = self._different(texts)
+        counts = np.ones(len(first), np.int64)
+        one = np.zeros(len(first), bool)
+        whole, ranks = self._whole_tokens()
+        if hashes is not None and len(whole):
+            at = np.minimum(np.searchsorted(whole, hashes), len(whole) - 1)
+            one = whole[at] == hashes
+            of, v = ranks[at[one]], self.vocabulary
+            if not same_bytes(data, a[first[one]], b[first[one]], v.bytes, v.offsets[of], v.offsets[of + 1]):
+                one[:] = False
         rest = np.flatnonzero(~one)
         if len(rest):
-            slots = self._slots_of(hashes[rest], first[rest], texts, cp, starts, ends)
-            counts[rest] = self._counts[slots]
-        total = np.concatenate([[0], np.cumsum(counts[inverse])])
-        return np.diff(total[doc_tokens])
+            counts[rest] = self._ids_of(hashes[rest], first[rest], data, a, b)[0] if hashes is not None else self.vocabulary.encode_pieces(data, a, b)[0]
+        total = np.concatenate([[0], np.cumsum(counts[which])])
+        return np.diff(total[docs])
+
+
+def same_bytes(x: np.ndarray, xa: np.ndarray, xb: np.ndarray, y: np.ndarray, ya: np.ndarray, yb: np.ndarray) -> bool:
+    """Whether the strings x[xa:xb] and y[ya:yb] are equal, each to each."""
+    size = xb - xa
+    return np.array_equal(size, yb - ya) and np.array_equal(x[K.ranges(xa, size)], y[K.ranges(ya, size)])
 
 
 _loaded: dict[int, Vocabulary] = {}
 
 
-def loaded(content: bytes) -> Vocabulary:
-    """The vocabulary, made once in each worker process."""
+def loaded(content: bytes, alone: bytes | None = None) -> Vocabulary:
+    """The vocabulary, made once in each process."""
     key = zlib.crc32(content)
-    if key not in _loaded:
+    if key not in _loaded or (alone is not None and _loaded[key].alone is None):
         _loaded.clear()
-        _loaded[key] = Vocabulary(content)
+        _loaded[key] = Vocabulary(content, alone)
     return _loaded[key]
 
 
-def _broadcast(df: DataFrame, vocabulary: str):
+@lru_cache(maxsize=4)
+def proved(content: bytes) -> bytes:
+    """Vocabulary.prove(), done once for a vocabulary by the driver before any text is read."""
+    return loaded(content).prove()
+
+
+def _content(vocabulary: str) -> bytes:
     with open(vocabulary, "rb") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary: about a megabyte, whatever the corpus
+        return f.read()
+
+
+def _broadcast(df: DataFrame, vocabulary: str):
+    return df.sparkSession.sparkContext.broadcast(_content(vocabulary))  # a vocabulary: about a megabyte, whatever the corpus
 
 
 def _encoded(encoder: Encoder, texts: list):
@@ -383,7 +440,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabula
         ids = _encoded(state["encoder"], frames.strings(batch, text_col))
         return [ids] if decoded_col is None else [ids, _decoded(state["encoder"].vocabulary, ids)]
 
-    return frames.add_columns(df, make, [StructField(ids_col, _IDS)] + [StructField(decoded_col, StringType())] * (decoded_col is not None))
+    return frames.add_columns(df, make, [StructField(ids_col, _IDS)] + ([] if decoded_col is None else [StructField(decoded_col, StringType())]))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

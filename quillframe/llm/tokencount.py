@@ -1,8 +1,8 @@
 """Token counts with the whole-token shortcut.
 
-Which strings of the vocabulary encode alone as one token is found out once, by merging each of
-them; a pre-token equal to such a string counts one. Only the other pre-tokens are merged, each
-different one once a task.
+Which strings of the vocabulary encode alone as one token is proved once, by the driver, by merging
+each of them, before any text is read; workers get the proof with the vocabulary. A pre-token equal
+to such a string, byte by byte, counts one. Only the other pre-tokens are merged.
 
 Defined results: NULL text gives a NULL count, empty text 0. Rows are independent, so repeated rows
 have equal counts and an empty table gives an empty one; an existing column of the output's name is
@@ -15,19 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField
 
 from . import frames, kernels as K
-from .bpe import DEFAULT_VOCABULARY, Encoder, _broadcast, loaded
+from .bpe import DEFAULT_VOCABULARY, Encoder, _content, loaded, proved
 
 
 def count_tokens(df: DataFrame, text_col: str = "text", out_col: str = "n_tokens", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """df with the number of tokens of each text."""
-    content = _broadcast(df, vocabulary)
+    content = _content(vocabulary)
+    held = df.sparkSession.sparkContext.broadcast((content, proved(content)))  # about a megabyte, whatever the corpus
     state: dict = {}
 
     def make(batch):
         import pyarrow as pa
 
         if "encoder" not in state:
-            state["encoder"] = Encoder(loaded(content.value))
+            state["encoder"] = Encoder(loaded(*held.value))
         texts = frames.strings(batch, text_col)
         plain = [t or "" for t in texts]
         out: list = []

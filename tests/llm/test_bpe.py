@@ -63,6 +63,32 @@ def test_table(spark):
     assert bpe.encode(df.limit(0)).count() == 0 and tokencount.count_tokens(df.limit(0)).count() == 0
 
 
+def test_collisions_and_small_memory(vocab, reference, monkeypatch):
+    """Ids are right when hashes collide and when what was kept is forgotten."""
+    ts = texts()[:300] + ["hello world it is", "x" * 3000]
+    want = [reference.encode_ordinary(t) for t in ts]
+    monkeypatch.setattr(bpe, "KEPT", 64)
+    assert encoded(vocab, ts) == want
+    plain = bpe.K.Spans.hash
+    monkeypatch.setattr(bpe.K.Spans, "hash", lambda self, a, b: plain(self, a, b) % 97)
+    assert encoded(vocab, ts) == want
+    assert bpe.Encoder(vocab).count(ts).tolist() == list(map(len, want))
+
+
+def test_proof(vocab, reference):
+    import numpy as np
+
+    alone = np.unpackbits(np.frombuffer(vocab.prove(), np.uint8))
+    for k in list(range(0, len(vocab.tokens), 501)) + [len(vocab.tokens) - 1]:
+        try:
+            text = vocab.tokens[k].decode()
+        except UnicodeDecodeError:
+            continue
+        assert alone[k] == (vocab.merge_alone(vocab.tokens[k]) == [k])
+        if len(reference.encode_ordinary(text)) == 1:
+            assert alone[k]
+
+
 def test_decode_unknown(spark):
     df = spark.createDataFrame([([15496, None, 60000, -1],), (None,), ([],)], "ids array<int>")
     assert [r["decoded"] for r in bpe.decode(df).collect()] == ["Hello���", None, ""]
