@@ -33,7 +33,7 @@ def _sliding(a: np.ndarray, width: int, op) -> np.ndarray:
     return out
 
 
-def anchors(word_hashes: np.ndarray, doc_words: np.ndarray, min_words: int, gram: int = GRAM):
+def anchors(word_hashes: np.ndarray, doc_words: np.ndarray, min_words: int, gram: int = GRAM, spans: K.Spans | None = None):
     """Positions of the anchors among all words, the hashes of their grams, and at which distances
     before each (from, to) the windows start whose anchor it is: the leftmost place of their least.
 
@@ -49,7 +49,7 @@ def anchors(word_hashes: np.ndarray, doc_words: np.ndarray, min_words: int, gram
     at = np.arange(n)
     g = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     ok = np.flatnonzero(at + gram <= doc_end)
-    g[ok] = (K.Spans(word_hashes).hash(ok, ok + gram) >> np.uint64(1)) | np.uint64(1)
+    g[ok] = ((spans or K.Spans(word_hashes)).hash(ok, ok + gram) >> np.uint64(1)) | np.uint64(1)
     least = _sliding(g, width, np.minimum)
     least[at + min_words > doc_end] = 0  # no whole window starts here
     most = _sliding(least[::-1], width, np.maximum)[::-1]

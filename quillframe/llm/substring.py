@@ -39,8 +39,6 @@ from .repeats import GRAM, MIN_WORDS, Once, Words, anchors, grouped, islands, pa
 
 #: Bytes of places that a task holds before it sends them.
 SEND_BYTES = 16 << 20
-#: Shards for each shuffle partition: smaller indexes need less memory at a time.
-SHARDS = 4
 #: A place is several hundred words on average: it counts as so many of repeats.PART_PLACES.
 PLACE_WEIGHT = 8
 #: Words of a sequence that stream in one piece.
@@ -147,16 +145,19 @@ class Index:
         self.starts = np.concatenate([[0, s], s + np.cumsum(np.bincount(words, minlength=count)[1:count])])[: count + 1]
 
     @cached_property
-    def minima(self) -> list[np.ndarray]:
-        minima = [self.lcp]
-        while len(minima[-1]) > 1 << (len(minima) - 1):
-            half = 1 << (len(minima) - 1)
-            m = minima[-1]
-            minima.append(np.minimum(m[:-half], m[half:]) if len(m) > half else m[:0])
-            if not len(minima[-1]):
-                minima.pop()
-                break
-        return minima
+    def smaller(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the next ones before and after that share fewer words (itself, if none)."""
+        out = []
+        for step, end in ((-1, 0), (1, self.n)):
+            to = np.arange(self.n + 1) + step
+            to[end] = end
+            live = np.flatnonzero((self.lcp[to] >= self.lcp) & (to != end))
+            while len(live):
+                # what a place skips is no smaller than it: jumps can be joined
+                to[live] = to[to[live]]
+                live = live[(self.lcp[to[live]] >= self.lcp[live]) & (to[live] != end)]
+            out.append(to)
+        return out[0], out[1]
 
     @cached_property
     def transform(self) -> Wavelet:
@@ -192,19 +193,14 @@ class Index:
 
     def parent(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The next wider intervals, and for how many words their suffixes agree."""
-        lcp = self.minima[0]
-        q = np.maximum(lcp[lo], lcp[hi])
-        lo, hi = lo.copy(), hi.copy()
-        for level in reversed(range(len(self.minima))):
-            size, m = 1 << level, self.minima[level]
-            at = lo - size + 1
-            go = (at >= 0) & (m[np.clip(at, 0, len(m) - 1)] >= q)
-            lo[go] -= size
-            go = (hi + size <= self.n + 1) & (m[np.clip(hi, 0, len(m) - 1)] >= q)
-            hi[go] += size
-        root = q == 0
+        left, right = self.smaller
+        p, q = self.lcp[lo], self.lcp[hi]
+        lo = np.where(p >= q, left[lo], lo)
+        hi = np.where(q >= p, right[hi], hi)
+        most = np.maximum(p, q).astype(np.int64)
+        root = most == 0
         lo[root], hi[root] = 0, self.n
-        return lo, hi, q.astype(np.int64)
+        return lo, hi, most
 
     def matches(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int):
         """(sequence, position, length) of the longest repeated passages from a position that can't
@@ -287,22 +283,23 @@ def _scales(w: Words, min_words: int):
         begin, count = w.docs[docs], w.docs[docs + 1] - w.docs[docs]
         hashes, own = (w.hashes, w.docs) if len(docs) == len(w.docs) - 1 else (w.hashes[K.ranges(begin, count)], np.concatenate([[0], np.cumsum(count)]))
         gram = min(size, max(GRAM, size * GRAM // MIN_WORDS))
-        at, h, near, far = anchors(hashes, own, size, gram)
+        spans = K.Spans(hashes)
+        at, h, near, far = anchors(hashes, own, size, gram, spans)
         doc = np.searchsorted(own, at, "right") - 1
         h = K.mix(h + np.uint64(size) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
         start = at - far - 1
         forced = start < own[doc]
-        head = K.mix(K.Spans(hashes).hash(np.maximum(start, own[doc]), at + gram) + K.mix(h + forced.astype(np.uint64))) >> np.uint64(1)
+        head = K.mix(spans.hash(np.maximum(start, own[doc]), at + gram) + K.mix(h + forced.astype(np.uint64))) >> np.uint64(1)
         yield size, at + (begin - own[:-1])[doc], docs[doc], h, head, forced, near, far
         size *= 2
 
 
 def _candidates(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, int]:
-    """(id, k1, k2, text, heads array) of the texts in which longest matches may start, and how many
-    such places there are in all texts.
+    """(id, k1, k2, text, places array): texts, and which of their words (hash, start, end) are to be
+    compared where; and how many such places there are in all texts.
 
-    A text is named by the first half of its row's name here: another text of the same half gets the
-    same heads, which are looked for and not found.
+    A text is named by the first half of its row's name here: another text of the same half sends the
+    same places too, which are compared like others.
     """
     if not 1 <= min_words < 1 << 16:
         raise ValueError("min_words must be from 1 to 65535")
@@ -315,55 +312,49 @@ def _candidates(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tu
             texts, k1 = frames.strings(batch, "text"), frames.column(batch, "k1").to_numpy(zero_copy_only=False)
             for a, b in K.batches(texts):
                 w = Words(texts[a:b])
-                for _, _, doc, h, head, forced, _, _ in _scales(w, min_words):
-                    order = np.lexsort((head, doc))  # the head tells the anchor
-                    doc, h, head, forced = doc[order], h[order], head[order], forced[order]
-                    new = np.ones(len(doc), bool)
-                    new[1:] = (doc[1:] != doc[:-1]) | (head[1:] != head[:-1])
-                    first = np.flatnonzero(new)
-                    times = np.diff(np.append(first, len(doc)))
-                    cols = [k1[a + doc[first]], h[first].view(np.int64), head[first].view(np.int64), forced[first], times.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k1", "h", "head", "forced", "times"])
-
-    rows = frames.written(src.mapInArrow(run, "k1 long, h long, head long, forced boolean, times int"))
+                for size, p, doc, h, head, forced, near, far in _scales(w, min_words):
+                    # long runs of one word: only their ends, in which all other windows that they touch are
+                    first, last = word_runs(w.hashes, w.docs, 2 * size)
+                    k = np.searchsorted(first, p, "right") - 1
+                    inside = k >= 0
+                    inside[inside] = (p[inside] > first[k[inside]]) & (p[inside] < last[k[inside]] - 2 * size)
+                    x = np.flatnonzero(inside)
+                    x = x[np.lexsort((head[x], doc[x]))]
+                    new = np.ones(len(x), bool)
+                    new[1:] = (doc[x[1:]] != doc[x[:-1]]) | (head[x[1:]] != head[x[:-1]])
+                    of = np.concatenate([np.flatnonzero(~inside), x[new]])
+                    times = np.concatenate([np.ones(len(of) - new.sum(), np.int64), np.diff(np.append(np.flatnonzero(new), len(x)))])
+                    start = p - far - w.docs[doc]
+                    end = np.minimum(p - near + 2 * size, w.docs[doc + 1]) - w.docs[doc]
+                    end[inside] = 0
+                    cols = [k1[a + doc[of]], h[of].view(np.int64), head[of].view(np.int64), forced[of], start[of].astype(np.int32), end[of].astype(np.int32), times.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k1", "h", "head", "forced", "s", "e", "times"])
+
+    rows = frames.written(src.mapInArrow(run, "k1 long, h long, head long, forced boolean, s int, e int, times int"))
     # counted before they meet, as in candidates(): partial sums of each task, and joins whose skew can be split
     heads = rows.groupBy("h", "head").agg(F.sum("times").alias("same"))
     often = heads.groupBy("h").agg(F.sum("same").alias("n")).where("n > 1")
     chosen = heads.join(often, "h").select("head", (F.col("same") < F.col("n")).alias("starts"))
-    each = rows.select("k1", "head", "forced").join(chosen, "head").where("forced or starts").groupBy("k1").agg(F.collect_set("head").alias("heads"))
-    each = frames.written(each)
-    return src.join(each, "k1").select("id", "k1", "k2", "text", "heads"), each.agg(F.sum(F.size("heads"))).first()[0] or 0
+    found = rows.where("e > 0").drop("times").join(chosen, "head").where("forced or starts")
+    each = frames.written(found.groupBy("k1").agg(F.collect_set(F.struct("h", "s", "e")).alias("places")))
+    return src.join(each, "k1").select("id", "k1", "k2", "text", "places"), each.agg(F.sum(F.size("places"))).first()[0] or 0
 
 
-def _wanted(lists):
-    """Whether documents have hashes in their lists (an Arrow array of lists)."""
+def _places(w: Words, lists):
+    """(text, hash, start, end) of the places in an Arrow array of lists, among all words."""
     sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    own = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    wanted = K.mix(lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint64) + own)
-    return lambda doc, h: np.isin(K.mix(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), wanted)
-
-
-def _places(w: Words, heads, min_words: int):
-    """(text, hash, start, end) of the words to be compared: from where a longest match of size to
-    2 * size words may start, 2 * size."""
-    head_of, out = _wanted(heads), []
-    for size, p, doc, h, head, _, near, far in _scales(w, min_words):
-        # long runs of one word: only their ends, in which all other windows that they touch are
-        first, last = word_runs(w.hashes, w.docs, 2 * size)
-        k = np.searchsorted(first, p, "right") - 1
-        keep = np.ones(len(p), bool)
-        ok = k >= 0
-        keep[ok] = ~((p[ok] > first[k[ok]]) & (p[ok] < last[k[ok]] - 2 * size))
-        x = np.flatnonzero(head_of(doc, head) & keep)
-        out.append((doc[x], h[x], p[x] - far[x], np.minimum(p[x] - near[x] + 2 * size, w.docs[doc[x] + 1])))
-    return [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    flat = lists.flatten()
+    h, s, e = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    base, top = w.docs[doc], w.docs[doc + 1]
+    return doc, h, np.minimum(base + s, top), np.minimum(base + e, top)
 
 
 def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(id, k1, k2, s, e, longest): passages found, not yet united."""
     least_shards = frames.partitions(df.sparkSession)
     found, places = _candidates(df, id_col, text_col, min_words)
-    shards = part_count(places * PLACE_WEIGHT, least_shards * SHARDS)
+    shards = part_count(places * PLACE_WEIGHT, least_shards)
 
     def send(it):
         import pyarrow as pa
@@ -394,11 +385,11 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
             texts = frames.strings(batch, "text")
             ids, (k1, k2) = frames.column(batch, "id"), (frames.column(batch, c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
             nulls, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
-            heads = frames.column(batch, "heads")
+            lists = frames.column(batch, "places")
             for a, b in K.batches(texts):
                 w = Words(texts[a:b])
                 data, at = w.joined()
-                doc, h, s, e = _places(w, heads.slice(a, b - a), min_words)
+                doc, h, s, e = _places(w, lists.slice(a, b - a))
                 shard = part_of(h, shards)
                 # a long run of one word repeats itself: it is reported at once
                 first, last = word_runs(w.hashes, w.docs, 2 * min_words)
@@ -479,7 +470,7 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
         return pa.table({"id": pa.array(found[:, 1], mask=found[:, 0] != 0)} | {k: pa.array(v) for k, v in whole.items()})
 
     blobs = found.mapInArrow(send, "shard int, places binary")
-    return grouped(blobs, "shard", places * PLACE_WEIGHT, least_shards * SHARDS).applyInArrow(search, "id long, k1 long, k2 long, s int, e int, longest int")
+    return grouped(blobs, "shard", places * PLACE_WEIGHT, least_shards).applyInArrow(search, "id long, k1 long, k2 long, s int, e int, longest int")
 
 
 def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
