@@ -6,6 +6,7 @@ measures of tables are groupings by the quasi-identifiers.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -39,7 +40,18 @@ _BY_FIELD = {
 FIELD_TYPES = {name: kind for kind, names in _BY_FIELD.items() for name in names.split()}
 
 
-def hits(c: Column, pattern: str, kind: str, confidence: float, source: str = "regex") -> Column:
+#: Characters or strings of which a text must have one to match a universal pattern; patterns with a
+#: digit outside brackets need a digit.
+_NEEDS = {"EMAIL": "@", "URL": "http www.", "IP_ADDRESS": "digit :"}
+
+
+def possible(c: Column, pattern: str, kind: str, digit: Column) -> Column:
+    """False where a text certainly has no match: most texts are not searched at all."""
+    needs = _NEEDS.get(kind, "digit" if r"\d" in re.sub(r"\[[^\]]*\]", "", pattern) and kind != "CUSTOM" else "").split()
+    return reduce(lambda a, b: a | b, [digit if n == "digit" else F.contains(c, F.lit(n)) for n in needs]) if needs else F.lit(True)
+
+
+def hits(c: Column, pattern: str, kind: str, confidence: float, source: str = "regex", may: Column | None = None) -> Column:
     """Array of entities: what lies between the matches gives their offsets."""
     found = F.regexp_extract_all(c, F.lit(rx.UNICODE + pattern), F.lit(0))
     gaps = F.split(c, rx.UNICODE + pattern, -1)
@@ -52,7 +64,8 @@ def hits(c: Column, pattern: str, kind: str, confidence: float, source: str = "r
         ),
     )
     # texts without a match stop after one search
-    return F.when(F.rlike(c, F.lit(rx.UNICODE + pattern)), state["out"]).otherwise(F.array().cast(f"array<{ENTITY}>"))
+    found_any = F.rlike(c, F.lit(rx.UNICODE + pattern))
+    return F.when(found_any if may is None else F.when(may, found_any).otherwise(False), state["out"]).otherwise(F.array().cast(f"array<{ENTITY}>"))
 
 
 @dataclass
@@ -115,7 +128,10 @@ class Anonymizer:
         """Entities in order of their places. Of overlapping ones the more confident stays, of equals
         the earlier detector's; the filters apply after that."""
         c = rx.col(c)
-        parts = [hits(c, p, k, conf) for k, p, conf in self._rules()] if use_regex else []
+        return rx.let(F.rlike(c, F.lit(r"\p{Nd}")), lambda digit: self._detect(c, digit, min_confidence, pii_types, use_regex))
+
+    def _detect(self, c: Column, digit: Column, min_confidence: float, pii_types: list[str] | None, use_regex: bool) -> Column:
+        parts = [hits(c, p, k, conf, may=possible(c, p, k, digit)) for k, p, conf in self._rules()] if use_regex else []
         parts += [F.coalesce(d(c), F.array().cast(f"array<{ENTITY}>")) for d in self.detectors]
         if not parts:
             return F.when(c.isNotNull(), F.array().cast(f"array<{ENTITY}>"))
@@ -192,8 +208,12 @@ class Anonymizer:
     def anonymize_text(self, c: Column | str, strategy: str | None = None, min_confidence: float = 0.0, pii_types: list[str] | None = None) -> Column:
         """Struct of original, anonymized, entities and replacements (first occurrence of each text)."""
         c = rx.col(c)
-        entities = self.detect(c, min_confidence, pii_types)
-        pairs = F.transform(entities, lambda e: F.struct(e.alias("e"), self.apply(e["text"], e["pii_type"], strategy, e["start"]).alias("r")))
+        # entities and what replaces them are computed once, however often they are used
+        pairs = lambda entities: F.transform(entities, lambda e: F.struct(e.alias("e"), self.apply(e["text"], e["pii_type"], strategy, e["start"]).alias("r")))
+        return F.when(c.isNotNull(), rx.let(self.detect(c, min_confidence, pii_types), lambda entities: rx.let(pairs(entities), lambda p: self._rewritten(c, p))))
+
+    @staticmethod
+    def _rewritten(c: Column, pairs: Column) -> Column:
         done = F.aggregate(
             pairs,
             F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -201,10 +221,8 @@ class Anonymizer:
             lambda s: F.concat(s["out"], F.substring(c, s["at"] + 1, F.length(c))),
         )
         once = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["e"]["text"] == p["e"]["text"]))
-        return F.when(
-            c.isNotNull(),
-            F.struct(c.alias("original"), done.alias("anonymized"), entities.alias("entities"), F.map_from_entries(F.transform(once, lambda p: F.struct(p["e"]["text"].alias("key"), p["r"].alias("value")))).alias("replacements")),
-        )
+        replaced = F.map_from_entries(F.transform(once, lambda p: F.struct(p["e"]["text"].alias("key"), p["r"].alias("value"))))
+        return F.struct(c.alias("original"), done.alias("anonymized"), F.transform(pairs, lambda p: p["e"]).alias("entities"), replaced.alias("replacements"))
 
     def anonymize_columns(self, df: DataFrame, column_types: dict[str, str] | None = None, strategy: str | None = None, columns: list[str] | None = None) -> DataFrame:
         """Columns whose names (or column_types) say what they hold, anonymised as strings; NULL and
@@ -238,9 +256,14 @@ def classes(df: DataFrame, quasi: list[str], sensitive: list[str] = ()) -> DataF
     return df.groupBy(*quasi).agg(F.count("*").alias("size"), *[F.count_distinct(F.coalesce(F.col(s).cast("string"), F.lit("\0"))).alias(f"distinct_{s}") for s in sensitive])
 
 
+def _same(left: DataFrame, right: DataFrame, names: list[str]) -> list[Column]:
+    return [left[q].eqNullSafe(right[q]) for q in names]
+
+
 def closeness(df: DataFrame, quasi: list[str], sensitive: str) -> DataFrame:
     """Distance of each class's distribution of a sensitive value from the table's: ordered earth
-    mover's for numbers (by rank), half the absolute differences for others."""
+    mover's for numbers (by rank), half the absolute differences for others. NULL is a value like
+    others, in classes as well (first in order)."""
     numeric = dict(df.dtypes)[sensitive] not in ("string", "boolean", "date", "timestamp")
     total = df.groupBy(F.col(sensitive).alias("_v")).agg(F.count("*").alias("_all"))
     n = df.count()
@@ -248,15 +271,16 @@ def closeness(df: DataFrame, quasi: list[str], sensitive: str) -> DataFrame:
     size = df.groupBy(*quasi).agg(F.count("*").alias("size"))
     if not numeric:
         # values that a class lacks count with their share of the table
-        joined = per.join(total, per["_v"].eqNullSafe(total["_v"])).drop(total["_v"]).join(size, quasi)
+        joined = per.join(total, per["_v"].eqNullSafe(total["_v"])).drop(total["_v"])
+        joined = joined.join(size, _same(joined, size, quasi)).select(*[joined[q] for q in quasi], "_c", "_all", "size")
         mine, whole = F.col("_c") / F.col("size"), F.col("_all") / F.lit(n)
         return joined.groupBy(*quasi).agg(((F.sum(F.abs(mine - whole)) + 1 - F.sum(whole)) / 2).alias("t"))
-    ranked = total.withColumn("_r", F.row_number().over(Window.orderBy("_v"))).withColumn("_cum", F.sum("_all").over(Window.orderBy("_v")) / F.lit(n))
+    ranked = total.withColumns({"_r": F.row_number().over(Window.orderBy("_v")), "_cum": F.sum("_all").over(Window.orderBy("_v")) / F.lit(n)})
     m = ranked.count()
     if m < 2:
         return size.select(*quasi, F.lit(0.0).alias("t"))
     grid = size.crossJoin(ranked)
-    full = grid.join(per.withColumnRenamed("_v", "_w"), [grid[q].eqNullSafe(per[q]) for q in quasi] + [F.col("_v").eqNullSafe(F.col("_w"))], "left").select(*[grid[q] for q in quasi], "size", "_r", "_cum", F.coalesce("_c", F.lit(0)).alias("_c"))
+    full = grid.join(per.withColumnRenamed("_v", "_w"), [*_same(grid, per, quasi), F.col("_v").eqNullSafe(F.col("_w"))], "left").select(*[grid[q] for q in quasi], "size", "_r", "_cum", F.coalesce("_c", F.lit(0)).alias("_c"))
     own = full.withColumn("_own", F.sum("_c").over(Window.partitionBy(*quasi).orderBy("_r")) / F.col("size"))
     return own.groupBy(*quasi).agg((F.sum(F.abs(F.col("_own") - F.col("_cum"))) / (m - 1)).alias("t"))
 
@@ -277,7 +301,8 @@ def suppress_classes(df: DataFrame, quasi: list[str], k: int = 2, sensitive: lis
     for s in sensitive:
         c = c.where(F.col(f"distinct_{s}") >= l_value)
         if t is not None:
-            c = c.join(closeness(df, quasi, s).where(F.col("t") <= t).select(*quasi), quasi, "left_semi")
+            near = closeness(df, quasi, s).where(F.col("t") <= t).select(*quasi)
+            c = c.join(near, _same(c, near, quasi), "left_semi")
     return df.join(c.select(*quasi), [df[q].eqNullSafe(c[q]) for q in quasi], "left_semi")
 
 
