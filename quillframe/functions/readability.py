@@ -30,8 +30,18 @@ def count_sentences(c: Column | str) -> Column:
     return F.greatest(F.lit(1), F.size(F.filter(F.split(rx.col(c), "[.!?]+", -1), lambda s: rx.has(s, r"\S"))))
 
 
-def _syllables(w: Column) -> Column:
-    return F.aggregate(w, F.lit(0), lambda a, x: a + count_syllables(x))
+_CONSONANT = "b-df-hj-np-tv-xz"
+#: Words of three letters at most, and of longer ones: silent ends, and words that no vowel is left in.
+_SHORT = r"(?i)(?<![a-z])[a-z]{1,3}(?![a-z])"
+_SILENT = r"(?i)[b-df-hjkm-np-tv-xz]e(?![a-z])"
+_MUTE = rf"(?i)(?<![a-z])[{_CONSONANT}]+(?:(?<!l)e)?(?![a-z])"
+
+
+def syllables_of_text(c: Column) -> Column:
+    """Sum of count_syllables over the words of an English text, by counts over the whole text."""
+    count = lambda t, p: F.regexp_count(t, F.lit(p))
+    long = F.regexp_replace(c, _SHORT, " ")
+    return count(c, _SHORT) + count(long, "(?i)[aeiouy]+") - count(long, _SILENT) + count(long, _MUTE)
 
 
 def _ratio(c: Column | str, formula) -> Column:
@@ -45,11 +55,11 @@ def _letters(w: Column) -> Column:
 
 
 def flesch_reading_ease(c: Column | str) -> Column:
-    return _ratio(c, lambda w, n, s: 206.835 - 1.015 * (n / s) - 84.6 * (_syllables(w) / n))
+    return _ratio(c, lambda w, n, s: 206.835 - 1.015 * (n / s) - 84.6 * (syllables_of_text(rx.col(c)) / n))
 
 
 def flesch_kincaid_grade(c: Column | str) -> Column:
-    return _ratio(c, lambda w, n, s: 0.39 * (n / s) + 11.8 * (_syllables(w) / n) - 15.59)
+    return _ratio(c, lambda w, n, s: 0.39 * (n / s) + 11.8 * (syllables_of_text(rx.col(c)) / n) - 15.59)
 
 
 def gunning_fog_index(c: Column | str) -> Column:

@@ -331,11 +331,12 @@ def compare_code_blocks(a: Column | str, b: Column | str, language: str = "pytho
 
 
 def batch_compare(pairs: DataFrame, a: str, b: str, config: MatcherConfig = DEFAULT) -> DataFrame:
-    """pairs with `result`: the struct of are_equivalent on normalised texts. Each different pair is
-    compared once."""
-    x, y = normalize_for_match(a, config), normalize_for_match(b, config)
+    """pairs with `result`: the struct of are_equivalent on normalised texts. Rows are independent;
+    each text is normalised once, in a projection of its own."""
+    x, y = (n + "_" * (max(map(len, pairs.columns)) + 1) for n in ("x", "y"))
+    forms = pairs.withColumns({x: normalize_for_match(a, config), y: normalize_for_match(b, config)})
     eq = S.are_equivalent(x, y, config.levenshtein_threshold, config.jaro_winkler_threshold, config.metaphone_required)
-    return pairs.withColumn("result", eq)
+    return forms.withColumn("result", eq).drop(x, y)
 
 
 def _segments(t: float) -> str:
