@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage: checkpointed in the folder that the cluster names."""
+    """df without its lineage: checkpointed in the folder that the cluster names; an own one will do
+    only where all runs on one machine."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillframe-"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            where = tempfile.mkdtemp(prefix="quillframe-")
+        spark.sparkContext.setCheckpointDir(where)
     return df.checkpoint()
 
 
