@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -104,7 +105,8 @@ def text_complexity(spark, d):
 #: extraction from documents and from derived texts; arrays are joined to compare them
 _RE2 = {k: v for k, v in extract.PATTERNS.items() if k not in ("quotations", "passwords", "from_parentheses")}
 _DERIVED = (
-    "concat('On ', strftime(o_orderdate, '%d/%m/%Y'), ' at ', strftime(o_orderdate, '%H:%M'), ' paid x$', cast(cast(floor(o_totalprice) as bigint) as varchar), ' and 12%a of #tag', o_custkey, ' [ref ', o_orderkey, '] by NIF ', lpad(cast(o_custkey as varchar), 8, '0'), 'T or SSN 123-45-', lpad(cast(o_orderkey % 10000 as varchar), 4, '0'), '; CVE-2021-', 1000 + o_orderkey % 9000, ' v1.', o_orderkey % 7, '.2 ES76', lpad(cast(o_orderkey as varchar), 20, '0'), ' ABCDESMM http://x.example.com/', o_orderkey, ' EP', o_orderkey, 'B1 9780', lpad(cast(o_orderkey as varchar), 9, '0'), ' PAT-', o_custkey, ' tel +34 6', lpad(cast(o_custkey as varchar), 8, '0'))"
+    "concat('On ', strftime(o_orderdate, '%d/%m/%Y'), ' at ', strftime(o_orderdate, '%H:%M'), ' paid x$', cast(cast(floor(o_totalprice) as bigint) as varchar), ' and 12%a of #tag', o_custkey, ' [ref ', o_orderkey, '] by NIF ', lpad(cast(o_custkey as varchar), 8, '0'), 'T or SSN 123-45-', lpad(cast(o_orderkey % 10000 as varchar), 4, '0'), '; CVE-2021-', 1000 + o_orderkey % 9000, ' v1.', o_orderkey % 7, '.2 ES76', lpad(cast(o_orderkey as varchar), 20, '0'), ' ABCDESMM http://x.example.com/', o_orderkey, ' EP', o_orderkey, 'B1 9780', lpad(cast(o_orderkey as varchar), 9, '0'), ' PAT-', o_custkey, ' tel +34 6', lpad(cast(o_custkey as varchar), 8, '0'),"
+    " ' (note ', o_orderkey, ') @user', o_custkey, ' card 4111 1111 1111 ', 1000 + o_orderkey % 9000, ' ip 10.', o_custkey % 256, '.', o_orderkey % 256, '.7 mail who', o_custkey, '@mail.example.org said \"so it is\" sum ', md5(cast(o_orderkey as varchar)))"
 )
 _DERIVED_SPARK = _DERIVED.replace("strftime(o_orderdate, '%d/%m/%Y')", "date_format(o_orderdate, 'dd/MM/yyyy')").replace("strftime(o_orderdate, '%H:%M')", "date_format(o_orderdate, 'HH:mm')").replace("varchar", "string")
 
@@ -126,13 +128,12 @@ for _kind in extract.PATTERNS:
     for _derived_ in (False, True):
         _key, _from = ("o_orderkey", f"(select o_orderkey, {_DERIVED} as text from orders)") if _derived_ else ("doc_id", "documents")
         _pattern = extract.PATTERNS[_kind].replace("'", "''")
-        _plain = _kind not in ("passwords",)
         # ASCII word borders of RE2 are the same where letters next to a hit are ASCII: the derived texts
-        _ok = _plain and (_derived_ or _kind in ("emails", "urls", "hashtags" if False else "emails"))
+        _ok = _derived_ and _kind != "passwords"
         query(f"extract_{_kind}" + ("_derived" if _derived_ else ""), f"select {_key}, len(h)::bigint as n, array_to_string(h, '|') as hits from (select {_key}, regexp_extract_all(text, '{_pattern}') as h from {_from}) where len(h) > 0" if _ok else None)(_extract_query(_kind, _derived_))
 
 
-@query("extract_phones_derived")
+@query("extract_phones_derived", r"select o_orderkey, array_to_string(list_filter(list_transform(regexp_extract_all(text, '\+?\d[-\s().\d\v]*\d'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) >= 5), '|') as hits from (select o_orderkey, " + _DERIVED + " as text from orders)")
 def extract_phones_derived(spark, d):
     return _derived(spark, d).select("o_orderkey", F.concat_ws("|", extract.phones("text")).alias("hits"))
 
@@ -162,35 +163,93 @@ def language_confusion(spark, d):
     return detect_language(spark, d).groupBy("lang", "detected").agg(F.count("*").alias("n"))
 
 
-# --- identifiers made from keys: every second one has a wrong digit
+# --- identifiers made from keys by arithmetic that both dialects have; what is right follows in SQL
 
 _KEY = "o_orderkey"
 
 
-def _ids(spark, d, *kinds: str) -> DataFrame:
-    g = generate.Generator(_KEY, "es_ES", 3)
-    made = {"card": g.credit_card_number, "ean": g.ean13, "ptnif": g.portuguese_nif}
-    o = _t(spark, d, "orders").select(_KEY)
-    # the last character goes one on for odd keys
-    spoilt = lambda c: F.when(F.col(_KEY) % 2 == 0, c).otherwise(F.concat(F.substring(c, F.lit(1), F.length(c) - 1), F.translate(F.substring(c, -1, 1), "0123456789TRWAGMYFPDXBNJZSQVHLCKE", "1234567890RWAGMYFPDXBNJZSQVHLCKET")))
-    return o.select(_KEY, *[made.get(k, getattr(g, k, None))().alias(k) for k in kinds]).select(_KEY, *[spoilt(F.col(k)).alias(k) for k in kinds])
+def _num(n: int, by: int) -> str:
+    """n digits that look random."""
+    return f"lpad(cast(cast(o_orderkey as bigint) * {by} % {10**n} as varchar({n})), {n}, '0')"
+
+
+def _one(chars: str, by: int) -> str:
+    """One of some characters."""
+    return f"substr('{chars}', cast(cast(o_orderkey as bigint) * {by} % {len(chars)} as int) + 1, 1)"
+
+
+def _cat(*parts: str) -> str:
+    return "concat(" + ", ".join(parts) + ")"
+
 
+def _weighed(weights: list[int], s: str = "s") -> str:
+    return "(" + " + ".join(f"{w} * {s}[{k}]::int" for k, w in enumerate(weights, 1) if w) + ")"
 
-_CHECKS: dict[str, tuple[str, Callable]] = {
-    "luhn": ("card", validate.is_valid_luhn), "credit_card": ("card", lambda c: validate.is_valid_credit_card(c)["valid"]), "iban": ("iban", validate.is_valid_iban), "ean": ("ean", validate.is_valid_ean),
-    "isbn10": ("isbn10", validate.is_valid_isbn), "isbn13": ("isbn13", validate.is_valid_isbn), "dni": ("dni", ids.is_valid_dni), "nie": ("nie", ids.is_valid_nie), "cpf": ("cpf", ids.is_valid_cpf),
-    "cnpj": ("cnpj", ids.is_valid_cnpj), "ptnif": ("ptnif", ids.is_valid_portuguese_nif), "rut": ("rut", ids.is_valid_rut), "cuil": ("cuil", ids.is_valid_cuil),
+
+def _luhn(n: int) -> str:
+    return "(" + " + ".join(f"s[{k}]::int" if (n - k) % 2 == 0 else f"(2 * s[{k}]::int) // 10 + (2 * s[{k}]::int) % 10" for k in range(1, n + 1)) + ") % 10 = 0"
+
+
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_NIF = "TRWAGMYFPDXBNJZSQVHLCKE"
+_REST = "({0} * 10 % 11 % 10)".format
+_BELOW = "case when {0} % 11 < 2 then 0 else 11 - {0} % 11 end".format
+#: The odd places of an Italian code.
+_ODD = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23)
+_ITALIAN = " + ".join(
+    (f"[{', '.join(map(str, _ODD))}][{{0}} + 1]" if k % 2 else "{0}").format(f"(case when s[{k}] between '0' and '9' then s[{k}]::int else ascii(s[{k}]) - 65 end)") for k in range(1, 16)
+)
+
+#: kind -> (what is checked, the check, SQL of what is valid)
+_CHECKS: dict[str, tuple[str, Callable, str]] = {
+    "luhn": (_num(13, 982451653), validate.is_valid_luhn, _luhn(13)),
+    "credit_card": (_cat("'4'", _num(15, 32416190071)), lambda c: validate.is_valid_credit_card(c)["valid"], _luhn(16)),
+    "iban": (_cat("'ES'", _num(2, 7), _num(10, 982451653), _num(10, 32416190071)), validate.is_valid_iban, "(s[5:] || '1428' || s[3:4])::hugeint % 97 = 1"),
+    "ean": (_num(13, 982451653), validate.is_valid_ean, _weighed([1, 3] * 6 + [1]) + " % 10 = 0"),
+    "isbn10": (_cat(_num(9, 982451653), _one("0123456789X", 13)), validate.is_valid_isbn, "(" + _weighed(list(range(10, 1, -1))) + " + case when s[10] = 'X' then 10 else s[10]::int end) % 11 = 0"),
+    "isbn13": (_cat("'978'", _num(10, 982451653)), validate.is_valid_isbn, _weighed([1, 3] * 6 + [1]) + " % 10 = 0"),
+    "dni": (_cat(_num(8, 982451653), _one(_NIF, 13)), ids.is_valid_dni, f"s not in ('99999999R', '00000001R', '00000000T') and substr('{_NIF}', (s[1:8]::int % 23) + 1, 1) = s[9]"),
+    "nie": (_cat(_one("XYZ", 7), _num(7, 982451653), _one(_NIF, 13)), ids.is_valid_nie, f"substr('{_NIF}', ((instr('XYZ', s[1]) - 1 || s[2:8])::int % 23) + 1, 1) = s[9]"),
+    "cif": (_cat(_one("ABCDEFGHJNPQRSUVW", 7), _num(7, 982451653), _one("0123456789ABCDEFGHIJ", 13)), ids.is_valid_cif, f"case when s[1] in ('A', 'B', 'C', 'D', 'E', 'F', 'G', 'H', 'J') then s[9] = ({_weighed([1] * 7, 's[2:8]')} % 10)::varchar else s[9] = substr('{_AZ}', {_weighed([1] * 7, 's[2:8]')} % 10 + 1, 1) end"),
+    "cpf": (_num(11, 982451653), ids.is_valid_cpf, f"s[10]::int = {_REST(_weighed(list(range(10, 1, -1))))} and s[11]::int = {_REST(_weighed(list(range(11, 1, -1))))} and replace(s, s[1], '') <> ''"),
+    "cnpj": (_cat(_num(12, 982451653), _num(2, 17)), ids.is_valid_cnpj, f"s[13]::int = {_BELOW(_weighed([5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]))} and s[14]::int = {_BELOW(_weighed([6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]))} and replace(s, s[1], '') <> ''"),
+    "ptnif": (_num(9, 982451653), ids.is_valid_portuguese_nif, f"s[1] <> '0' and s[9]::int = {_BELOW(_weighed(list(range(9, 1, -1))))}"),
+    "rut": (_cat(_num(8, 982451653), "'-'", _one("0123456789K", 13)), ids.is_valid_rut, f"s[10] = substr('0123456789K0', 11 - {_weighed([3, 2, 7, 6, 5, 4, 3, 2])} % 11 + 1, 1)"),
+    "cuil": (_num(11, 982451653), ids.is_valid_cuil, f"s[11]::int = case 11 - {_weighed([5, 4, 3, 2, 7, 6, 5, 4, 3, 2])} % 11 when 11 then 0 when 10 then 9 else 11 - {_weighed([5, 4, 3, 2, 7, 6, 5, 4, 3, 2])} % 11 end"),
+    "codice_fiscale": (_cat("'RSSMRA'", _num(2, 7), "'A'", _num(2, 13), "'H'", _num(3, 982451653), _one(_AZ, 11)), ids.is_valid_codice_fiscale, f"substr('{_AZ}', ({_ITALIAN}) % 26 + 1, 1) = s[16]"),
+    "nino": (_cat(_one(_AZ, 7), _one(_AZ, 11), _num(6, 982451653), _one("ABCDE", 13)), ids.is_valid_nino, "s[1] not in ('D', 'F', 'I', 'Q', 'U', 'V') and s[2] not in ('D', 'F', 'I', 'Q', 'U', 'V', 'O') and s[1:2] not in ('BG', 'GB', 'NK', 'KN', 'TN', 'NT', 'ZZ') and s[9] <> 'E'"),
+    "curp": (_cat("'GODE'", _num(6, 982451653), _one("HMX", 7), "'DF'", _one("ABCD", 11), "'NN'", _one("A0-", 13), _num(1, 3)), ids.is_valid_curp, "s[11] <> 'X' and s[14] <> 'A' and s[17] <> '-'"),
+    "swift_bic": (_cat("'BANK'", _one("AB1", 7), "'S'", _num(2, 13), _one("XY-", 11), _one("0Z_", 5), _one("9 ", 3)), validate.is_valid_swift_bic, "s[5] <> '1' and s[9] <> '-' and s[10] <> '_' and s[11] = '9'"),
+    "phone_format": (_cat(_one("+6789015", 7), "'34 6'", _num(8, 982451653)), lambda c: validate.is_valid_phone_format(c, "ES"), r"regexp_full_match(replace(s, ' ', ''), '(\+34)?[6-9][0-9]{8}')"),
 }
 
 
 def _check_query(kind: str) -> Query:
-    column, fn = _CHECKS[kind]
-    return lambda spark, d: _ids(spark, d, column).select(_KEY, fn(column).alias("valid"))
+    made, fn, _ = _CHECKS[kind]
+    return lambda spark, d: _t(spark, d, "orders").select(_KEY, F.expr(re.sub(r"varchar\(\d+\)", "string", made)).alias("s")).select(_KEY, "s", fn("s").alias("valid"))
+
+
+for _kind, (_made, _, _valid) in _CHECKS.items():
+    query(f"validate_{_kind}", f"select o_orderkey, s, {_valid} as valid from (select o_orderkey, {re.sub(r'varchar[(][0-9]+[)]', 'varchar', _made)} as s from orders)")(_check_query(_kind))
+
+
+def _ids(spark, d, *kinds: str) -> DataFrame:
+    g = generate.Generator(_KEY, "es_ES", 3)
+    o = _t(spark, d, "orders").select(_KEY)
+    # the last character goes one on for odd keys
+    spoilt = lambda c: F.when(F.col(_KEY) % 2 == 0, c).otherwise(F.concat(F.substring(c, F.lit(1), F.length(c) - 1), F.translate(F.substring(c, -1, 1), "TRWAGMYFPDXBNJZSQVHLCKE", "RWAGMYFPDXBNJZSQVHLCKET")))
+    return o.select(_KEY, *[getattr(g, k)().alias(k) for k in kinds]).select(_KEY, *[spoilt(F.col(k)).alias(k) for k in kinds])
 
 
-for _kind in _CHECKS:
-    # a wrong last digit is always found by these rules, and nothing else may be
-    query(f"validate_{_kind}", f"select o_orderkey, o_orderkey % 2 = 0 as valid from orders")(_check_query(_kind))
+#: Generated documents are valid, and no longer so with another last character.
+_MADE = {"card": ("credit_card_number", validate.is_valid_luhn), "iban": ("iban", validate.is_valid_iban), "ean": ("ean13", validate.is_valid_ean), "isbn10": ("isbn10", validate.is_valid_isbn), "isbn13": ("isbn13", validate.is_valid_isbn), "dni": ("dni", ids.is_valid_dni), "nie": ("nie", ids.is_valid_nie), "cpf": ("cpf", ids.is_valid_cpf), "cnpj": ("cnpj", ids.is_valid_cnpj), "ptnif": ("portuguese_nif", ids.is_valid_portuguese_nif), "rut": ("rut", ids.is_valid_rut), "cuil": ("cuil", ids.is_valid_cuil)}
+
+
+@query("generated_documents", "select o_orderkey, " + ", ".join(f"true as {k}" for k in _MADE) + " from orders")
+def generated_documents(spark, d):
+    g = generate.Generator(_KEY, "es_ES", 3)
+    made = _t(spark, d, "orders").select(_KEY, *[getattr(g, name)().alias(k) for k, (name, _) in _MADE.items()])
+    return made.select(_KEY, *[fn(k).alias(k) for k, (_, fn) in _MADE.items()])
 
 
 def _digits_sql(n: int, expr: str) -> str:
@@ -221,6 +280,19 @@ def validate_bsn(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", ids.is_valid_bsn(c).alias("valid"))
 
 
+@query("detect_mixed_scripts", "select o_orderkey, o_orderkey % 4 in (2, 3) or (o_orderkey % 4 = 1 and o_orderkey % 3 = 2) as mixed from orders")
+def detect_mixed_scripts(spark, d):
+    text = F.expr("concat(case o_orderkey % 4 when 0 then '12 ' when 1 then 'Привет ' when 2 then 'Παπa ' else 'abcд ' end, case o_orderkey % 3 when 0 then '--' when 1 then '42' else 'z' end)")
+    return _t(spark, d, "orders").select("o_orderkey", (F.size(validate.detect_mixed_scripts(text)) > 1).alias("mixed"))
+
+
+@query("validate_vat", "select o_orderkey, o_orderkey % 3 = 0 or o_orderkey % 3 = 1 and o_orderkey % 2 = 0 as valid from orders")
+def validate_vat(spark, d):
+    """German numbers have nine digits, Dutch ones a B before the last two."""
+    vat = F.expr("concat(case o_orderkey % 3 when 0 then 'DE 123 ' when 1 then 'NL123' else 'DE12' end, lpad(cast(o_orderkey as string), 6, '0'), case when o_orderkey % 3 <> 1 then '' when o_orderkey % 2 = 0 then 'B01' else 'C01' end)")
+    return _t(spark, d, "orders").select("o_orderkey", validate.is_valid_vat(vat).alias("valid"))
+
+
 @query("parse_nif")
 def parse_nif(spark, d):
     return _ids(spark, d, "dni").select(_KEY, ids.nif_parse("dni").alias("parsed"), ids.european_nif("dni")["type"].alias("kind"), ids.validate_id_document("dni", "ES").alias("valid"))
@@ -389,6 +461,20 @@ def privacy_measures(spark, d):
     return privacy.measure_privacy(_people(spark, d), ["c_mktsegment", "c_nationkey"], ["band"]).withColumn("t_closeness", F.round("t_closeness", 9))
 
 
+#: The same with NULL for a sixth of the segments and nations: a class and a value like others.
+_HOLED = "(select nullif(c_mktsegment, 'BUILDING') as c_mktsegment, nullif(c_nationkey, 3) as c_nationkey, floor(c_acctbal / 1000)::bigint as band from customer)"
+
+
+@query("privacy_measures_nulls", f"""with c as (select c_mktsegment, c_nationkey, count(*) as n, count(distinct band) as l from {_HOLED} group by 1, 2),
+  v as (select band, row_number() over (order by band) as r, sum(count(*)) over (order by band) / sum(count(*)) over () as f from {_HOLED} group by band),
+  g as (select c.c_mktsegment, c.c_nationkey, v.r, v.f, (select count(*) from {_HOLED} p where p.c_mktsegment is not distinct from c.c_mktsegment and p.c_nationkey is not distinct from c.c_nationkey and p.band <= v.band) / c.n as own from c, v),
+  t as (select sum(abs(own - f)) / ((select count(*) from v) - 1) as t from g group by c_mktsegment, c_nationkey)
+  select (select min(n) from c)::bigint as k_anonymity, (select min(l) from c)::bigint as l_diversity, (select sum(n) from c)::bigint as rows, round((select max(t) from t), 9)::double as t_closeness""")
+def privacy_measures_nulls(spark, d):
+    p = _people(spark, d).select(F.expr("nullif(c_mktsegment, 'BUILDING')").alias("c_mktsegment"), F.expr("nullif(c_nationkey, 3)").alias("c_nationkey"), "band")
+    return privacy.measure_privacy(p, ["c_mktsegment", "c_nationkey"], ["band"]).withColumn("t_closeness", F.round("t_closeness", 9))
+
+
 @query("suppress_classes", f"select p.* from {_PEOPLE} p join (select c_mktsegment, c_nationkey, band from {_PEOPLE} group by 1, 2, 3 having count(*) >= 3) using (c_mktsegment, c_nationkey, band)")
 def suppress_classes(spark, d):
     return privacy.suppress_classes(_people(spark, d), ["c_mktsegment", "c_nationkey", "band"], 3)
@@ -433,6 +519,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from . import oracles
+
+    return oracles.all_sql() | _SQL
 
 
