@@ -42,7 +42,7 @@ SEND_BYTES = 16 << 20
 #: A place is several hundred words on average: it counts as so many of repeats.PART_PLACES.
 PLACE_WEIGHT = 8
 #: Words of a sequence that stream in one piece.
-PIECE = 160
+PIECE = 100
 
 
 class Bits:
@@ -146,18 +146,17 @@ class Index:
 
     @cached_property
     def smaller(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each place the next ones before and after that share fewer words (itself, if none)."""
-        out = []
-        for step, end in ((-1, 0), (1, self.n)):
-            to = np.arange(self.n + 1) + step
-            to[end] = end
-            live = np.flatnonzero((self.lcp[to] >= self.lcp) & (to != end))
-            while len(live):
-                # what a place skips is no smaller than it: jumps can be joined
-                to[live] = to[to[live]]
-                live = live[(self.lcp[to[live]] >= self.lcp[live]) & (to[live] != end)]
-            out.append(to)
-        return out[0], out[1]
+        """For each place the next ones before and after that share fewer words (the ends, if none)."""
+        n, values = self.n, self.lcp.tolist()
+        left, right, rising = [0] * (n + 1), [n] * (n + 1), []
+        for i, v in enumerate(values):
+            while rising and values[rising[-1]] > v:
+                right[rising.pop()] = i
+            if rising:
+                top = rising[-1]
+                left[i] = left[top] if values[top] == v else top
+            rising.append(i)
+        return np.array(left), np.array(right)
 
     @cached_property
     def transform(self) -> Wavelet:
@@ -334,8 +333,8 @@ def _candidates(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tu
     # counted before they meet, as in candidates(): partial sums of each task, and joins whose skew can be split
     heads = rows.groupBy("h", "head").agg(F.sum("times").alias("same"))
     often = heads.groupBy("h").agg(F.sum("same").alias("n")).where("n > 1")
-    chosen = heads.join(often, "h").select("head", (F.col("same") < F.col("n")).alias("starts"))
-    found = rows.where("e > 0").drop("times").join(chosen, "head").where("forced or starts")
+    chosen = heads.join(often, "h").select("head", "h", (F.col("same") < F.col("n")).alias("starts"))
+    found = rows.where("e > 0").select("k1", "head", "forced", "s", "e").join(chosen, "head").where("forced or starts")
     each = frames.written(found.groupBy("k1").agg(F.collect_set(F.struct("h", "s", "e")).alias("places")))
     return src.join(each, "k1").select("id", "k1", "k2", "text", "places"), each.agg(F.sum(F.size("places"))).first()[0] or 0
 
