@@ -131,20 +131,26 @@ def _anchor_rows(src: DataFrame, min_words: int) -> DataFrame:
     return src.mapInArrow(run, "k1 long, k2 long, h long, times int")
 
 
-def candidates(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, int]:
-    """(id, k1, k2, text, h array) of the texts that have anchors which occur repeatedly, and how many
-    such anchors there are in all texts.
+#: Occurrences of an anchor above which its places don't meet in one group.
+HOT = 1 << 16
+
+
+def candidates(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, int, int]:
+    """(id, k1, k2, text, h array, hot array) of the texts that have anchors which occur repeatedly, and
+    how many such anchors there are in all texts; hot: those that occur more than HOT times, apart.
 
     Anchors are counted before they meet (partial sums of each task), so one that a third of all texts
-    have is one row a task; which texts have it is then a semi join, whose skew Spark can split.
+    have is one row a task; which texts have it is then a join, whose skew Spark can split.
     """
     if not 1 <= min_words < 1 << 16:
         raise ValueError("min_words must be from 1 to 65535")
     src = sources(df, id_col, text_col)
     rows = frames.written(_anchor_rows(src, min_words))
-    often = rows.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h")
-    each = frames.written(rows.join(often, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("h").alias("h")))
-    return src.join(each, ["k1", "k2"]).select("id", "k1", "k2", "text", "h"), each.agg(F.sum(F.size("h"))).first()[0] or 0
+    often = rows.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("is_hot"))
+    each = rows.join(often, "h").groupBy("k1", "k2").agg(F.expr("collect_set(if(is_hot, null, h))").alias("h"), F.expr("collect_set(if(is_hot, h, null))").alias("hot"))
+    each = frames.written(each)
+    places = each.agg(F.coalesce(F.sum(F.size("h")), F.lit(0)), F.coalesce(F.sum(F.size("hot")), F.lit(0))).first()
+    return src.join(each, ["k1", "k2"]).select("id", "k1", "k2", "text", "h", "hot"), places[0], places[1]
 
 
 class Once:

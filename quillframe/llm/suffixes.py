@@ -195,7 +195,7 @@ def _bit_runs(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(id, k1, k2, copy, s, e, first_id, first_k1, first_k2): windows as intervals, not yet united."""
     least_parts = frames.partitions(df.sparkSession)
-    found, places = candidates(df, id_col, text_col, min_words)
+    found, places, hot = candidates(df, id_col, text_col, min_words)
     parts = part_count(places, least_parts)
 
     def sort(it):
@@ -306,7 +306,43 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
         return pa.table({"id": pa.array(c[0], mask=c[1]), "first_id": pa.array(c[7], mask=c[8])} | {k: pa.array(v) for k, v in whole.items()}).select(["id", "k1", "k2", "copy", "s", "e", "first_id", "first_k1", "first_k2"])
 
     runs = found.mapInArrow(sort, "part int, run binary")
-    return grouped(runs, "part", places, least_parts).applyInArrow(join, "id long, k1 long, k2 long, copy boolean, s int, e int, first_id long, first_k1 long, first_k2 long")
+    spans = grouped(runs, "part", places, least_parts).applyInArrow(join, _SPANS)
+    return spans.union(_hot_spans(found.where("size(hot) > 0"), min_words)) if hot else spans
+
+
+_SPANS = "id long, k1 long, k2 long, copy boolean, s int, e int, first_id long, first_k1 long, first_k2 long"
+
+
+def _hot_spans(found: DataFrame, min_words: int) -> DataFrame:
+    """The same for the windows of hot anchors: of each window, its count and its first place are
+    partial aggregates of each task, so no group of places meets anywhere."""
+
+    def windows(it):
+        import pyarrow as pa
+
+        for batch in it:
+            texts = frames.strings(batch, "text")
+            for a, b in K.batches(texts):
+                w = Words(texts[a:b])
+                doc, p, _, near, far = repeated_anchors(w, frames.column(batch, "hot").slice(a, b - a), min_words)
+                many = far - near + 1
+                start = K.ranges(p - far, many)
+                of = np.repeat(doc, many)
+                whole = start + min_words <= w.docs[of + 1]
+                start, of = start[whole], of[whole]
+                one = K.Spans(w.hashes).hash(start, start + min_words)
+                two = K.Spans(K.mix(w.hashes ^ np.uint64(0x9E3779B97F4A7C15))).hash(start, start + min_words)
+                take = pa.array(of + a)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *[frames.column(batch, c).take(take) for c in ("id", "k1", "k2")], pa.array((start - w.docs[of]).astype(np.int32))], names=["w1", "w2", "id", "k1", "k2", "s"]
+                )
+
+    each = frames.written(found.mapInArrow(windows, "w1 long, w2 long, id long, k1 long, k2 long, s int").distinct())
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "s")
+    firsts = each.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("w1", "w2", "first")
+    both = each.join(firsts, ["w1", "w2"])
+    copy = ~((F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2")) & (F.col("s") == F.col("first.s")))
+    return both.select("id", "k1", "k2", copy.alias("copy"), "s", (F.col("s") + min_words).cast("int").alias("e"), F.col("first.id").alias("first_id"), F.col("first.k1").alias("first_k1"), F.col("first.k2").alias("first_k2"))
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

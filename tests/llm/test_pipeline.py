@@ -53,6 +53,34 @@ def test_stages(spark, small):
         assert bpe.Encoder(vocab).encode([r["decoded"]])[1].tolist() == r["ids"]
 
 
+ODD = "row failed keep k1 K2 _row _text _k1 _cuts goes repeated copy _at _ident h ids decoded n_words Text_".split()
+
+
+def test_odd_tables(spark):
+    """NULLs anywhere, ids that are NULL or repeated, equal rows, long and empty texts, columns whose
+    names clash with those in use: every stage returns the columns of documents, untouched."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in "the of and to in it is was for on".split() for b in ("", "ra", "lo", "mi")] + [f"w{chr(97 + k % 26)}{k}" for k in range(900)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    long, one, two = text(60000), text(90), text(80)
+    rows = [(1, one), (1, two), (None, text(70)), (None, text(75)), (2, one + " more"), (3, long), (4, ""), (5, None), (6, " \n\t"), (7, two), (7, two), (None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in ODD)
+    made = [(d, t, None if k % 3 else "en", None if k % 4 == 1 else "ab"[k % 2], None if t is None else len(t), *[None if k % 5 == 0 else f"{c}{k}" for c in ODD]) for k, (d, t) in enumerate(rows)]
+    for docs in (spark.createDataFrame(made, schema), spark.createDataFrame([], schema)):
+        empty = docs.isEmpty()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns
+            kept = out.collect()
+            of = {tuple(r[5:]) for r in docs.collect()}
+            assert empty == (not kept) and all(tuple(r[5:]) in of for r in kept)  # other columns pass as they are
+            docs = spark.createDataFrame(kept, docs.schema)
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+        assert empty or {r["decoded"] for r in last} == {r["text"] for r in docs.collect()}
+
+
 def test_registered():
     import __spark_entry__ as e
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from quillframe.llm import frames, substring, suffixes
+from quillframe.llm import frames, repeats, substring, suffixes
 
 
 def brute(rows, n, key):
@@ -43,9 +43,11 @@ def row_names(df):
     return {(r["doc_id"], r["text"]): (r["k1"], r["k2"]) for r in df.select("doc_id", "text", *frames.row_key()).collect()}
 
 
-@pytest.mark.parametrize("seed,n,kind", [(1, 6, "long"), (2, 20, "string"), (3, 1, "int")])
-def test_against_brute_force(spark, seed, n, kind):
+@pytest.mark.parametrize("seed,n,kind,hot", [(1, 6, "long", None), (2, 20, "string", None), (3, 1, "int", None), (5, 6, "long", 3)])
+def test_against_brute_force(spark, monkeypatch, seed, n, kind, hot):
     rows = corpus(seed)
+    if hot:
+        monkeypatch.setattr(repeats, "HOT", hot)
     if kind == "string":
         rows = [(None if d is None else f"doc-{d}", t) for d, t in rows]
     df = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], f"doc_id {kind}, text string, k1 string, _cuts string")
