@@ -26,6 +26,11 @@ _CITY = {
     "pt": "Braga Coimbra Faro Recife Manaus Natal Curitiba Salvador Évora Aveiro", "fr": "Lille Nantes Rennes Dijon Angers Toulon Brest Nîmes Tours Limoges",
     "de": "Bremen Dresden Hannover Leipzig Kassel Rostock Mainz Erfurt Kiel Ulm", "it": "Torino Bologna Verona Padova Trieste Parma Modena Pisa Lecce Rimini",
 }
+_STATE = {
+    "es": "Andalucía|Aragón|Asturias|Cantabria|Extremadura|Galicia|Navarra|Baleares|La Rioja|Cataluña", "en": "Ohio|Texas|Oregon|Nevada|Vermont|Kansas|Maine|Utah|Kent|Devon",
+    "pt": "Minho|Algarve|Alentejo|Bahia|Paraná|Ceará|Goiás|Acre|Sergipe|Tocantins", "fr": "Bretagne|Normandie|Occitanie|Corse|Picardie|Alsace|Lorraine|Auvergne|Savoie|Limousin",
+    "de": "Bayern|Hessen|Sachsen|Saarland|Thüringen|Brandenburg|Niedersachsen|Hamburg|Pfalz|Berlin", "it": "Toscana|Umbria|Liguria|Puglia|Calabria|Sicilia|Sardegna|Veneto|Molise|Marche",
+}
 _WORDS = "amber basin cedar delta ember frost grove harbor island jungle kettle lantern meadow needle orchard pebble quarry river saddle timber umbrella valley willow yonder zephyr anchor bridge copper dawn echo".split()
 _STREET = {"es": "Calle", "en": "Street", "pt": "Rua", "fr": "Rue", "de": "Straße", "it": "Via"}
 _POOLS: dict[str, list[str]] = {
@@ -111,7 +116,8 @@ class Generator:
     def city(self) -> Column:
         return self._pool(_CITY, "city")
 
-    state = city
+    def state(self) -> Column:
+        return self.pick(_STATE.get(self.lang, _STATE["en"]).split("|"), "state")
 
     def _plain(self, c: Column) -> Column:
         return F.lower(F.regexp_replace(strip_accents(c), "[^A-Za-z]", ""))
@@ -239,6 +245,24 @@ class Generator:
     def number(self, low: float = 0, high: float = 999999, decimals: int = 0) -> Column:
         return F.round(low + self.fraction("num") * (high - low), decimals)
 
+    def random_number(self, kind: str = "integer", digits: int = 6, decimals: int = 2, low: float | None = None, high: float | None = None, mask: str | None = None, currency: bool = False) -> Column:
+        """A number as a string: integer, float, or by a mask whose # are digits; between low and high, or
+        of that many digits; with the locale's separators and, if asked for, its currency's symbol."""
+        if kind not in ("integer", "float"):
+            raise ValueError("kind is integer or float")
+        if mask is not None:
+            return self.masked(mask)
+        low = (10 ** (digits - 1) if digits > 1 else 0) if low is None else low
+        high = 10**digits - 1 if high is None else high
+        value = self.number(low, high, decimals if kind == "float" else 0)
+        shown = self.localized(value, decimals if kind == "float" else 0) if kind == "float" or currency else value.cast("bigint").cast("string")
+        return F.concat(shown, F.lit(" "), self.currency_symbol()) if currency else shown
+
+    def masked(self, mask: str, salt: str = "mask") -> Column:
+        """# as digits, ? as letters, anything else as it is."""
+        parts = [self.digits(1, f"{salt}{k}") if ch == "#" else self.chars(1, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", f"{salt}{k}") if ch == "?" else F.lit(ch) for k, ch in enumerate(mask)]
+        return F.concat(*parts) if parts else F.lit("")
+
     def localized(self, c: Column, decimals: int = 2) -> Column:
         p = self.profile
         return F.translate(F.format_number(c, decimals), ",.", (p.thousands + p.decimal) if p else ",.")
@@ -258,7 +282,10 @@ class Generator:
         days = F.datediff(F.lit(high).cast("date"), F.lit(low).cast("date"))
         return F.date_add(F.lit(low).cast("date"), F.pmod(self._h(salt), (days + 1).cast("bigint")).cast("int"))
 
-    def date(self, start: str = "2000-01-01", end: str = "2025-12-31", pattern: str | None = None) -> Column:
+    def date(self, start: str = "2000-01-01", end: str = "2025-12-31", pattern: str | None = None, mask: str | None = None) -> Column:
+        """By a pattern of date_format, or a mask of DD, MM, YYYY and YY; else as the locale writes dates."""
+        if mask is not None:
+            pattern = mask.replace("YYYY", "yyyy").replace("YY", "yy").replace("DD", "dd")
         return F.date_format(self.date_value(start, end), pattern or (self.profile.date_format if self.profile else "yyyy-MM-dd"))
 
     def date_of_birth(self, low: int = 18, high: int = 80, today: str = "2025-01-01") -> Column:
@@ -376,6 +403,21 @@ class Generator:
     def register_custom(self, name: str, source: list[str] | Column) -> None:
         self.custom[name] = source
 
+    def unregister_custom(self, name: str) -> bool:
+        return self.custom.pop(name, None) is not None
+
+    def run_custom(self, name: str) -> Column:
+        if name not in self.custom:
+            raise KeyError(f"no generator {name!r}; there are {self.list_custom()}")
+        return self.value(name)
+
+    def list_custom(self) -> list[str]:
+        return sorted(self.custom)
+
+    def available_documents(self) -> list[str]:
+        """Names of the locale's identity documents."""
+        return list(self.profile.documents) if self.profile else []
+
     def value(self, name: str) -> Column:
         """A generator by its name, a pool, or a registered one."""
         if name in self.custom:
@@ -426,7 +468,7 @@ ALIASES = {
     "nif": "id_document", "documento": "id_document", "tarjeta": "credit_card_number", "credit_card": "credit_card_number", "website": "url", "ip": "ipv4", "ip_address": "ipv4", "uuid": "uuid4", "sku": "product_sku", "sexo": "gender", "edad": "age",
 }
 
-_NOT = {"integer", "fraction", "pick", "chars", "digits", "weighted", "sample", "value", "resolve", "register_custom", "localized", "date_value", "number"}
+_NOT = {"integer", "fraction", "pick", "chars", "digits", "weighted", "sample", "value", "resolve", "register_custom", "localized", "date_value", "number", "masked", "unregister_custom", "run_custom", "list_custom", "available_documents"}
 
 
 def generators() -> list[str]:

@@ -9,6 +9,7 @@ pairs are then verified; no pair is compared without sharing one.
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 
 import pandas as pd
@@ -327,6 +328,53 @@ def compare_code_blocks(a: Column | str, b: Column | str, language: str = "pytho
     return F.struct(d.alias("normalized"), d["score"].alias("structural_similarity"), (S.ratcliff_obershelp_score(a, b) * 100.0).alias("original_similarity"))
 
 
+# --- comparators of one's own
+
+
+class Comparators:
+    """Named functions (a, b) -> column. They build expressions, so they run where the built-in ones do;
+    a pandas_udf will do as well."""
+
+    def __init__(self):
+        self._own: dict[str, Callable[[Column, Column], Column]] = {}
+
+    def register(self, name: str, fn: Callable[[Column, Column], Column]) -> None:
+        if not name or not callable(fn):
+            raise TypeError("a comparator has a name, takes two columns and returns one")
+        self._own[name] = fn
+
+    def unregister(self, name: str) -> bool:
+        return self._own.pop(name, None) is not None
+
+    def names(self) -> list[str]:
+        return sorted(self._own)
+
+    def run(self, name: str, a: Column | str, b: Column | str) -> Column:
+        if name not in self._own:
+            raise KeyError(f"no comparator {name!r}; there are {self.names()}")
+        return self._own[name](rx.col(a), rx.col(b))
+
+
+def explained(a: Column | str, b: Column | str, config: MatcherConfig = DEFAULT) -> Column:
+    """Struct: the result of are_equivalent on normalised texts, these texts, the thresholds, and the
+    reason in words."""
+    x, y = normalize_for_match(a, config), normalize_for_match(b, config)
+
+    def told(t: Column) -> Column:
+        r = S.are_equivalent(t["x"], t["y"], config.levenshtein_threshold, config.jaro_winkler_threshold, config.metaphone_required)
+        close, near = r["levenshtein_ratio"] >= config.levenshtein_threshold, r["jaro_winkler_score"] >= config.jaro_winkler_threshold
+        reason = (
+            F.when((t["x"] == "") | (t["y"] == ""), "empty text").when(t["x"] == t["y"], "equal when normalised").when(r["is_match"] & r["phonetic_match"] & config.metaphone_required, "alike in sound")
+            .when(r["is_match"], "alike in letters").when(close | near, "only one measure is high enough").otherwise("no measure is high enough")
+        )
+        return F.struct(r.alias("result"), t["x"].alias("normalized1"), t["y"].alias("normalized2"), F.lit(config.levenshtein_threshold).alias("levenshtein_threshold"), F.lit(config.jaro_winkler_threshold).alias("jaro_winkler_threshold"), reason.alias("reason"))
+
+    return told({"x": x, "y": y})
+
+
+PRESETS = {"default": MatcherConfig, "strict": MatcherConfig.strict, "lenient": MatcherConfig.lenient, "fuzzy": MatcherConfig.fuzzy}
+
+
 # --- tables
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import rx
 from ..locales import LOCALES
@@ -236,6 +236,27 @@ class Anonymizer:
                 out[name] = F.when(value.isNull() | (value == "nan"), value).otherwise(self.apply(value, kind, strategy))
         return df.withColumns(out) if out else df
 
+    def anonymize_records(self, df: DataFrame, column_types: dict[str, str] | None = None, strategy: str | None = None, free_text: bool = False) -> DataFrame:
+        """As anonymize_columns, down through structs, arrays and maps: a field's name says what it
+        holds; lists of texts take their column's. With free_text, other texts are searched."""
+        types = {k.lower(): v for k, v in (column_types or {}).items()}
+
+        def walked(value: Column, kind, name: str) -> Column:
+            if isinstance(kind, T.StructType):
+                fields = F.struct(*[walked(value[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields])
+                return F.when(value.isNotNull(), fields)
+            if isinstance(kind, T.ArrayType):
+                return F.transform(value, lambda x: walked(x, kind.elementType, name))
+            if isinstance(kind, T.MapType):
+                return F.transform_values(value, lambda k, x: walked(x, kind.valueType, name))
+            pii = types.get(name.lower()) or FIELD_TYPES.get(name.lower())
+            if pii:
+                text = value.cast("string")
+                return F.when(text.isNull() | (text == "nan"), text).otherwise(self.apply(text, pii, strategy))
+            return self.anonymize_text(value, strategy)["anonymized"] if free_text and isinstance(kind, T.StringType) else value
+
+        return df.select(*[walked(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
+
     def summary(self, df: DataFrame, text: str, *keys: str) -> DataFrame:
         """Entities by type (and keys)."""
         found = df.select(*keys, F.explode(self.detect(text)).alias("e"))

@@ -29,6 +29,20 @@ def confidence_level(score: Column | str) -> Column:
     return out.otherwise("low")
 
 
+def no_match(query: Column | str, candidates: Column | str, threshold: float = 0.0, algorithm: str = "levenshtein") -> Column:
+    """The result of a search that found nothing."""
+    return match_result(query, candidates, F.lit(None).cast("string"), F.lit(0.0), threshold, algorithm)
+
+
+def is_level(result: Column | str, level: str) -> Column:
+    """Whether a result is a match of the level: perfect, high (0.90 up), medium (0.75 up) or low; a
+    perfect match is of high confidence too."""
+    if level not in ("perfect", "high", "medium", "low"):
+        raise ValueError("level is perfect, high, medium or low")
+    kind = rx.col(result)["confidence"]
+    return kind.isin("perfect", "high") if level == "high" else kind == level
+
+
 def explain(result: Column | str) -> Column:
     r = rx.col(result)
     return F.when(r["is_match"], F.format_string("'%s' matches '%s' with score %.4f (%s)", r["query"], r["best_candidate"], r["score"], r["confidence"])).otherwise(F.format_string("'%s' has no match of %.2f", r["query"], r["threshold"]))

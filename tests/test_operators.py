@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -51,8 +52,9 @@ def test_names_and_tokens(spark):
     r = df.select(matching.compare_name_bytokens("a", "b")["is_match"].alias("m"), matching.compare_names("a", "b")["is_match"].alias("n")).collect()
     # accents are kept in names: words face each other only if they are equal, or with fuzzy_align alike
     assert [x["m"] for x in r] == [False, True, False] and r[2]["n"] is False
-    fuzzy = df.select(matching.compare_name_bytokens("a", "b", fuzzy_align=True)["is_match"].alias("m")).collect()
-    assert [x["m"] for x in fuzzy] == [True, True, False]
+    near = spark.createDataFrame([("Francisco Garcia", "Fransisco Garcia"), ("Ana", "Luis")], "a string, b string")
+    both = near.select(*[matching.compare_name_bytokens("a", "b", fuzzy_align=f)["is_match"].alias(f"m{f}") for f in (False, True)]).collect()
+    assert [tuple(x) for x in both] == [(False, True), (False, False)]
     t = spark.createDataFrame([("a b c d", "a b d"), ("a b c", "a b"), ("a b", "b a"), ("a b c d", "d b a")], "a string, b string")
     assert [x[0] for x in t.select(matching.compare_tokens("a", "b")).collect()] == [True, False, True, False]
     d = spark.createDataFrame([("a\nb\nc", "a\nB2\nc\nd")], "a string, b string").select(matching.compare_text_detailed("a", "b").alias("d")).first()["d"]
@@ -188,3 +190,62 @@ def test_stream(spark, tmp_path):
     q = apply.to_parquet(stream, str(tmp_path / "sink"), str(tmp_path / "ck"))
     assert q.awaitTermination(60)
     assert {r["doc_id"]: r["n"] for r in spark.read.parquet(str(tmp_path / "sink")).collect()} == {1: 6, 2: 0}
+
+
+def test_own_comparators_and_reasons(spark):
+    c = matching.Comparators()
+    c.register("first", lambda a, b: (F.substring(a, 1, 1) == F.substring(b, 1, 1)).cast("double"))
+    df = spark.createDataFrame([("apple", "aple"), ("one", "two"), ("", "x")], "a string, b string")
+    assert [r[0] for r in df.select(c.run("first", "a", "b")).collect()] == [1.0, 0.0, 0.0]
+    assert c.names() == ["first"] and c.unregister("first") and not c.unregister("first")
+    with pytest.raises(KeyError):
+        c.run("first", "a", "b")
+    with pytest.raises(TypeError):
+        c.register("x", 3)
+    told = [r["e"] for r in df.select(matching.explained("a", "b").alias("e")).collect()]
+    assert [t["reason"] for t in told][1:] == ["no measure is high enough", "empty text"] and told[0]["result"]["is_match"] and told[0]["normalized1"] == "apple"
+    r = df.select(results.match_result("a", F.array("b"), "b", F.lit(0.95), 0.9).alias("r"), results.no_match("a", F.array("b")).alias("n"))
+    got = r.select(*[results.is_level("r", x).alias(x) for x in ("perfect", "high", "medium", "low")], F.col("n.is_match").alias("m"), results.is_level("n", "low").alias("nl")).first()
+    assert got.asDict() == {"perfect": False, "high": True, "medium": False, "low": False, "m": False, "nl": False}
+
+
+def test_numbers_masks_and_own_generators(spark):
+    g = generate.Generator("id", "es_ES", 4)
+    row = spark.range(50).select(g.random_number(digits=4).alias("i"), g.random_number("float", low=1, high=9).alias("f"), g.random_number(mask="##-??").alias("m"), g.random_number(currency=True).alias("c"), g.date(mask="DD.MM.YYYY").alias("d"), g.state().alias("s"), g.city().alias("t")).collect()
+    assert all(1000 <= int(r["i"]) <= 9999 and "," in r["f"] and re.fullmatch(r"\d\d-[A-Z]{2}", r["m"]) and r["c"].endswith("€") and re.fullmatch(r"\d\d\.\d\d\.\d{4}", r["d"]) for r in row)
+    assert not {r["s"] for r in row} & {r["t"] for r in row}
+    g.register_custom("pet", ["cat", "dog"])
+    assert g.list_custom() == ["pet"] and {r[0] for r in spark.range(20).select(g.run_custom("pet")).collect()} == {"cat", "dog"}
+    assert g.unregister_custom("pet") and not g.list_custom() and "NIE" in g.available_documents()
+    with pytest.raises(KeyError):
+        g.run_custom("pet")
+
+
+def test_nested_records(spark):
+    schema = "id long, person struct<email:string,notes:array<string>,home:struct<city:string,rooms:int>>, phones map<string,string>, email array<string>, memo string"
+    df = spark.createDataFrame([(1, ("a@b.org", ["x"], ("Lugo", 3)), {"phone": "600"}, ["c@d.org", None], "write to e@f.org"), (2, None, None, None, None)], schema)
+    a = privacy.Anonymizer("es_ES", "redact")
+    one, two = a.anonymize_records(df).orderBy("id").collect()
+    assert one["person"]["email"] == "[EMAIL]" and one["person"]["home"].asDict() == {"city": "[LOCATION]", "rooms": 3} and one["person"]["notes"] == ["x"]
+    assert one["email"] == ["[EMAIL]", None] and one["memo"] == "write to e@f.org" and two["person"] is None and two["email"] is None
+    assert a.anonymize_records(df, free_text=True).orderBy("id").first()["memo"] == "write to [EMAIL]"
+
+
+def test_command_line_of_pairs_and_tables(spark, tmp_path, capsys):
+    from quillframe import cli
+
+    (tmp_path / "pairs.txt").write_text("Ana,Anna\nred ring,red rings\n")
+    (tmp_path / "names.txt").write_text("apple\naple\nbanana\n")
+    (tmp_path / "more.txt").write_text("apples\nbananas\n")
+    (tmp_path / "r.json").write_text('[{"email": "a@b.org", "more": {"name": "Ana"}}]')
+    p = {k: str(tmp_path / f"{k}.txt") for k in ("pairs", "names", "more")}
+    for command in cli.PAIR_COMMANDS:
+        assert cli.run([command, p["pairs"], "--show", "json"], spark) == 0
+    for args in (["find-match", p["names"], "--candidates", p["more"], "--threshold", "0.8"], ["find-matches", p["names"], "--candidates", p["more"], "--threshold", "0.5"], ["phonetic-dups", p["names"]], ["batch", p["names"], "--operation", "soundex"], ["extract", p["names"], "--kind", "all"], ["anonymize-dict", str(tmp_path / "r.json")]):
+        assert cli.run([*args, "--show", "summary"], spark) == 0
+    for command in (*cli.MADE_COMMANDS, *cli.LISTS):
+        assert cli.run([command, "--count", "2", "--show", "quiet"], spark) == 0
+    assert cli.run(["find-match", p["names"]], spark) == 2
+    capsys.readouterr()
+    assert cli.run(["find-match", p["names"], "--candidates", p["more"], "--threshold", "0.8", "--show", "json"], spark) == 0
+    assert '"target":"banana"' in capsys.readouterr().out
