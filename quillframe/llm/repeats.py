@@ -150,7 +150,7 @@ def candidates(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tup
     each = rows.join(often, "h").groupBy("k1", "k2").agg(F.expr("collect_set(if(is_hot, null, h))").alias("h"), F.expr("collect_set(if(is_hot, h, null))").alias("hot"))
     each = frames.written(each)
     places = each.agg(F.coalesce(F.sum(F.size("h")), F.lit(0)), F.coalesce(F.sum(F.size("hot")), F.lit(0))).first()
-    return src.join(each, ["k1", "k2"]).select("id", "k1", "k2", "text", "h", "hot"), places[0], places[1]
+    return src.join(each.hint("merge"), ["k1", "k2"]).select("id", "k1", "k2", "text", "h", "hot"), places[0], places[1]
 
 
 class Once:

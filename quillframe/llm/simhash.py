@@ -248,7 +248,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """df with one row of each group of near duplicates, all columns as they were."""
     marks = frames.written(duplicates(df, id_col, text_col, **options).select("k1", "k2", F.expr(_GOES).alias("goes"), "repeated"))
     held = df.select(*frames.row_key(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-    joined = held.join(marks, ["k1", "k2"], "left").where("not coalesce(goes, false)")
+    joined = held.join(marks.hint("merge"), ["k1", "k2"], "left").where("not coalesce(goes, false)")
     left = joined.where("not coalesce(repeated, false)").select("row")
     if not marks.where("repeated").isEmpty():
         left = left.union(joined.where("repeated").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row"))

@@ -336,7 +336,7 @@ def _candidates(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tu
     chosen = heads.join(often, "h").select("head", "h", (F.col("same") < F.col("n")).alias("starts"))
     found = rows.where("e > 0").select("k1", "head", "forced", "s", "e").join(chosen, "head").where("forced or starts")
     each = frames.written(found.groupBy("k1").agg(F.collect_set(F.struct("h", "s", "e")).alias("places")))
-    return src.join(each, "k1").select("id", "k1", "k2", "text", "places"), each.agg(F.sum(F.size("places"))).first()[0] or 0
+    return src.join(each.hint("merge"), "k1").select("id", "k1", "k2", "text", "places"), each.agg(F.sum(F.size("places"))).first()[0] or 0
 
 
 def _places(w: Words, lists):

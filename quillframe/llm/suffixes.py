@@ -386,7 +386,7 @@ def drop_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str
     a, b, c = frames.unused(df, "_k1", "_k2", "_cuts")
     each = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias(c)).select(F.col("k1").alias(a), F.col("k2").alias(b), c)
     keyed = df.withColumns(dict(zip((a, b), frames.row_key(id_col, text_col))))
-    joined = keyed.join(each, [a, b], "left").drop(a, b)
+    joined = keyed.join(each.hint("merge"), [a, b], "left").drop(a, b)
     cols = df.columns
     chars = next((x for x in cols if x.lower() == chars_col.lower()), None)
 
