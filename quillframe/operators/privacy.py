@@ -296,14 +296,60 @@ def closeness(df: DataFrame, quasi: list[str], sensitive: str) -> DataFrame:
         joined = joined.join(size, _same(joined, size, quasi)).select(*[joined[q] for q in quasi], "_c", "_all", "size")
         mine, whole = F.col("_c") / F.col("size"), F.col("_all") / F.lit(n)
         return joined.groupBy(*quasi).agg(((F.sum(F.abs(mine - whole)) + 1 - F.sum(whole)) / 2).alias("t"))
-    ranked = total.withColumns({"_r": F.row_number().over(Window.orderBy("_v")), "_cum": F.sum("_all").over(Window.orderBy("_v")) / F.lit(n)})
-    m = ranked.count()
+    ranked = _ranked(total, n)
+    ends = ranked.agg(F.count("*").alias("m"), F.max("_g").alias("g")).first()
+    m = ends["m"]
     if m < 2:
         return size.select(*quasi, F.lit(0.0).alias("t"))
-    grid = size.crossJoin(ranked)
-    full = grid.join(per.withColumnRenamed("_v", "_w"), [*_same(grid, per, quasi), F.col("_v").eqNullSafe(F.col("_w"))], "left").select(*[grid[q] for q in quasi], "size", "_r", "_cum", F.coalesce("_c", F.lit(0)).alias("_c"))
-    own = full.withColumn("_own", F.sum("_c").over(Window.partitionBy(*quasi).orderBy("_r")) / F.col("size"))
-    return own.groupBy(*quasi).agg((F.sum(F.abs(F.col("_own") - F.col("_cum"))) / (m - 1)).alias("t"))
+    points = per.join(ranked, per["_v"].eqNullSafe(ranked["_v"])).drop(ranked["_v"])
+    points = points.join(size, _same(points, size, quasi)).select(*[points[q].alias(f"_q{i}") for i, q in enumerate(quasi)], "_c", "_r", "_f", "_g", "size")
+    # between two of a class's values its own sum k is constant, and the table's sum f rises past k at
+    # one place: the gap's |k - f| add up to differences of the table's running sums g
+    w = Window.partitionBy(*[f"_q{i}" for i in range(len(quasi))]).orderBy("_r")
+    gaps = points.select(
+        *[f"_q{i}" for i in range(len(quasi))], (F.sum("_c").over(w) / F.col("size")).alias("k"), F.col("_r").alias("lo"), (F.col("_g") - F.col("_f")).alias("g_before"),
+        (F.coalesce(F.lead("_r").over(w), F.lit(m + 1)) - 1).alias("hi"), F.coalesce(F.lead(F.col("_g") - F.col("_f")).over(w), F.lit(ends["g"])).alias("g_hi"), F.lag("_r").over(w).isNull().alias("is_first"),
+    )
+    g = _below(gaps, ranked)
+    up = F.when(F.col("r") < F.col("lo"), F.struct((F.col("lo") - 1).alias("r"), F.col("g_before").alias("g"))).when(F.col("r") > F.col("hi"), F.struct(F.col("hi").alias("r"), F.col("g_hi").alias("g"))).otherwise(F.struct("r", "g"))
+    g = g.withColumn("up", up)
+    area = F.expr("k * (up.r - lo + 1) - (up.g - g_before) + (g_hi - up.g) - k * (hi - up.r) + if(is_first, g_before, 0.0)")
+    out = g.groupBy(*[f"_q{i}" for i in range(len(quasi))]).agg((F.sum(area) / (m - 1)).alias("t"))
+    return out.select(*[F.col(f"_q{i}").alias(q) for i, q in enumerate(quasi)], "t")
+
+
+#: Ranges of values, and of shares, over which running sums are taken piece by piece.
+_RANGES, _SHARES = 256, 1 << 12
+
+
+def _ranked(total: DataFrame, n: int) -> DataFrame:
+    """(_v, _r, _f, _g) of a table's different values (_v, _all): rank, share of rows up to the value,
+    and the running sum of these shares; NULL is first. Each range of values is a window of its own,
+    only the ranges' totals are one table."""
+    cuts = sorted(set(total.where("_v is not null").select(F.col("_v").cast("double").alias("v")).approxQuantile("v", [k / _RANGES for k in range(1, _RANGES)], 0.001)))
+    at = F.when(F.col("_v").isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("_v").cast("double"))) if cuts else F.lit(0))
+
+    def summed(df: DataFrame, what: str, out: str) -> DataFrame:
+        inside = Window.partitionBy("_at").orderBy("_v")
+        before = df.groupBy("_at").agg(F.sum(what).alias("_s")).select("_at", F.coalesce(F.sum("_s").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+        return df.withColumn(out, F.sum(what).over(inside)).join(F.broadcast(before), "_at").withColumn(out, F.col(out) + F.col("_off")).drop("_off")
+
+    placed = summed(summed(total.withColumns({"_at": at, "_one": F.lit(1)}), "_one", "_r"), "_all", "_f")
+    return summed(placed.withColumn("_f", F.col("_f") / F.lit(n)), "_f", "_g").select("_v", "_r", "_f", "_g")
+
+
+def _below(gaps: DataFrame, ranked: DataFrame) -> DataFrame:
+    """gaps with (r, g) of the last value whose share _f is below their k; 0 if there is none."""
+    share = lambda c: F.floor(F.col(c) * _SHARES).cast("int")
+    marks = ranked.select(share("_f").alias("_at"), F.col("_f").alias("_x"), F.lit(1).alias("_kind"), F.struct(F.col("_r").alias("r"), F.col("_g").alias("g")).alias("_last"))
+    asked = gaps.select(share("k").alias("_at"), F.col("k").alias("_x"), F.lit(0).alias("_kind"), F.struct(*gaps.columns).alias("_gap"))
+    both = marks.withColumn("_gap", F.lit(None).cast(asked.schema["_gap"].dataType)).unionByName(asked.withColumn("_last", F.lit(None).cast(marks.schema["_last"].dataType)))
+    inside = both.withColumn("_last", F.last("_last", True).over(Window.partitionBy("_at").orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("_kind = 0")
+    tops = marks.groupBy("_at").agg(F.max("_last").alias("_top"))
+    shares = marks.sparkSession.range(_SHARES + 2).select(F.col("id").cast("int").alias("_at")).join(tops, "_at", "left")
+    before = shares.select("_at", F.last("_top", True).over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    found = inside.join(F.broadcast(before), "_at").withColumn("_last", F.coalesce("_last", "_before"))
+    return found.select("_gap.*", F.coalesce("_last.r", F.lit(0)).alias("r"), F.coalesce("_last.g", F.lit(0.0)).alias("g"))
 
 
 def measure_privacy(df: DataFrame, quasi: list[str], sensitive: list[str] = ()) -> DataFrame:
