@@ -8,9 +8,10 @@ one text's places are united, so that no word of it is there twice. The shard's
 * the Burrows-Wheeler transform of the words in a wavelet matrix of packed bits with block counts,
 * the lengths of the prefixes that neighbouring suffixes share.
 
-Its sequences stream through it by backward search, in pieces that overlap: matching statistics say
-from where passages of at least `min_words` words occur twice. How far such a passage goes beyond its
-piece is read off the shared prefixes.
+Its sequences stream through it by backward search, many pieces of them at a time: the matching
+statistics say how many words from each place occur twice. A piece starts from what the suffix at its
+end shares with its neighbours, so no passage ends at a piece's end. (Other texts are streamed by
+matches().)
 
 A passage is found whole, whatever its length and the number of shards: windows of min_words, twice,
 four times as many words and so on have anchors of their own, and where a longest match of `size` to
@@ -42,7 +43,7 @@ SEND_BYTES = 16 << 20
 #: A place is several hundred words on average: it counts as so many of repeats.PART_PLACES.
 PLACE_WEIGHT = 8
 #: Words of a sequence that stream in one piece.
-PIECE = 100
+PIECE = 64
 
 
 class Bits:
@@ -165,19 +166,47 @@ class Index:
     def passages(self, sequences: int, least: int):
         """(sequence, position, length) of the longest repeated passages of the first `sequences` indexed
         ones, from positions that can't be continued to the left: whole, however long they are."""
-        starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)[:sequences]
-        lengths = self.ends[:sequences] - starts
-        seq, pos, size = self.matches(self.text[self.is_word], starts, lengths, least)
-        # every place from where at least `least` words occur twice
-        found = np.zeros(self.n + 1, np.int32)
-        np.add.at(found, starts[seq] + pos + seq, 1)
-        np.add.at(found, starts[seq] + pos + seq + size - least + 1, -1)
-        at = np.flatnonzero(np.cumsum(found))
-        seq = np.searchsorted(starts + np.arange(sequences), at, "right") - 1
-        pos = at - starts[seq] - seq
-        size = self.longest(at)
-        begins = (pos == 0) | (self.longest(np.maximum(at - 1, 0)) != size + 1)
-        return seq[begins], pos[begins], size[begins]
+        ms = self.statistics(sequences)
+        starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)[:sequences] + np.arange(sequences)
+        at = np.flatnonzero(ms >= least)
+        seq = np.searchsorted(starts, at, "right") - 1
+        begins = (at == starts[seq]) | (ms[at - 1] != ms[at] + 1)
+        at, seq = at[begins], seq[begins]
+        return seq, at - starts[seq], ms[at]
+
+    def statistics(self, sequences: int) -> np.ndarray:
+        """Matching statistics of the first `sequences` indexed ones: for each place in the text how many
+        words from there occur elsewhere too. All stream by backward search in pieces of PIECE words; a
+        piece starts from what its end's suffix shares with its neighbours."""
+        base = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)[:sequences] + np.arange(sequences)
+        lengths = np.diff(self.ends[:sequences], prepend=0)
+        pieces = np.maximum(1, -(-lengths // PIECE))
+        seq = np.repeat(np.arange(sequences), pieces)
+        first = K.ranges(np.zeros(len(pieces), np.int64), pieces) * PIECE
+        stop, at = base[seq] + first, base[seq] + np.minimum(first + PIECE, lengths[seq])
+        left, right = self.smaller
+        r = self.rank[at]  # of a sequence's end: a suffix that shares nothing
+        r = np.where(self.lcp[r] >= self.lcp[r + 1], r, r + 1)
+        q = self.lcp[r].astype(np.int64)
+        lo, hi = np.where(q > 0, left[r], 0), np.where(q > 0, right[r], self.n)
+        ms = np.zeros(self.n, np.int64)
+        live = np.flatnonzero(at > stop)
+        while len(live):
+            a, b = self.search(self.text[at[live] - 1], lo[live], hi[live])
+            ok = b - a >= 2
+            own = live[ok]
+            lo[own], hi[own] = a[ok], b[ok]
+            q[own] += 1
+            at[own] -= 1
+            ms[at[own]] = q[own]
+            fail = live[~ok]
+            root = q[fail] == 0
+            at[fail[root]] -= 1
+            fail = fail[~root]
+            if len(fail):
+                lo[fail], hi[fail], q[fail] = self.parent(lo[fail], hi[fail])
+            live = live[at[live] > stop[live]]
+        return ms
 
     def longest(self, at: np.ndarray) -> np.ndarray:
         """How many words from a place in the text occur elsewhere too."""
@@ -208,7 +237,7 @@ class Index:
         Long sequences stream in pieces that overlap by least - 1 words, so each window of `least`
         words is in one piece; a passage is then reported in parts that overlap.
         """
-        step = max(PIECE, 2 * least) - least + 1
+        step = 4 * max(PIECE, least) - least + 1
         pieces = np.maximum(1, -((least - 1 - lengths) // step))
         seq = np.repeat(np.arange(len(lengths)), pieces)
         first = K.ranges(np.zeros(len(pieces), np.int64), pieces) * step
@@ -415,63 +444,68 @@ def _spans(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFra
             yield flush()
 
     def search(key, table):
-        import pyarrow as pa
-
-        metas, lengths, parts, direct = [], [], [], []
-        for blob in table.column("places").to_pylist():
-            meta, size, data, runs = unpack(blob, np.int64, np.int64, None, np.int64)
-            metas.append(meta.reshape(-1, 5))
-            lengths.append(size)
-            parts.append(data)
-            direct.append(runs.reshape(-1, 6))
-        meta, size = np.concatenate(metas), np.concatenate(lengths)
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        del parts
-        end = np.cumsum(size)
-        whole = K.hash_spans(data, end - size, end).view(np.int64)
-        # equal rows of the table give one place
-        order = np.lexsort((whole, meta[:, 4], meta[:, 3], meta[:, 2]))
-        rows = np.column_stack([meta, whole])[order]
-        keep = np.ones(len(order), bool)
-        keep[1:] = (rows[1:] != rows[:-1]).any(1)
-        own = order[keep]
-        _, first, which, times = np.unique(whole[own], return_index=True, return_inverse=True, return_counts=True)
-        kind = own[first]
-        order = np.argsort(kind)
-        kind, times = kind[order], times[order]
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        which = back[which]
-        data = data[K.ranges(end[kind] - size[kind], size[kind])]
-        stop = np.flatnonzero(data == 0x20)
-        start = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
-        hashes = K.hash_spans(data, start, stop)
-        names, words = np.unique(hashes, return_inverse=True)
-        words = words + 1
-        ends = np.searchsorted(stop, np.cumsum(size[kind]))
-        lens = np.diff(ends, prepend=0)
-        twice = np.flatnonzero(times > 1)
-        again = words[K.ranges(ends[twice] - lens[twice], lens[twice])]
-        index = Index(np.concatenate([words, again]), np.concatenate([ends, len(words) + np.cumsum(lens[twice])]), len(names) + 1)
-        seq, pos, longest = index.passages(len(lens), min_words)
-        # to every text that has the place
-        by = np.argsort(which, kind="stable")
-        at = np.searchsorted(which[by], np.arange(len(kind) + 1))
-        n = at[seq + 1] - at[seq]
-        rows = own[by[K.ranges(at[seq], n)]]
-        s = meta[rows, 4] + np.repeat(pos, n)
-        longest = np.repeat(longest, n)
-        found = np.column_stack([meta[rows, :4], s, s + longest, longest])
-        # a run of n equal words repeats n - 1 of them
-        direct = np.unique(np.concatenate(direct), axis=0)
-        found = np.concatenate([found, np.column_stack([direct, direct[:, 5] - direct[:, 4] - 1])])
-        whole = {"k1": found[:, 2], "k2": found[:, 3], "s": found[:, 4].astype(np.int32), "e": found[:, 5].astype(np.int32), "longest": found[:, 6].astype(np.int32)}
-        return pa.table({"id": pa.array(found[:, 1], mask=found[:, 0] != 0)} | {k: pa.array(v) for k, v in whole.items()})
+        return search_shard(table.column("places").to_pylist(), min_words)
 
     blobs = found.mapInArrow(send, "shard int, places binary")
     return grouped(blobs, "shard", places * PLACE_WEIGHT, least_shards).applyInArrow(search, "id long, k1 long, k2 long, s int, e int, longest int")
 
 
+def search_shard(blobs: list[bytes], min_words: int):
+    """The passages of a shard's places: (id, k1, k2, s, e, longest) as an Arrow table."""
+    import pyarrow as pa
+
+    metas, lengths, parts, direct = [], [], [], []
+    for blob in blobs:
+        meta, size, data, runs = unpack(blob, np.int64, np.int64, None, np.int64)
+        metas.append(meta.reshape(-1, 5))
+        lengths.append(size)
+        parts.append(data)
+        direct.append(runs.reshape(-1, 6))
+    meta, size = np.concatenate(metas), np.concatenate(lengths)
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    del parts
+    end = np.cumsum(size)
+    whole = K.hash_spans(data, end - size, end).view(np.int64)
+    # equal rows of the table give one place
+    order = np.lexsort((whole, meta[:, 4], meta[:, 3], meta[:, 2]))
+    rows = np.column_stack([meta, whole])[order]
+    keep = np.ones(len(order), bool)
+    keep[1:] = (rows[1:] != rows[:-1]).any(1)
+    own = order[keep]
+    _, first, which, times = np.unique(whole[own], return_index=True, return_inverse=True, return_counts=True)
+    kind = own[first]
+    order = np.argsort(kind)
+    kind, times = kind[order], times[order]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    which = back[which]
+    data = data[K.ranges(end[kind] - size[kind], size[kind])]
+    stop = np.flatnonzero(data == 0x20)
+    start = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
+    hashes = K.hash_spans(data, start, stop)
+    names, words = np.unique(hashes, return_inverse=True)
+    words = words + 1
+    ends = np.searchsorted(stop, np.cumsum(size[kind]))
+    lens = np.diff(ends, prepend=0)
+    twice = np.flatnonzero(times > 1)
+    again = words[K.ranges(ends[twice] - lens[twice], lens[twice])]
+    index = Index(np.concatenate([words, again]), np.concatenate([ends, len(words) + np.cumsum(lens[twice])]), len(names) + 1)
+    seq, pos, longest = index.passages(len(lens), min_words)
+    # to every text that has the place
+    by = np.argsort(which, kind="stable")
+    at = np.searchsorted(which[by], np.arange(len(kind) + 1))
+    n = at[seq + 1] - at[seq]
+    rows = own[by[K.ranges(at[seq], n)]]
+    s = meta[rows, 4] + np.repeat(pos, n)
+    longest = np.repeat(longest, n)
+    found = np.column_stack([meta[rows, :4], s, s + longest, longest])
+    # a run of n equal words repeats n - 1 of them
+    direct = np.unique(np.concatenate(direct), axis=0)
+    found = np.concatenate([found, np.column_stack([direct, direct[:, 5] - direct[:, 4] - 1])])
+    whole = {"k1": found[:, 2], "k2": found[:, 3], "s": found[:, 4].astype(np.int32), "e": found[:, 5].astype(np.int32), "longest": found[:, 6].astype(np.int32)}
+    return pa.table({"id": pa.array(found[:, 1], mask=found[:, 0] != 0)} | {k: pa.array(v) for k, v in whole.items()})
+
+
 def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, longest_match): intervals of words that are covered by passages
     of at least min_words words which occur twice or more; longest_match is the longest of these."""

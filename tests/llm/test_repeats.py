@@ -111,7 +111,7 @@ def test_merge():
         assert shared == [suffixes.common(a, b, 0) for a, b in zip([b""] + out, out)]
 
 
-def test_index():
+def test_index(monkeypatch):
     rng = np.random.default_rng(0)
     for _ in range(100):
         seqs = [rng.integers(1, 4, rng.integers(1, 30)) for _ in range(rng.integers(1, 6))]
@@ -132,6 +132,9 @@ def test_index():
                     want[k].update(range(j, j + n))
         assert got == want
         index = substring.Index(words, ends, int(words.max()) + 1)
+        monkeypatch.setattr(substring, "PIECE", int(rng.integers(1, 20)))
+        at = np.flatnonzero(index.is_word)
+        assert (index.statistics(len(seqs))[at] == index.longest(at)).all()
         for a, b, c in zip(*(x.tolist() for x in index.passages(len(lens), n))):
             at = lambda k, j, size: seqs[k][j : j + size].tolist()
             others = [(k, j) for k in range(len(seqs)) for j in range(len(seqs[k])) if (k, j) != (a, b)]
