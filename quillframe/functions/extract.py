@@ -46,6 +46,11 @@ def extract(c: Column | str, kind: str, pattern: str | None = None) -> Column:
         import re
 
         return rx.find_all(c, pattern, 1 if re.compile(pattern).groups else 0)
+    if kind == "passwords":
+        # looks ahead to the end of the line from each word: only where all that it looks for is there
+        c = rx.col(c)
+        may = F.rlike(c, F.lit("[!@#$%^&*]")) & F.rlike(c, F.lit(r"\p{Nd}"))
+        return F.when(may, rx.find_all(c, PATTERNS[kind]))
     return rx.find_all(c, PATTERNS[kind])
 
 

@@ -9,6 +9,7 @@ pairs are then verified; no pair is compared without sharing one.
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 
@@ -472,6 +473,23 @@ def compare_lists(targets: DataFrame, candidates: DataFrame, target_id: str, tar
     return ranked.select(F.col("id1").alias("target_id"), F.col("id2").alias("candidate_id"), "score", "rank")
 
 
+def _shared_characters(code: Column, threshold: float) -> Column:
+    """Keys by which codes of Jaro-Winkler >= threshold meet: a score of t means a Jaro of at least
+    (t - 0.4) / 0.6, so texts of n and m characters have at least (3 j - 1) n m / (n + m) of them in
+    common: they share a sorted choice of as many (of three at most, that is enough)."""
+    j = max(0.0, (threshold - 0.4) / 0.6)
+    least = lambda n, m: min(3, max(1, math.ceil((3 * j - 1) * n * m / (n + m) - 1e-9)))
+    chars = F.array_sort(F.split(code, ""))
+    rest = lambda i: F.slice(chars, i + 2, F.greatest(F.size(chars) - i - 1, F.lit(0)))
+    pairs = F.flatten(F.transform(chars, lambda x, i: F.transform(rest(i), lambda y: F.concat(x, y))))
+    triples = F.flatten(F.flatten(F.transform(chars, lambda x, i: F.transform(rest(i), lambda y, k: F.transform(rest(i + k + 1), lambda z: F.concat(x, y, z))))))
+    out = F.array().cast("array<string>")
+    for k, keys in ((1, chars), (2, pairs), (3, triples)):
+        lengths = [n for n in range(1, 7) if any(least(n, m) == k for m in range(max(1, n - 2), min(6, n + 2) + 1))]
+        out = F.concat(out, F.when(F.length(code).isin(lengths), keys).otherwise(F.array().cast("array<string>"))) if lengths else out
+    return F.array_distinct(out)
+
+
 def find_phonetic_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, use_mra: bool = True) -> DataFrame:
     """(id, group): names that sound alike, joined by chains; groups of one are left out. With MRA,
     codes of at least the threshold's Jaro-Winkler are alike; else equal metaphones."""
@@ -481,10 +499,9 @@ def find_phonetic_duplicates(df: DataFrame, id_col: str, text_col: str, threshol
         return coded.withColumn("group", F.min("id").over(Window.partitionBy("code"))).withColumn("n", F.count("*").over(Window.partitionBy("code"))).where("n > 1").select("id", "group")
     codes = items.select("id", phonetic.mra_code("t").alias("code"))
     kinds = codes.groupBy("code").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    # Jaro-Winkler above 0.5 needs a character in common: codes meet by their characters
-    chars = kinds.select("code", "rep", F.explode(F.array_distinct(F.split("code", ""))).alias("ch"))
-    x, y = (chars.select(F.col("code").alias(f"c{k}"), F.col("rep").alias(f"r{k}"), "ch") for k in (1, 2))
-    near = x.join(y, "ch").where("c1 < c2 and abs(length(c1) - length(c2)) <= 2").select("c1", "r1", "c2", "r2").distinct()
+    keyed = kinds.select("code", "rep", F.explode(_shared_characters(F.col("code"), threshold)).alias("key"))
+    x, y = (keyed.select(F.col("code").alias(f"c{k}"), F.col("rep").alias(f"r{k}"), "key") for k in (1, 2))
+    near = x.join(y, "key").where("c1 < c2 and abs(length(c1) - length(c2)) <= 2").select("c1", "r1", "c2", "r2").distinct()
     edges = near.where(S.jaro_winkler_score("c1", "c2") >= threshold).select(F.col("r1").alias("a"), F.col("r2").alias("b"))
     groups = connected_components(edges)
     placed = kinds.join(groups, kinds["rep"] == groups["node"], "left").select("code", F.coalesce("group", "rep").alias("root"))
