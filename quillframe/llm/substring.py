@@ -46,6 +46,10 @@ PLACE_WEIGHT = 8
 PIECE = 64
 
 
+#: The bits below each of a block.
+BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class Bits:
     """A bit vector with rank: 64-bit blocks and the ones before each."""
 
@@ -54,14 +58,13 @@ class Bits:
         padded = np.zeros((n // 64 + 1) * 64, np.uint8)
         padded[:n] = bits
         self.blocks = np.packbits(padded, bitorder="little").view(np.uint64)
-        self.before = np.zeros(len(self.blocks), np.uint32)
-        np.cumsum(np.bitwise_count(self.blocks[:-1]), out=self.before[1:], dtype=np.uint32)
+        self.before = np.zeros(len(self.blocks), np.int64)
+        np.cumsum(np.bitwise_count(self.blocks[:-1]), out=self.before[1:])
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before position i."""
         k = i >> 6
-        inside = self.blocks[k] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
-        return self.before[k].astype(np.int64) + np.bitwise_count(inside)
+        return self.before.take(k) + np.bitwise_count(self.blocks.take(k) & BELOW.take(i & 63))
 
 
 class Wavelet:
@@ -81,13 +84,11 @@ class Wavelet:
     def _walk(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for level, (bits, zeros) in zip(reversed(range(self.depth)), self.levels):
             one = bits.rank(i)
-            set_ = (symbol >> level) & 1
-            # zeros + one where the bit is set, else i - one
-            i = i - one + set_ * (zeros + 2 * one - i)
+            i = np.where((symbol >> level & 1).astype(bool), zeros + one, i - one)
         return i
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """How often the symbol occurs before position i."""
+        """How often the symbol occurs before position i; i may have several rows of positions."""
         return self._walk(symbol, i) - self.first[symbol]
 
 
@@ -102,66 +103,100 @@ class Index:
         is_word[separators] = False
         text[is_word] = words
         longest = int(np.diff(sequence_ends, prepend=0).max()) + 1 if s else 1
-        # prefix doubling; every separator is a symbol of its own. A rank is the first place of those
-        # that are still equal, and only these are sorted on.
+        # prefix doubling, from as many words as a sort key holds; every separator is a symbol of its own.
+        # A rank is the first place of those that are still equal, and only these are sorted on: they
+        # share words only, so what follows them is inside.
         value = text + s - 1
         value[separators] = np.arange(s)
-        order = np.argsort(value)
-        rank = np.empty(n, np.int64)
-        rank[order] = _group_starts(value[order])
-        levels, k = [], 1
-        live = np.flatnonzero(_shared(rank, n))
+        bits = (count + s).bit_length()
+        head = max(1, 63 // bits)
+        key = np.zeros(n, np.int64)
+        for k in range(head):
+            key <<= bits
+            key[: max(0, n - k)] |= value[k:]
+        live = np.argsort(key)
+        key, old, rank = key[live], 0, np.zeros(n, np.int32)
+        levels, k = [], head
         while True:
-            levels.append(rank.astype(np.int32))
+            rank = rank.copy()
+            rank[live] += (_group_starts(key) - old).astype(np.int32)
+            levels.append(rank)
+            live = live[_shared(key)]
             if not len(live) or k > longest:
                 break
-            after = np.zeros(len(live), np.int64)
-            inside = live + k < n
-            after[inside] = rank[live[inside] + k] + 1
-            key = rank[live] * (n + 1) + after
+            key = (rank[live].astype(np.int64) << 32) + rank[live + k]
             by = np.argsort(key)
             live, key = live[by], key[by]
-            old = _group_starts(key // (n + 1))
-            new = _group_starts(key)
-            rank = rank.copy()
-            rank[live] += new - old
-            live = live[_shared(rank[live], n)]
+            old = _group_starts(key >> 32)
             k *= 2
         suffixes = np.empty(n, np.int64)
         suffixes[rank] = np.arange(n)
-        a, b = suffixes[:-1].copy(), suffixes[1:].copy()
-        kind = np.uint8 if longest < 1 << 7 else np.uint16 if longest < 1 << 15 else np.int32
-        lcp = np.zeros(n + 1, kind)  # lcp[i]: shared by suffixes i - 1 and i
-        pair = np.arange(max(0, n - 1))
+        # what neighbouring suffixes share is compared where the words before them differ; from a place
+        # to the next one in the text it is one word less where they are the same
+        last = text[suffixes - 1]
+        differ = np.ones(n, bool)
+        differ[1:] = (last[1:] != last[:-1]) | (last[1:] == 0)
+        pair = np.flatnonzero(differ)
+        pair = pair[pair > 0]
+        a, b = suffixes[pair - 1], suffixes[pair]
+        reach = np.zeros(n, np.int64)
+        reach[suffixes[:1]] = suffixes[:1]
         for level in reversed(range(len(levels))):
             r = levels[level]
-            same = (a < n) & (b < n)
-            same[same] = r[a[same]] == r[b[same]]
-            a[same] += 1 << level
-            b[same] += 1 << level
-            lcp[pair[same] + 1] += kind(1 << level) if 1 << level <= np.iinfo(kind).max else 0
+            same = np.flatnonzero(r[a] == r[b])
+            a[same] += head << level
+            b[same] += head << level
+        for _ in range(head - 1):
+            same = np.flatnonzero(value[a] == value[b])
+            a[same] += 1
+            b[same] += 1
+        reach[suffixes[pair]] = b
+        kind = np.uint8 if longest < 1 << 7 else np.uint16 if longest < 1 << 15 else np.int32
+        lcp = np.zeros(n + 1, kind)  # lcp[i]: shared by suffixes i - 1 and i
+        lcp[:n] = (np.maximum.accumulate(reach) - np.arange(n))[suffixes]
         self.rank = rank
         self.n, self.lcp, self.suffixes, self.count = n, lcp, suffixes, count
-        self.text, self.is_word, self.ends = text, is_word, sequence_ends
+        self.text, self.is_word, self.ends, self.last = text, is_word, sequence_ends, last
         self.starts = np.concatenate([[0, s], s + np.cumsum(np.bincount(words, minlength=count)[1:count])])[: count + 1]
 
     @cached_property
-    def smaller(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each place the next ones before and after that share fewer words (the ends, if none)."""
-        n, values = self.n, self.lcp.tolist()
-        left, right, rising = [0] * (n + 1), [n] * (n + 1), []
-        for i, v in enumerate(values):
-            while rising and values[rising[-1]] > v:
-                right[rising.pop()] = i
-            if rising:
-                top = rising[-1]
-                left[i] = left[top] if values[top] == v else top
-            rising.append(i)
-        return np.array(left), np.array(right)
+    def least(self) -> list[np.ndarray]:
+        """The lcp, then the lesser of each two of them, of these and so on up to one."""
+        levels = [self.lcp]
+        while len(levels[-1]) > 1:
+            below = np.append(levels[-1], levels[-1][-1:]) if len(levels[-1]) & 1 else levels[-1]
+            levels.append(np.minimum(below[::2], below[1::2]))
+        return levels
+
+    def smaller(self, i: np.ndarray, side: int) -> np.ndarray:
+        """The next places before (side 0) or after (side 1) others, where some words are shared, that
+        share fewer."""
+        most, node, out = self.lcp[i], i, np.empty(len(i), np.int64)
+        wait, found = np.arange(len(i)), []
+        for values in self.least:
+            # up, until the sibling on that side has one
+            beside = node + 2 * side - 1
+            has = np.flatnonzero(((node & 1) != side) & (values.take(beside, mode="clip") < most[wait]))
+            found.append((wait[has], beside[has]))
+            go = np.ones(len(wait), bool)
+            go[has] = False
+            wait, node = wait[go], node[go] >> 1
+            if not len(wait):
+                break
+        own, node = found.pop()
+        while found:
+            # down, to the child nearest to the place
+            values = self.least[len(found) - 1]
+            node = 2 * node + 1 - side
+            node = np.where(values.take(node, mode="clip") < most[own], node, node + 2 * side - 1)
+            more, at = found.pop()
+            own, node = np.concatenate([own, more]), np.concatenate([node, at])
+        out[own] = node
+        return out
 
     @cached_property
     def transform(self) -> Wavelet:
-        return Wavelet(self.text[self.suffixes - 1], self.count)
+        return Wavelet(self.last, self.count)
 
     def passages(self, sequences: int, least: int):
         """(sequence, position, length) of the longest repeated passages of the first `sequences` indexed
@@ -176,36 +211,25 @@ class Index:
 
     def statistics(self, sequences: int) -> np.ndarray:
         """Matching statistics of the first `sequences` indexed ones: for each place in the text how many
-        words from there occur elsewhere too. All stream by backward search in pieces of PIECE words; a
-        piece starts from what its end's suffix shares with its neighbours."""
+        words from there occur elsewhere too. All stream by backward search in pieces of PIECE words, a
+        word of each piece at a time. Where a piece starts, and where a passage can't be continued, the
+        search goes on from what the place's suffix shares with its neighbours."""
         base = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)[:sequences] + np.arange(sequences)
         lengths = np.diff(self.ends[:sequences], prepend=0)
-        pieces = np.maximum(1, -(-lengths // PIECE))
-        seq = np.repeat(np.arange(sequences), pieces)
+        pieces = -(-lengths // PIECE)
         first = K.ranges(np.zeros(len(pieces), np.int64), pieces) * PIECE
-        stop, at = base[seq] + first, base[seq] + np.minimum(first + PIECE, lengths[seq])
-        left, right = self.smaller
-        r = self.rank[at]  # of a sequence's end: a suffix that shares nothing
-        r = np.where(self.lcp[r] >= self.lcp[r + 1], r, r + 1)
-        q = self.lcp[r].astype(np.int64)
-        lo, hi = np.where(q > 0, left[r], 0), np.where(q > 0, right[r], self.n)
+        size = np.minimum(PIECE, np.repeat(lengths, pieces) - first)
+        order = np.argsort(-size)
+        size, at = size[order], (np.repeat(base, pieces) + first + size)[order]
+        lo, hi, q = self.own(at)
         ms = np.zeros(self.n, np.int64)
-        live = np.flatnonzero(at > stop)
-        while len(live):
-            a, b = self.search(self.text[at[live] - 1], lo[live], hi[live])
-            ok = b - a >= 2
-            own = live[ok]
-            lo[own], hi[own] = a[ok], b[ok]
-            q[own] += 1
-            at[own] -= 1
-            ms[at[own]] = q[own]
-            fail = live[~ok]
-            root = q[fail] == 0
-            at[fail[root]] -= 1
-            fail = fail[~root]
-            if len(fail):
-                lo[fail], hi[fail], q[fail] = self.parent(lo[fail], hi[fail])
-            live = live[at[live] > stop[live]]
+        for m in np.searchsorted(-size, -np.arange(1, PIECE + 1), "right").tolist():
+            # the first m pieces have so many words
+            at, q = at[:m] - 1, q[:m] + 1
+            lo, hi = self.search(self.text[at], lo[:m], hi[:m])
+            fail = np.flatnonzero(hi - lo < 2)
+            lo[fail], hi[fail], q[fail] = self.own(at[fail])
+            ms[at] = q
         return ms
 
     def longest(self, at: np.ndarray) -> np.ndarray:
@@ -215,21 +239,27 @@ class Index:
 
     def search(self, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the passages that have one more word in front."""
-        both = self.transform.rank(np.concatenate([word, word]), np.concatenate([lo, hi]))
-        m = len(word)
-        return self.starts[word] + both[:m], self.starts[word] + both[m:]
+        lo, hi = self.starts[word] + self.transform.rank(word, np.stack([lo, hi]))
+        return lo, hi
 
     def parent(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The next wider intervals, and for how many words their suffixes agree."""
-        left, right = self.smaller
-        p, q = self.lcp[lo], self.lcp[hi]
-        lo = np.where(p >= q, left[lo], lo)
-        hi = np.where(q >= p, right[hi], hi)
-        most = np.maximum(p, q).astype(np.int64)
-        root = most == 0
-        lo[root], hi[root] = 0, self.n
+        return self.around(np.where(self.lcp[lo] >= self.lcp[hi], lo, hi))
+
+    def around(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The intervals of all suffixes that share as much as the ones at i and before do, and how much."""
+        most = self.lcp[i].astype(np.int64)
+        lo, hi = np.zeros(len(i), np.int64), np.full(len(i), self.n)
+        some = np.flatnonzero(most)
+        lo[some], hi[some] = self.smaller(i[some], 0), self.smaller(i[some], 1)
         return lo, hi, most
 
+    def own(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The intervals of the longest passages from places in the text that occur elsewhere too, and how
+        long they are: what their suffixes share with their neighbours."""
+        r = self.rank[at]
+        return self.around(r + (self.lcp[r] < self.lcp[r + 1]))
+
     def matches(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int):
         """(sequence, position, length) of the longest repeated passages from a position that can't
         be continued to the left, of at least `least` words.
@@ -278,9 +308,11 @@ def _group_starts(sorted_keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
-def _shared(ranks: np.ndarray, n: int) -> np.ndarray:
-    """Which ranks occur more than once."""
-    return np.bincount(ranks, minlength=n)[ranks] > 1
+def _shared(sorted_keys: np.ndarray) -> np.ndarray:
+    """Which of some sorted keys occur more than once."""
+    new = np.ones(len(sorted_keys) + 1, bool)
+    new[1:-1] = sorted_keys[1:] != sorted_keys[:-1]
+    return ~(new[:-1] & new[1:])
 
 
 def word_runs(hashes: np.ndarray, docs: np.ndarray, over: int) -> tuple[np.ndarray, np.ndarray]:

@@ -142,6 +142,42 @@ def test_index(monkeypatch):
             assert not any(at(k, j, c + 1) == at(a, b, c + 1) for k, j in others if j + c < len(seqs[k])) or b + c == len(seqs[a])
 
 
+def test_index_searches_each_word_once(monkeypatch):
+    """Matching statistics take a backward step for each word and no more, of all pieces together."""
+    rng = np.random.default_rng(2)
+    for n in (3, 60, 3000):
+        first = rng.integers(1, n + 1, 700)
+        seqs = [first, first[100:650], np.concatenate([first[300:360], rng.integers(1, n + 1, 90), first[340:500]]), np.repeat(first[:1], 150)]
+        words, ends = np.concatenate(seqs), np.cumsum([len(s) for s in seqs])
+        index, steps = substring.Index(words, ends, n + 1), []
+        search = index.search
+        monkeypatch.setattr(index, "search", lambda word, lo, hi, search=search, steps=steps: steps.append(len(word)) or search(word, lo, hi))
+        found = index.statistics(len(seqs))
+        assert sum(steps) == len(words)
+        assert sum(k > 0 for k in steps) <= substring.PIECE
+        at = np.flatnonzero(index.is_word)
+        assert (found[at] == index.longest(at)).all()
+
+
+@pytest.mark.parametrize("count", [0, 1 << 12, 1 << 22])
+def test_index_order(count):
+    """Order, shared lengths and next smaller ones, however many words a sort key holds."""
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        seqs = [rng.integers(1, 5, rng.choice([0, 1, 3, 20, 60])) for _ in range(4)]
+        seqs += [s[len(s) // 3 :] for s in seqs] + [np.repeat(1, rng.integers(1, 90))]
+        index = substring.Index(np.concatenate(seqs), np.cumsum([len(s) for s in seqs]), max(5, count))
+        separators = iter(range(-len(seqs), 0))
+        text = [next(separators) if x == 0 else x for x in index.text.tolist()]
+        order = sorted(range(len(text)), key=lambda k: text[k:])
+        assert index.suffixes.tolist() == order
+        lcp = [0, *(next(k for k in range(len(text)) if text[a + k] != text[b + k]) for a, b in zip(order, order[1:])), 0]
+        assert index.lcp.tolist() == lcp
+        at = np.flatnonzero(index.lcp)
+        for k, a, b in zip(at.tolist(), index.smaller(at, 0).tolist(), index.smaller(at, 1).tolist()):
+            assert a < k < b and lcp[a] < lcp[k] > lcp[b] and min(lcp[a + 1 : b]) == lcp[k]
+
+
 def longest_in(rows, n):
     """(text's id, start, end, longest match) of the repeated passages, by brute force."""
     texts = {d: t.split() for d, t in rows}
