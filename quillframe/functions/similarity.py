@@ -111,17 +111,23 @@ def jaccard_similarity(a: Column | str, b: Column | str, mode: str = "char") ->
 
 def bigrams(c: Column) -> Column:
     """Different pairs of neighbouring characters."""
-    chars = F.split(c, "")
-    pairs = F.zip_with(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, F.lit(2), F.size(chars)), lambda p, q: F.concat(p, q))
+    starts = lambda t: F.sequence(F.lit(1), F.length(t) - 1)
+    pairs = rx.let(c, lambda t: F.when(F.length(t) > 1, F.transform(starts(t), lambda i: F.substring(t, i, F.lit(2)))).when(t.isNotNull(), F.array().cast("array<string>")))
     return F.array_distinct(pairs)
 
 
 def sorensen_dice_coefficient(a: Column | str, b: Column | str) -> Column:
-    a, b = rx.col(a), rx.col(b)
-    x, y = bigrams(a), bigrams(b)
-    total = F.size(x) + F.size(y)
-    score = F.when(total > 0, 2.0 * F.size(F.array_intersect(x, y)) / total).otherwise(0.0)
-    return F.when(a.isNull() | b.isNull(), None).when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(score)
+    """Of the sets of bigrams; each text and each set is computed once."""
+
+    def of_sets(g: Column) -> Column:
+        total = F.size(g["x"]) + F.size(g["y"])
+        return F.when(total > 0, 2.0 * F.size(F.array_intersect(g["x"], g["y"])) / total).otherwise(0.0)
+
+    def of_texts(t: Column) -> Column:
+        score = rx.let(F.struct(bigrams(t["a"]).alias("x"), bigrams(t["b"]).alias("y")), of_sets)
+        return F.when(t["a"].isNull() | t["b"].isNull(), None).when((t["a"] == "") | (t["b"] == ""), 0.0).when(t["a"] == t["b"], 1.0).otherwise(score)
+
+    return rx.let(F.struct(rx.col(a).alias("a"), rx.col(b).alias("b")), of_texts)
 
 
 def hamming(a: Column | str, b: Column | str, mode: str = "null") -> Column:

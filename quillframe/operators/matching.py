@@ -139,16 +139,23 @@ def compare_tokens(a: Column | str, b: Column | str, keep_order: bool = True, re
 
 
 def compare_phrases(a: Column | str, b: Column | str, threshold: float = 0.8, config: MatcherConfig = DEFAULT) -> Column:
-    """Struct: Dice of bigrams, and sorted words in common and in one phrase only."""
+    """Struct: Dice of bigrams, and sorted words in common and in one phrase only. Each phrase is
+    normalised once, and what is compared of it is computed once."""
     if not 0 <= threshold <= 1:
         raise ValueError("threshold is from 0 to 1")
-    x, y = normalize_for_match(a, config), normalize_for_match(b, config)
-    sim = S.sorensen_dice_coefficient(x, y)
-    u, v = (F.filter(F.split(t, " "), lambda w: w != "") for t in (x, y))
-    return F.struct(
-        (sim >= threshold).alias("is_match"), sim.alias("similarity"), (1.0 - sim).alias("distance"), (sim * 100.0).alias("score"),
-        F.array_sort(F.array_intersect(u, v)).alias("common_words"), F.array_sort(F.array_except(u, v)).alias("unique_to_phrase1"), F.array_sort(F.array_except(v, u)).alias("unique_to_phrase2"),
-    )
+
+    def measured(t: Column) -> Column:
+        words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+        return rx.let(F.struct(S.sorensen_dice_coefficient(t["x"], t["y"]).alias("sim"), words(t["x"]).alias("u"), words(t["y"]).alias("v")), told)
+
+    def told(m: Column) -> Column:
+        sim, u, v = m["sim"], m["u"], m["v"]
+        return F.struct(
+            (sim >= threshold).alias("is_match"), sim.alias("similarity"), (1.0 - sim).alias("distance"), (sim * 100.0).alias("score"),
+            F.array_sort(F.array_intersect(u, v)).alias("common_words"), F.array_sort(F.array_except(u, v)).alias("unique_to_phrase1"), F.array_sort(F.array_except(v, u)).alias("unique_to_phrase2"),
+        )
+
+    return rx.let(F.struct(normalize_for_match(a, config).alias("x"), normalize_for_match(b, config).alias("y")), measured)
 
 
 def find_common_patterns(a: Column | str, b: Column | str, min_length: int = 3, config: MatcherConfig = DEFAULT) -> Column:
