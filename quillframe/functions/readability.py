@@ -112,6 +112,9 @@ def is_placeholder_text(c: Column | str) -> Column:
 
 
 def text_density_score(c: Column | str) -> Column:
-    """Letters and numbers among all characters, to 4 places; '' and NULL give 0."""
+    """Letters and numbers among all characters, to 4 places; '' and NULL give 0. The ten-thousandths
+    are rounded as numbers, as in SQL: round() goes by the digits that are written (57 of 800, say)."""
     c = F.coalesce(rx.col(c), F.lit(""))
-    return F.when(c == "", 0.0).otherwise(F.round(F.length(rx.sub(c, r"[^\p{L}\p{N}]")) / F.length(c), 4))
+    whole = lambda y: F.floor(y) + F.when(y - F.floor(y) >= 0.5, 1).otherwise(0)
+    share = F.length(rx.sub(c, r"[^\p{L}\p{N}]+")) / F.length(c)
+    return F.when(c == "", 0.0).otherwise(rx.let(share * 10000.0, whole) / 10000.0)

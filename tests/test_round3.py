@@ -25,3 +25,12 @@ def test_phrases_are_normalised_once(spark):
     assert rows[0] == (pytest.approx(14 / 18), False, ["red"], ["ring", "the"])
     assert rows[1:] == [(1.0, True, ["a"], []), (0.0, False, [], []), (None, None, None, None), (1.0, True, ["e"], [])]
     assert [tuple(r) for r in df.select(F.sort_array(S.bigrams(F.col("a"))), S.sorensen_dice_coefficient("a", "b")).collect()][1:4] == [([], 1.0), ([], 0.0), (None, None)]
+
+
+def test_density_rounds_like_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    shares = [(57, 800), (69, 800), (163, 800), (1, 3), (1, 1), (0, 5), (5, 16)]
+    df = spark.createDataFrame([(k, "a" * n + " " * (m - n)) for k, (n, m) in enumerate(shares)] + [(99, "é1٣² -")], "k int, t string")
+    got = [r[0] for r in df.orderBy("k").select(readability.text_density_score("t")).collect()]
+    want = [duckdb.connect().execute(f"select round({n} / {m}, 4)").fetchall()[0][0] for n, m in shares]
+    assert got == [*want, 0.6667] and want[0] == 0.0712
