@@ -39,6 +39,13 @@ PATTERNS: dict[str, str] = {
     "passwords": r"\b(?=.*[a-zA-Z])(?=.*\d)(?=.*[!@#$%^&*])[a-zA-Z\d!@#$%^&*]{6,}\b",
 }
 
+#: The same hits sooner. Word borders cost much: what a hit begins with is asked first. A run before an @
+#: is read once, from its start or from where the last hit ended: if that doesn't lead to a hit, no later
+#: start in it does.
+_FASTER = {k: rf"(?={b}){p}" for k, p in PATTERNS.items() for b in [r"\d" if p.startswith((r"\b\d", r"\b(?:\d")) else "[A-Z]{2}" if p.startswith((r"\b[A-Z]{2}", r"\b[A-Z]{6}")) else "[A-Z]" if p.startswith(r"\b[A-Z]") else "[a-fA-F0-9]{32}" if k == "checksums" else ""] if b} | {
+    "emails": r"(?:\G|(?<![a-zA-Z0-9_.%+-]))[a-zA-Z0-9_.%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
+}
+
 
 def extract(c: Column | str, kind: str, pattern: str | None = None) -> Column:
     """All hits of a kind in PATTERNS, or of an own pattern (its group 1 if it has groups)."""
@@ -47,11 +54,36 @@ def extract(c: Column | str, kind: str, pattern: str | None = None) -> Column:
 
         return rx.find_all(c, pattern, 1 if re.compile(pattern).groups else 0)
     if kind == "passwords":
-        # looks ahead to the end of the line from each word: only where all that it looks for is there
-        c = rx.col(c)
-        may = F.rlike(c, F.lit("[!@#$%^&*]")) & F.rlike(c, F.lit(r"\p{Nd}"))
-        return F.when(may, rx.find_all(c, PATTERNS[kind]))
-    return rx.find_all(c, PATTERNS[kind])
+        return _passwords(rx.col(c))
+    return rx.find_all(c, _FASTER.get(kind, PATTERNS[kind]))
+
+
+def _passwords(c: Column) -> Column:
+    """The hits of the passwords' pattern in time that grows with the text: it looks ahead to the end of
+    the line from each word, which is to ask whether a hit starts before the line's last letter, last
+    digit and last sign. So lines are searched without looking ahead, and the first hits stay."""
+    def pieces(x: Column, digit: str, flags: str) -> Column:
+        sign, word, any_ = "[!@#$%^&*]", f"[a-zA-Z{digit}]", f"[a-zA-Z{digit}!@#$%^&*]"
+        # within a run, borders are between words and signs; \b itself costs more than all the rest
+        border = rf"(?:(?<!{any_})\b|(?<={sign})(?={word})|(?<={word})(?={sign}))"
+        last = F.least(*[F.length(F.regexp_extract(x, f"{flags}^.*{e}", 0)) for e in (sign, f"[{digit}]", "[a-zA-Z]")])
+        # gaps and hits in turn: no line has a line break
+        split = F.split(rx.sub(x, rf"(?={any_}{{6}}){border}({any_}{{6,}})\b", "\n$1\n", flags), "\n", -1)
+        return F.struct(split.alias("parts"), last.alias("last"))
+
+    def of_line(x: Column) -> Column:
+        # classes of ASCII alone are looked up in a table
+        return rx.let(F.when(F.octet_length(x) == F.length(x), pieces(x, "0-9", "")).otherwise(pieces(x, r"\d", rx.UNICODE)), early)
+
+    def early(t: Column) -> Column:
+        whole = F.transform(t["parts"], lambda p, i: F.struct((i % 2 == 1).alias("hit"), F.length(p).alias("n"), p.alias("p")))
+        begun = lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), (a["k"] + (x["hit"] & (a["at"] < t["last"])).cast("int")).alias("k"))
+        first = F.aggregate(whole, F.struct(F.lit(0).alias("at"), F.lit(0).alias("k")), begun)["k"]
+        return rx.let(first, lambda k: F.filter(t["parts"], lambda p, i: (i % 2 == 1) & (i < 2 * k)))
+
+    has_all = lambda x: F.rlike(x, F.lit("[!@#$%^&*]")) & rx.has(x, r"\d") & F.rlike(x, F.lit("[a-zA-Z]"))
+    lines = F.filter(F.regexp_extract_all(c, F.lit(".+"), F.lit(0)), has_all)
+    return rx.some(F.when(has_all(c), F.flatten(F.transform(lines, of_line))))
 
 
 def phones(c: Column | str, pattern: str | None = None, separators: str | list[str] | None = None) -> Column:

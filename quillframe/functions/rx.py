@@ -26,8 +26,12 @@ def has(c: Column | str, pattern: str, flags: str = UNICODE) -> Column:
 
 def find_all(c: Column | str, pattern: str, group: int = 0, flags: str = UNICODE) -> Column:
     """All matches; NULL for NULL and for no match."""
-    hits = F.regexp_extract_all(col(c), F.lit(flags + pattern), F.lit(group))
-    return F.when(F.size(hits) > 0, hits)
+    return some(F.regexp_extract_all(col(c), F.lit(flags + pattern), F.lit(group)))
+
+
+def some(hits: Column) -> Column:
+    """An array that has elements, else NULL; computed once."""
+    return F.get(F.filter(F.array(hits), lambda h: F.size(h) > 0), F.lit(0))
 
 
 def squeeze(c: Column | str) -> Column:

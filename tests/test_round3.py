@@ -34,3 +34,30 @@ def test_density_rounds_like_sql(spark):
     got = [r[0] for r in df.orderBy("k").select(readability.text_density_score("t")).collect()]
     want = [duckdb.connect().execute(f"select round({n} / {m}, 4)").fetchall()[0][0] for n, m in shares]
     assert got == [*want, 0.6667] and want[0] == 0.0712
+
+
+def test_passwords_by_their_pattern(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "Zq", "1", "23", "!", "@#", "é", " ", "_", "\n", "\r", "٣", "́", "abc1!x", "𝒳"]) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, "", "abc123! x\nabcdef1", "x!!!!!! 1", "!" * 7 + "a 1"]], "t string")
+    slow = F.regexp_extract_all("t", F.lit("(?U)" + extract.PATTERNS["passwords"]), F.lit(0))
+    got = df.select(extract.extract("t", "passwords").alias("h"), F.when(F.size(slow) > 0, slow).alias("w"), "t").collect()
+    assert [r["t"] for r in got if r["h"] != r["w"]] == [] and sum(r["h"] is not None for r in got) > 100
+    # a long line whose only sign is its first character: the pattern looked to its end from each word
+    long = spark.createDataFrame([("!" + " abcdef1" * 40_000,)], "t string")
+    assert long.select(extract.extract("t", "passwords")).first()[0] is None
+
+
+@pytest.mark.parametrize("kind", sorted(extract._FASTER))
+def test_faster_patterns_find_the_same(spark, kind):
+    rng = random.Random(kind)
+    own = {"emails": ["a@b.co", "x_", "@", ".", "b.org", "%+", "é"], "credit_cards": ["4111 1111", "-2222", "3333"], "social_security": ["123-45-6789", "-"], "cve_ids": ["CVE-2021-1234"], "checksums": ["0a" * 16, "F" * 31], "isbns": ["978030640", "6157", "X"], "nif": ["12345678Z"], "dates": ["1/2/2020", "12-31-99"], "times": ["1:20 PM", "23:59"], "ibans": ["ES76", "0123"], "patient_ids": ["PAT-1"]}.get(kind, [])
+    bits = [*own, *own, "AB", "ABCDEF", "12", "3", "45", ".", "/", "-", ":", " ", "x", "é", "É", "_", "٣", "́", "%", "²", "km"]
+    df = spark.createDataFrame([("".join(rng.choice(bits) for _ in range(rng.randint(0, 14))),) for _ in range(1500)], "t string")
+    want = F.regexp_extract_all("t", F.lit("(?U)" + extract.PATTERNS[kind]), F.lit(0))
+    assert df.where(~F.coalesce(extract.extract("t", kind), F.array().cast("array<string>")).eqNullSafe(want)).limit(3).collect() == []
+
+
+def test_texts_are_searched_once(spark):
+    out = catalog.queries()["extract_isbns_derived"](spark, SF)
+    assert evaluated(out, "regexp_extract_all") == 1
