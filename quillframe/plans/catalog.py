@@ -118,8 +118,9 @@ def _derived(spark, d) -> DataFrame:
 def _extract_query(kind: str, derived: bool) -> Query:
     def run(spark, d):
         src, key = (_derived(spark, d), "o_orderkey") if derived else (_t(spark, d, "documents"), "doc_id")
-        hits = extract.extract("text", kind)
-        return src.select(key, F.size(hits).cast("bigint").alias("n"), F.concat_ws("|", hits).alias("hits")).where("n > 0")
+        # a generator, so that texts are searched once: a condition on n would search them again
+        found = F.filter(F.array(extract.extract("text", kind)), lambda h: F.size(h) > 0)
+        return src.select(key, F.inline(F.transform(found, lambda h: F.struct(F.size(h).cast("bigint").alias("n"), F.concat_ws("|", h).alias("hits")))))
 
     return run
 
