@@ -1,9 +1,10 @@
-"""Readability indices and flags of text quality, as expressions."""
+"""Readability indices and flags of text quality, as expressions of counts that Arrow batches give."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ..runtime import ship
 from . import rx
 
 _VOWELS = "aeiouyàáâãäåèéêëìíîïòóôõöùúûüæœ"
@@ -30,63 +31,126 @@ def count_sentences(c: Column | str) -> Column:
     return F.greatest(F.lit(1), F.size(F.filter(F.split(rx.col(c), "[.!?]+", -1), lambda s: rx.has(s, r"\S"))))
 
 
-_CONSONANT = "b-df-hj-np-tv-xz"
-#: Words of three letters at most, and of longer ones: silent ends, and words that no vowel is left in.
-_SHORT = r"(?i)(?<![a-z])[a-z]{1,3}(?![a-z])"
-_SILENT = r"(?i)[b-df-hjkm-np-tv-xz]e(?![a-z])"
-_MUTE = rf"(?i)(?<![a-z])[{_CONSONANT}]+(?:(?<!l)e)?(?![a-z])"
-
-
-def syllables_of_text(c: Column) -> Column:
-    """Sum of count_syllables over the words of an English text, by counts over the whole text."""
-    count = lambda t, p: F.regexp_count(t, F.lit(p))
-    long = F.regexp_replace(c, _SHORT, " ")
-    return count(c, _SHORT) + count(long, "(?i)[aeiouy]+") - count(long, _SILENT) + count(long, _MUTE)
-
-
-def _ratio(c: Column | str, formula) -> Column:
-    w, s = words(c), count_sentences(c)
-    n = F.size(w)
-    return F.when(n == 0, F.lit(0.0)).when(rx.col(c).isNotNull(), formula(w, n.cast("double"), s.cast("double")))
-
-
-def _letters(w: Column) -> Column:
-    return F.length(F.concat_ws("", w)).cast("double")
-
-
-def flesch_reading_ease(c: Column | str) -> Column:
-    return _ratio(c, lambda w, n, s: 206.835 - 1.015 * (n / s) - 84.6 * (syllables_of_text(rx.col(c)) / n))
+_BLANKS = frozenset([b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80\xa8", b"\xe2\x80\xa9", b"\xe2\x80\xaf", b"\xe2\x81\x9f", b"\xe3\x80\x80", *(bytes([0xE2, 0x80, k]) for k in range(0x80, 0x8B))])
+_COUNTS = "words int, letters bigint, sentences int, syllables bigint, hard int, different int"
+#: Bytes of a text that are counted at a time, and classes of bytes: letter, vowel, end of sentence, blank.
+_PART = 1 << 20
+
+
+def _classes():
+    import numpy as np
+
+    t = np.zeros(256, np.uint8)
+    for bit, chars in ((1, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), (2, "aeiouyAEIOUY"), (4, ".!?"), (8, "\t\n\x0b\x0c\r ")):
+        t[list(chars.encode())] |= bit
+    return t
+
+
+def _counts_of(texts: list[bytes], table) -> list:
+    """The counts of some texts, as rows of an array, by one pass over all their bytes: words are runs of
+    ASCII letters, sentences what is between ends and has anything but white space."""
+    import numpy as np
+
+    sizes = np.array([len(t) + 1 for t in texts])
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+    kind = table[data]
+    kind[ends - 1] |= 4  # a text's end ends a sentence; the byte isn't one of the text
+    for lead in np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3))):
+        if (seq := data[lead : lead + (2 if data[lead] == 0xC2 else 3)].tobytes()) in _BLANKS:
+            kind[lead : lead + len(seq)] = 8
+    letter = (kind & 1).astype(bool)
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], letter))))
+    first, after = edge[0::2], edge[1::2]
+    vowel = (kind & 2).astype(bool)
+    begun = vowel.copy()
+    begun[1:] &= ~vowel[:-1]
+    groups = np.concatenate(([0], np.cumsum(begun, dtype=np.int32)))
+    # words begin at letters, so no group reaches over a word's start or end
+    size, n = after - first, groups[after] - groups[first]
+    low = data | 0x20
+    long = size > 3
+    last, before = low[after - 1], after - np.minimum(size, 2)
+    silent = long & (last == ord("e")) & (low[before] != ord("l")) & ~vowel[before]
+    n = np.where(long, np.maximum(1, n - silent), 1)
+    upto = lambda v: np.diff(np.concatenate(([0], np.concatenate(([0], np.cumsum(v, dtype=np.int64)))[np.searchsorted(first, ends)])))
+    solid = np.flatnonzero(kind & 12 == 0)
+    stops = np.flatnonzero(kind & 4)
+    full = np.diff(np.concatenate(([0], np.searchsorted(solid, stops)))) > 0
+    spoken = np.diff(np.concatenate(([0], np.concatenate(([0], np.cumsum(full)))[np.searchsorted(stops, ends)])))
+    return [upto(np.ones(len(n), np.int8)), upto(size), np.maximum(1, spoken), upto(n), upto(n >= 3)]
+
+
+def counts(c: Column | str, different: bool = False) -> Column:
+    """Struct of what the indices are made of: words (runs of ASCII letters), their letters, sentences,
+    syllables in English, words of three syllables at least, different words (if asked for). NULL gives
+    NULL. Arrow batches: each text is read once, some at a time."""
+    ship()
+
+    @F.arrow_udf(_COUNTS)
+    def run(texts):
+        import re
+
+        import numpy as np
+        import pyarrow as pa
+
+        table, word, rows, part, held = _classes(), re.compile(rb"[a-z]+"), [], [], 0
+        for t in texts:
+            part.append(t.as_py().encode() if t.is_valid else b"")
+            held += len(part[-1])
+            if held > _PART:
+                rows.append(_counts_of(part, table))
+                rows[-1].append([len(set(word.findall(x.lower()))) for x in part] if different else np.zeros(len(part)))
+                part, held = [], 0
+        if part:
+            rows.append(_counts_of(part, table))
+            rows[-1].append([len(set(word.findall(x.lower()))) for x in part] if different else np.zeros(len(part)))
+        names, kinds = [f.split()[0] for f in _COUNTS.split(", ")], [pa.int64() if "bigint" in f else pa.int32() for f in _COUNTS.split(", ")]
+        cols = [pa.array(np.concatenate([r[k] for r in rows]) if rows else [], pa.int64()).cast(kind) for k, kind in enumerate(kinds)]
+        return pa.StructArray.from_arrays(cols, names=names, mask=texts.is_null())
+
+    return run(rx.col(c))
+
+
+def _ratio(c: Column | str, formula, m: Column | None = None) -> Column:
+    """The formula of the counts and, as doubles, of words and sentences; 0 without words."""
+    m = counts(c) if m is None else m
+    return F.when(m["words"] == 0, F.lit(0.0)).when(m["words"].isNotNull(), formula(m, m["words"].cast("double"), m["sentences"].cast("double")))
+
+
+def flesch_reading_ease(c: Column | str, m: Column | None = None) -> Column:
+    return _ratio(c, lambda m, n, s: 206.835 - 1.015 * (n / s) - 84.6 * (m["syllables"] / n), m)
 
 
 def flesch_kincaid_grade(c: Column | str) -> Column:
-    return _ratio(c, lambda w, n, s: 0.39 * (n / s) + 11.8 * (syllables_of_text(rx.col(c)) / n) - 15.59)
+    return _ratio(c, lambda m, n, s: 0.39 * (n / s) + 11.8 * (m["syllables"] / n) - 15.59)
 
 
 def gunning_fog_index(c: Column | str) -> Column:
-    return _ratio(c, lambda w, n, s: 0.4 * (n / s + 100 * (F.size(F.filter(w, lambda x: count_syllables(x) >= 3)) / n)))
+    return _ratio(c, lambda m, n, s: 0.4 * (n / s + 100 * (m["hard"] / n)))
 
 
-def coleman_liau_index(c: Column | str) -> Column:
-    return _ratio(c, lambda w, n, s: 0.0588 * (_letters(w) / n * 100) - 0.296 * (s / n * 100) - 15.8)
+def coleman_liau_index(c: Column | str, m: Column | None = None) -> Column:
+    return _ratio(c, lambda m, n, s: 0.0588 * (m["letters"].cast("double") / n * 100) - 0.296 * (s / n * 100) - 15.8, m)
 
 
-def automated_readability_index(c: Column | str) -> Column:
-    return _ratio(c, lambda w, n, s: 4.71 * (_letters(w) / n) + 0.5 * (n / s) - 21.43)
+def automated_readability_index(c: Column | str, m: Column | None = None) -> Column:
+    return _ratio(c, lambda m, n, s: 4.71 * (m["letters"].cast("double") / n) + 0.5 * (n / s) - 21.43, m)
 
 
-def lexical_diversity(c: Column | str) -> Column:
-    return _ratio(c, lambda w, n, s: F.size(F.array_distinct(F.transform(w, lambda x: F.lower(x)))) / n)
+def lexical_diversity(c: Column | str, m: Column | None = None) -> Column:
+    return _ratio(c, lambda m, n, s: m["different"] / n, counts(c, True) if m is None else m)
 
 
 def text_complexity_score(c: Column | str) -> Column:
     """Struct of three rounded indices, lexical diversity and their weighed sum."""
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
-    fre, cli, ari, lex = flesch_reading_ease(c), coleman_liau_index(c), automated_readability_index(c), lexical_diversity(c)
+    m = counts(c, True)
+    fre, cli, ari, lex = (index(c, m) for index in (flesch_reading_ease, coleman_liau_index, automated_readability_index, lexical_diversity))
     score = 0.4 * clamp(100.0 - fre) + 0.2 * clamp(cli * 5.0) + 0.2 * clamp(ari * 5.0) + 0.2 * (lex * 100.0)
-    none = F.size(words(c)) == 0
     return F.struct(
         F.round(fre, 2).alias("flesch"), F.round(cli, 2).alias("coleman_liau"), F.round(ari, 2).alias("ari"),
-        F.round(lex, 4).alias("lexical_diversity"), F.when(none, 0.0).otherwise(F.round(score, 2)).alias("complexity_score"),
+        F.round(lex, 4).alias("lexical_diversity"), F.when(m["words"] == 0, 0.0).otherwise(F.round(score, 2)).alias("complexity_score"),
     )
 
 

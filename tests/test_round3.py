@@ -61,3 +61,19 @@ def test_faster_patterns_find_the_same(spark, kind):
 def test_texts_are_searched_once(spark):
     out = catalog.queries()["extract_isbns_derived"](spark, SF)
     assert evaluated(out, "regexp_extract_all") == 1
+
+
+def test_counts_by_their_expressions(spark):
+    rng = random.Random(5)
+    bits = ["The", "cake", "little", "beautiful", "rhythm", "me", "e", "le", "Queue", "I", "é", "naïve", "x1y", ".", "!?", "...", " ", "\n", " ", " ", "　", "\x85", "\x1c", "\x00", "'", "À", "table", "shhhhe", "Aeiouy"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 30))) for _ in range(800)] + ["", " ", ".", "..a", "a", "e", "abce", None, "aé", "b" * 5, "word. " * 400_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    m = readability.counts("t", True)
+    w = readability.words("t")
+    each = F.transform(w, lambda x: readability.count_syllables(x))
+    slow = F.struct(F.size(w), F.length(F.concat_ws("", w)), readability.count_sentences("t"), F.aggregate(each, F.lit(0), lambda a, x: a + x), F.size(F.filter(each, lambda x: x >= 3)), F.size(F.array_distinct(F.transform(w, lambda x: F.lower(x)))))
+    rows = df.select("k", m.alias("m"), slow.alias("s")).collect()
+    assert [texts[r["k"]] for r in rows if texts[r["k"]] is not None and tuple(r["m"]) != tuple(r["s"])] == []
+    assert next(r["m"] for r in rows if texts[r["k"]] is None) is None
+    out = df.select(readability.text_complexity_score("t").alias("s")).select("s.*")
+    assert len(set(__import__("re").findall(r"run\(t#\d+\)#\d+", out._jdf.queryExecution().executedPlan().toString()))) <= 1
