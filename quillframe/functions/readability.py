@@ -157,17 +157,36 @@ def text_complexity_score(c: Column | str) -> Column:
 def is_gibberish(c: Column | str, threshold: float = 0.35) -> Column:
     """Mean of three penalties above the threshold: share of vowels, of common letter pairs, of
     different letters. Blank and nearly letterless texts are gibberish; NULL is."""
-    letters = F.lower(rx.sub(F.coalesce(rx.col(c), F.lit("")), r"\P{L}"))
-    n = F.length(letters)
-    vowels = (n - F.length(F.translate(letters, "aeiou", ""))) / n
-    chars = F.split(letters, "")
-    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(n, F.lit(1))), lambda p, q: F.concat(p, q))  # the last is NULL
-    common = F.size(F.filter(pairs, lambda p: p.isin(COMMON_BIGRAMS))) / (n - 1)
-    different = F.size(F.array_distinct(chars)) / n
+    m = _letter_counts(F.lower(rx.sub(F.coalesce(rx.col(c), F.lit("")), r"\P{L}+")))
+    n = m["n"]
+    vowels, common, different = m["vowels"] / n, m["common"] / (n - 1), m["different"] / n
     score = (F.when((vowels >= 0.2) & (vowels <= 0.6), 0.0).otherwise(1.0) + (1.0 - common) + F.when(different > 0.8, different).otherwise(0.0)) / 3.0
     return F.when(n < 3, True).otherwise(score > threshold)
 
 
+def _letter_counts(c: Column) -> Column:
+    """Struct of the letters of a text that has nothing else: how many, vowels, common pairs, different."""
+    ship()
+
+    @F.arrow_udf("n int, vowels int, common int, different int")
+    def run(texts):
+        import numpy as np
+        import pyarrow as pa
+
+        common = np.zeros(1 << 16, bool)
+        common[[p.encode()[0] << 8 | p.encode()[1] for p in COMMON_BIGRAMS]] = True
+        rows = []
+        for t in texts:
+            t = t.as_py()
+            raw = t.encode()
+            codes = np.frombuffer(raw, np.uint8).astype(np.uint16)
+            rows.append((len(t), len(raw) - len(raw.translate(None, b"aeiou")), int(common[codes[:-1] << 8 | codes[1:]].sum()), len(set(t))))
+        cols = np.array(rows, np.int32).reshape(-1, 4)
+        return pa.StructArray.from_arrays([pa.array(cols[:, k].copy()) for k in range(4)], names=["n", "vowels", "common", "different"])
+
+    return run(c)
+
+
 def is_placeholder_text(c: Column | str) -> Column:
     t = F.lower(rx.sub(F.coalesce(rx.col(c), F.lit("")), r"\A\s+|\s+\z"))
     solid = F.replace(t, F.lit(" "), F.lit(""))

@@ -77,3 +77,18 @@ def test_counts_by_their_expressions(spark):
     assert next(r["m"] for r in rows if texts[r["k"]] is None) is None
     out = df.select(readability.text_complexity_score("t").alias("s")).select("s.*")
     assert len(set(__import__("re").findall(r"run\(t#\d+\)#\d+", out._jdf.queryExecution().executedPlan().toString()))) <= 1
+
+
+def test_gibberish_reads_a_text_once(spark):
+    texts = ["xkcd qwrt zzz", "the other thing in the rain", "ab", "", None, "ÉÉ ñandú İstanbul ΣΑΣ", "Σ1-2", "éa", "thé ére 12 intere", "𝒳𝒳𝒳 ed"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    out = df.select("k", readability.is_gibberish("t").alias("g"))
+    assert evaluated(out, "regexp_replace") == 1
+    letters = F.lower(F.regexp_replace(F.coalesce("t", F.lit("")), r"\P{L}", ""))
+    chars = F.split(letters, "")
+    n = F.length(letters)
+    pairs = F.filter(F.zip_with(chars, F.slice(chars, 2, 10_000), lambda p, q: F.concat(p, q)), lambda p: p.isin(readability.COMMON_BIGRAMS))
+    want = F.struct(n.alias("n"), (n - F.length(F.translate(letters, "aeiou", ""))).alias("vowels"), F.size(pairs).alias("common"), F.size(F.array_distinct(chars)).alias("different"))
+    got = df.select(readability._letter_counts(letters).alias("m"), want.alias("w"), "t").where(F.length("t") > 0).collect()
+    assert [r["t"] for r in got if tuple(r["m"]) != tuple(r["w"])] == []
+    assert [r["g"] for r in out.orderBy("k").collect()][:5] == [True, False, True, True, True]
