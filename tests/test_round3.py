@@ -92,3 +92,15 @@ def test_gibberish_reads_a_text_once(spark):
     got = df.select(readability._letter_counts(letters).alias("m"), want.alias("w"), "t").where(F.length("t") > 0).collect()
     assert [r["t"] for r in got if tuple(r["m"]) != tuple(r["w"])] == []
     assert [r["g"] for r in out.orderBy("k").collect()][:5] == [True, False, True, True, True]
+
+
+def test_duplicates_of_a_hot_text(spark):
+    """Copies of one text are pairs of short lists; the same id with two texts is no pair."""
+    rows = [(k, "red ring") for k in range(1300)] + [(2000 + k, "red rings") for k in range(700)] + [(5, "red rings"), (6, "red ring"), (7, None)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    out = matching.detect_duplicates(df, "id", "t", 0.85)
+    got = out.groupBy("score").agg(F.count("*").alias("n"), F.sum((F.col("id1") < F.col("id2")).cast("int")).alias("m")).orderBy("score").collect()
+    a, b = [r[0] for r in rows if r[1] == "red ring"], [r[0] for r in rows if r[1] == "red rings"]
+    across = sum(x != y for x in a for y in b)
+    within = sum(x < y for v in (a, b) for x in v for y in v)
+    assert [(round(r["score"], 4), r["n"], r["m"]) for r in got] == [(0.8889, across, across), (1.0, within, within)]
