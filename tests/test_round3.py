@@ -104,3 +104,33 @@ def test_duplicates_of_a_hot_text(spark):
     across = sum(x != y for x in a for y in b)
     within = sum(x < y for v in (a, b) for x in v for y in v)
     assert [(round(r["score"], 4), r["n"], r["m"]) for r in got] == [(0.8889, across, across), (1.0, within, within)]
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_pairs_of_texts_that_share_most_characters(spark, monkeypatch, block):
+    """Tries cut at few texts, deep common starts, copies; against brute force."""
+    from quillframe.operators import tries
+
+    monkeypatch.setattr(tries, "BLOCK", block)
+    monkeypatch.setattr(tries, "DEPTH", 32 if block > 3 else 6)
+    rng = random.Random(block)
+    left = [f"Supplier#{k:05d}" for k in range(12)] + ["", "a", "a", "a\0", "é"]
+    right = [f"Customer#{rng.choice([k, 10 * k]):05d}" for k in range(14)] + ["", "a", "ab", "ba", "a\0", "e"]
+    x, y = (spark.createDataFrame(list(enumerate(v)), "id long, s string") for v in (left, right))
+    score = lambda a, b: 1.0 if a == b else 0.0 if not a or not b else 1 - matching._distance(a, b) / max(len(a), len(b))
+    for t in (0.5, 0.64, 0.8):
+        got = sorted((r["id1"], r["id2"], round(r["score"], 9)) for r in matching.similarity_pairs(x, y, t).collect())
+        assert got == sorted((i, j, round(s, 9)) for i, a in enumerate(left) for j, b in enumerate(right) if (s := score(a, b)) >= t)
+
+
+def test_trie_search_by_brute_force():
+    from quillframe.operators import tries
+
+    rng = random.Random(1)
+    for _ in range(60):
+        xs = list({"".join(rng.choice("abc\0é𝒳"[: rng.randint(1, 6)]) for _ in range(rng.randint(1, 9))) for _ in range(15)})
+        ys = list({"".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(15)} | set(xs[:3]))
+        most = [rng.randint(0, 4) for _ in xs]
+        assert sorted(tries.search(xs, most, ys)) == sorted((x, y, matching._distance(x, y)) for x, d in zip(xs, most) for y in ys if matching._distance(x, y) <= d)
+        got = sorted((x, y) for x, y, _ in tries.search(xs, most, [*ys, ""], True))
+        assert got == sorted((x, y) for x, d in zip(xs, most) for y in {*ys, ""} if min(matching._distance(x[:i], y) for i in range(len(x) + 1)) <= d)
