@@ -70,9 +70,14 @@ def lcs_length(s: str, t: str) -> int:
 
 
 def _pairs(fn, kind: str):
+    """A function of two texts over Arrow batches; pairs that come again in a batch are computed once."""
+
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else fn(x, y) for x, y in zip(a, b)])
+        known = dict.fromkeys(zip(a, b))
+        for x, y in known:
+            known[x, y] = None if x is None or y is None else fn(x, y)
+        return pd.Series([known[p] for p in zip(a, b)], dtype=object)
 
     return run
 
@@ -88,11 +93,16 @@ def ratcliff_obershelp_score(a: Column | str, b: Column | str) -> Column:
     return _pairs(lambda x, y: difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0, "double")(rx.col(a), rx.col(b))
 
 
+def lcs_count(a: Column | str, b: Column | str) -> Column:
+    """Length of the longest common subsequence."""
+    ship()
+    return _pairs(lcs_length, "int")(rx.col(a), rx.col(b))
+
+
 def lcs_score(a: Column | str, b: Column | str) -> Column:
     """Struct of lcs_length, similarity (by the longer text) and score (in 0..100)."""
-    ship()
     a, b = rx.col(a), rx.col(b)
-    n = _pairs(lcs_length, "int")(a, b)
+    n = lcs_count(a, b)
     sim = _guard(a, b, n / F.greatest(F.length(a), F.length(b)), None)
     return F.struct(n.alias("lcs_length"), sim.alias("similarity"), (sim * 100.0).alias("score"))
 
@@ -149,7 +159,12 @@ def mra_similarity(a: Column | str, b: Column | str) -> Column:
 def are_equivalent(a: Column | str, b: Column | str, levenshtein_threshold: float = 0.85, jaro_winkler_threshold: float = 0.9, metaphone_required: bool = True) -> Column:
     """Struct of is_match and its measures; if a text is empty there is no match and no measure."""
     a, b = rx.col(a), rx.col(b)
-    lev, jw, mra = levenshtein_score(a, b), jaro_winkler_score(a, b), mra_similarity(a, b)
+    return equivalence(a, b, jaro_winkler_score(a, b), mra_similarity(a, b), levenshtein_threshold, jaro_winkler_threshold, metaphone_required)
+
+
+def equivalence(a: Column, b: Column, jw: Column, mra: Column, levenshtein_threshold: float, jaro_winkler_threshold: float, metaphone_required: bool) -> Column:
+    """are_equivalent() of two texts whose Jaro-Winkler and match-rating scores are known."""
+    lev = levenshtein_score(a, b)
     phonetic_match = mra >= 0.8
     close, near = lev >= levenshtein_threshold, jw >= jaro_winkler_threshold
     match = (phonetic_match | (close & near)) if metaphone_required else (close | near)

@@ -14,6 +14,7 @@ from dataclasses import asdict, dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import normalize, ops, phonetic, rx, similarity as S
 from ..runtime import ship
@@ -162,9 +163,16 @@ def find_common_patterns(a: Column | str, b: Column | str, min_length: int = 3,
     if min_length < 1:
         raise ValueError("min_length is at least 1")
     x, y = normalize_for_match(a, config), normalize_for_match(b, config)
-    lcs = S.lcs_score(x, y)
-    ratio = F.when(F.length(x) + F.length(y) > 0, lcs["lcs_length"] / ((F.length(x) + F.length(y)) / 2.0)).otherwise(0.0)
-    return F.struct(lcs["lcs_length"].alias("lcs_length"), ratio.alias("lcs_ratio"), lcs["similarity"].alias("similarity"), lcs["score"].alias("score"), ((lcs["lcs_length"] >= min_length) & (ratio >= 0.3)).alias("has_significant_overlap"))
+    # lengths and count in one struct, and what follows from them: texts are normalised for these alone
+    parts = F.struct(F.length(x).alias("n"), F.length(y).alias("m"), S.lcs_count(x, y).alias("lcs"))
+
+    def told(t: Column) -> Column:
+        n, m, lcs = t["n"], t["m"], t["lcs"]
+        sim = F.when(n.isNull() | m.isNull(), F.lit(None).cast("double")).when((n == 0) | (m == 0), F.lit(0.0)).otherwise(lcs / F.greatest(n, m))
+        ratio = F.when(n + m > 0, lcs / ((n + m) / 2.0)).otherwise(0.0)
+        return F.struct(lcs.alias("lcs_length"), ratio.alias("lcs_ratio"), sim.alias("similarity"), (sim * 100.0).alias("score"), ((lcs >= min_length) & (ratio >= 0.3)).alias("has_significant_overlap"))
+
+    return rx.let(parts, told)
 
 
 def compare_text(a: Column | str, b: Column | str) -> Column:
@@ -179,30 +187,52 @@ def is_abbreviation(c: Column | str) -> Column:
     return (c != "") & (F.length(F.regexp_replace(c, r"\.+$", "")) <= 3)
 
 
+def _undotted(c: Column) -> Column:
+    return F.upper(F.regexp_replace(c, r"\.+$", ""))
+
+
 def compare_with_abbreviation(a: Column | str, b: Column | str, language: str = "es") -> Column:
     """1 for a nickname or an abbreviation of the other word, 0 for another abbreviation, else
     Jaro-Winkler."""
     a, b = rx.col(a), rx.col(b)
-    x, y = (F.upper(F.regexp_replace(w, r"\.+$", "")) for w in (a, b))
+    parts = F.struct(a.alias("a"), b.alias("b"), _undotted(a).alias("x"), _undotted(b).alias("y"), S.jaro_winkler_score(_undotted(a), _undotted(b)).alias("jw"))
+    return rx.let(parts, lambda t: _abbreviation(t["a"], t["b"], t["x"], t["y"], t["jw"], language))
+
+
+def _abbreviation(a: Column, b: Column, x: Column, y: Column, jw: Column, language: str) -> Column:
     nick = F.lit(False)
     for k, full in nicknames(language).items():
         nick = nick | ((x == k) & y.isin(full)) | ((y == k) & x.isin(full))
     p, q = is_abbreviation(a), is_abbreviation(b)
-    jw = S.jaro_winkler_score(x, y)
     return F.when((a == "") | (b == ""), 0.0).when(nick, 1.0).when(p & ~q, y.startswith(x).cast("double")).when(q & ~p, x.startswith(y).cast("double")).otherwise(jw)
 
 
 def compare_names(a: Column | str, b: Column | str, strict: bool | None = False, config: MatcherConfig = DEFAULT, language: str = "es") -> Column:
-    """Struct of is_match, how, and the measures of the normalised names."""
+    """Struct of is_match, how, and the measures of the normalised names, which are normalised for the
+    Python functions and once for all else."""
     a, b = rx.col(a), rx.col(b)
     x, y = (normalize_for_match(t, config, True, "title") for t in (a, b))
     required = config.metaphone_required if strict is None else strict
-    eq = S.are_equivalent(x, y, config.levenshtein_threshold, config.jaro_winkler_threshold, required)
-    ok = (F.length(a) > 0) & (F.length(b) > 0)
-    short = compare_with_abbreviation(x, y, language) == 1.0
-    how = F.when(~ok, "empty").when(a == b, "exact").when(short, "abbreviation").when(eq["is_match"], "similar").otherwise("none")
-    sure = how.isin("exact", "abbreviation")
-    return F.struct((sure | (how == "similar")).alias("is_match"), how.alias("how"), F.when(sure, 1.0).otherwise(eq["levenshtein_ratio"]).alias("levenshtein_ratio"), F.when(sure, 1.0).otherwise(eq["jaro_winkler_score"]).alias("jaro_winkler_score"))
+    parts = F.struct(
+        a.alias("a"), b.alias("b"), x.alias("x"), y.alias("y"), _undotted(x).alias("u"), _undotted(y).alias("v"),
+        S.jaro_winkler_score(x, y).alias("jw"), S.jaro_winkler_score(_undotted(x), _undotted(y)).alias("ju"), S.mra_similarity(x, y).alias("mra"),
+    )
+
+    def measured(t: Column) -> Column:
+        eq = S.equivalence(t["x"], t["y"], t["jw"], t["mra"], config.levenshtein_threshold, config.jaro_winkler_threshold, required)
+        short = _abbreviation(t["x"], t["y"], t["u"], t["v"], t["ju"], language) == 1.0
+        return rx.let(F.struct(t["a"].alias("a"), t["b"].alias("b"), eq.alias("eq"), short.alias("short")), told)
+
+    def told(t: Column) -> Column:
+        ok = (F.length(t["a"]) > 0) & (F.length(t["b"]) > 0)
+        how = F.when(~ok, "empty").when(t["a"] == t["b"], "exact").when(t["short"], "abbreviation").when(t["eq"]["is_match"], "similar").otherwise("none")
+        return rx.let(F.struct(how.alias("how"), t["eq"].alias("eq")), lambda h: result(h["how"], h["eq"]))
+
+    def result(how: Column, eq: Column) -> Column:
+        sure = how.isin("exact", "abbreviation")
+        return F.struct((sure | (how == "similar")).alias("is_match"), how.alias("how"), F.when(sure, 1.0).otherwise(eq["levenshtein_ratio"]).alias("levenshtein_ratio"), F.when(sure, 1.0).otherwise(eq["jaro_winkler_score"]).alias("jaro_winkler_score"))
+
+    return rx.let(parts, measured)
 
 
 def _words_equal(w1: str, w2: str, nick: dict[str, list[str]], fuzzy: bool) -> bool:
@@ -305,16 +335,23 @@ def detailed(s: str, t: str, case_sensitive: bool = False, show_diff: bool = Tru
 def compare_text_detailed(a: Column | str, b: Column | str, case_sensitive: bool = False, show_diff: bool = True, context_lines: int = 3) -> Column:
     """Struct: ratio, matching blocks, operations, counts of changed lines, unified diff."""
     ship()
-    names = [f.split()[0] for f in "ratio,score,matching_blocks,opcodes,lines_added,lines_removed,lines_changed,total_lines_text1,total_lines_text2,diff".split(",")]
-
-    @F.pandas_udf(_DETAIL)
-    def run(s: pd.Series, t: pd.Series) -> pd.DataFrame:
-        none = (None,) * len(names)
-        rows = [none if p is None or q is None else detailed(p, q, case_sensitive, show_diff, context_lines) for p, q in zip(s, t)]
-        keys = ("text1_start", "text2_start", "length")
-        ops_ = ("operation", "text1_start", "text1_end", "text2_start", "text2_end", "text1_content", "text2_content")
-        fixed = [r if r[2] is None else (*r[:2], [dict(zip(keys, x)) for x in r[2]], [dict(zip(ops_, x)) for x in r[3]], *r[4:]) for r in rows]
-        return pd.DataFrame(fixed, columns=names)
+    kind = StructType.fromDDL(_DETAIL)
+
+    @F.arrow_udf(kind)
+    def run(s, t):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        # pairs that come again in a batch are compared, and made into Arrow's nested lists, once
+        places: dict[tuple, int] = {}
+        at = [places.setdefault(p, len(places)) for p in zip(s.to_pylist(), t.to_pylist())]
+        names = kind.fieldNames()
+        inner = {n: kind[n].dataType.elementType.fieldNames() for n in ("matching_blocks", "opcodes")}
+        rows = []
+        for p, q in places:
+            r = dict.fromkeys(names) if p is None or q is None else dict(zip(names, detailed(p, q, case_sensitive, show_diff, context_lines)))
+            rows.append({n: [dict(zip(inner[n], x)) for x in v] if n in inner and v is not None else v for n, v in r.items()})
+        return pa.array(rows, to_arrow_type(kind)).take(pa.array(at, pa.int64()))
 
     return run(rx.col(a), rx.col(b))
 

@@ -317,7 +317,8 @@ def normalize_phones(spark, d):
 def _pairs(spark, d) -> DataFrame:
     p = _t(spark, d, "part").select("p_partkey", "p_name")
     q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
-    return p.join(q, "p_partkey")
+    # as many tasks as asked for: pairs are small, so they would be put into one or two, but comparing them is work
+    return p.join(q, "p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
 
 
 _PAIRS = "(select p.p_partkey, p.p_name as a, q.p_name as b from part p join part q on q.p_partkey = p.p_partkey + 1)"

@@ -134,3 +134,24 @@ def test_trie_search_by_brute_force():
         assert sorted(tries.search(xs, most, ys)) == sorted((x, y, matching._distance(x, y)) for x, d in zip(xs, most) for y in ys if matching._distance(x, y) <= d)
         got = sorted((x, y) for x, y, _ in tries.search(xs, most, [*ys, ""], True))
         assert got == sorted((x, y) for x, d in zip(xs, most) for y in {*ys, ""} if min(matching._distance(x[:i], y) for i in range(len(x) + 1)) <= d)
+
+
+def test_pairs_are_computed_once(spark):
+    """Names are normalised for the Python functions and once more; the rest reads what is known."""
+    rows = [("José  García", "JOSE GARCIA"), ("Paco", "Francisco"), ("Fran.", "Francisco"), ("", "x"), (None, "x"), ("Ana", "Ana"), ("Smith", "Smyth"), ("Ana", "Luis")]
+    df = spark.createDataFrame(rows * 3, "a string, b string")
+    out = df.select(matching.compare_names("a", "b").alias("r")).select("r.*")
+    assert evaluated(out, "(?U)[^a-zA-Z") <= 60
+    got = [r["how"] for r in out.collect()]
+    assert got[:8] == ["similar", "abbreviation", "none", "empty", "none", "exact", "none", "none"]
+    d = df.select(matching.compare_text_detailed("a", "b").alias("d")).select("d.*").collect()
+    assert d[4]["ratio"] is None and d[5]["opcodes"][0]["operation"] == "equal" and d[:8] == d[8:16]
+    p = df.select(matching.find_common_patterns("a", "b").alias("p"))
+    assert evaluated(p, "translate(") <= 20
+    assert [None if r["p"]["lcs_length"] is None else (r["p"]["lcs_length"], round(r["p"]["similarity"], 3)) for r in p.collect()][3:8] == [(0, 0.0), None, (3, 1.0), (4, 0.8), (0, 0.0)]
+
+
+def test_pairs_are_spread(spark):
+    out = catalog.queries()["compare_names"](spark, SF)
+    out.count()
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
