@@ -56,12 +56,21 @@ def reduce_letters(c: Column | str, language: str = "en", strength: int = 1) ->
     if language == "de":
         for a, b in (("Ä", "AE"), ("Ö", "OE"), ("Ü", "UE"), ("ß", "SS")):
             out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.upper(normalize.strip_accents(out))
-    for rule in " ".join(_RULES.get(language, _RULES["en"])[:level]).split():
-        a, b = rule.split(">")
-        out = F.replace(out, F.lit(a), F.lit("" if b == "-" else b))
-    letters = rx.has(src, r"\p{L}")
-    upper = letters & (src == F.upper(src))
-    title = letters & (src == _title(src)) & (src != F.lower(src)) & ~upper
-    one_upper = letters & (src == F.upper(src))
-    return F.when(one_upper, out).when(title, _title(out)).otherwise(F.lower(out))
+    rules = " ".join(_RULES.get(language, _RULES["en"])[:level]).split()
+
+    def reduced(t: Column) -> Column:
+        for rule in rules:
+            a, b = rule.split(">")
+            t = F.replace(t, F.lit(a), F.lit("" if b == "-" else b))
+        return t
+
+    def cased(t: Column) -> Column:
+        src, out = t["src"], t["out"]
+        letters = rx.has(src, r"\p{L}")
+        # most texts are told not to be in title case by their first small word, before one is made of them
+        title = letters & ~F.rlike(src, F.lit(r"(?<!\p{L})[a-z]")) & (src == _title(src)) & (src != F.lower(src))
+        return F.when(letters & (src == t["upper"]), out).when(title, _title(out)).otherwise(F.lower(out))
+
+    # texts of ASCII alone have no accents
+    bare = rx.let(out, lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(F.upper(normalize.strip_accents(t))))
+    return rx.let(F.struct(src.alias("src"), F.upper(src).alias("upper"), reduced(bare).alias("out")), cased)

@@ -155,3 +155,13 @@ def test_pairs_are_spread(spark):
     out = catalog.queries()["compare_names"](spark, SF)
     out.count()
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_reduced_letters_of_each_case(spark):
+    from quillframe.functions import reduction
+
+    texts = ["El Queso Ñandú", "EL QUESO", "el queso", "El queso", "Zapato-Chico 1a", "1A", "É", "éa B", "ǅ X", "12", "", None, "Straße ÄÖ", "A'b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    out = df.select("k", reduction.reduce_letters("t", "es", 3).alias("o"))
+    assert evaluated(out, "translate(") <= 2 and evaluated(out, "upper(t#") <= 2
+    assert [r["o"] for r in out.orderBy("k").collect()] == ['Er Seso Nandu', 'ER SESO', 'er seso', 'er seso', 'sabado-siso 1a', '1A', 'E', 'ea v', 'ǆ s', '12', '', None, 'sdrasse ao', "a'v"]
