@@ -148,14 +148,19 @@ def _not_uniform(s: Column, n: int) -> Column:
 
 
 def is_valid_cpf(c: Column | str) -> Column:
-    s = _digits(c)
+    return rx.let(_digits(c), _cpf)
+
+
+def _cpf(s: Column) -> Column:
     check = lambda n: D.weighted(s, list(range(n + 1, 1, -1))) * 10 % 11 % 10
     return _not_uniform(s, 11) & D.digit_at(s, 9, check(9)) & D.digit_at(s, 10, check(10))
 
 
 def is_valid_cnpj(c: Column | str) -> Column:
-    s = _digits(c)
+    return rx.let(_digits(c), _cnpj)
+
 
+def _cnpj(s: Column) -> Column:
     def check(n: int) -> Column:
         rest = D.weighted(s, ([6, 5, 4, 3, 2] + list(range(9, 1, -1)))[13 - n :]) % 11
         return F.when(rest < 2, 0).otherwise(11 - rest)
@@ -189,7 +194,10 @@ def is_valid_rut(c: Column | str) -> Column:
 
 
 def is_valid_cuil(c: Column | str) -> Column:
-    s = _digits(c)
+    return rx.let(_digits(c), _cuil)
+
+
+def _cuil(s: Column) -> Column:
     rest = 11 - D.weighted(s, [5, 4, 3, 2, 7, 6, 5, 4, 3, 2]) % 11
     return _is(s, "[0-9]{11}") & D.digit_at(s, 10, F.when(rest == 11, 0).when(rest == 10, 9).otherwise(rest))
 
@@ -200,7 +208,10 @@ def is_valid_nino(c: Column | str) -> Column:
 
 
 def is_valid_portuguese_nif(c: Column | str) -> Column:
-    s = _digits(c)
+    return rx.let(_digits(c), _portuguese_nif)
+
+
+def _portuguese_nif(s: Column) -> Column:
     rest = D.weighted(s, list(range(9, 1, -1))) % 11
     return _is(s, "[1-9][0-9]{8}") & D.digit_at(s, 8, F.when(rest < 2, 0).otherwise(11 - rest))
 

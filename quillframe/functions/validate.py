@@ -52,8 +52,7 @@ def luhn_checksum(c: Column | str) -> Column:
 
 def is_valid_luhn(c: Column | str) -> Column:
     """NULL for fewer than two digits or other characters."""
-    s = _solid(c)
-    return F.when(_digits(s, "2,"), D.luhn_sum(s, False) % 10 == 0)
+    return rx.let(_solid(c), lambda s: F.when(_digits(s, "2,"), D.luhn_sum(s, False) % 10 == 0))
 
 
 def ean13_check_digit(c: Column | str) -> Column:
@@ -63,16 +62,17 @@ def ean13_check_digit(c: Column | str) -> Column:
 
 def is_valid_ean(c: Column | str) -> Column:
     """8 or 13 digits, weights 1 and 3 from the right."""
-    s = _solid(c)
-    total = F.when(F.length(s) == 13, D.weighted(s, [1, 3] * 6 + [1])).otherwise(D.weighted(s, [3, 1] * 4))
-    return F.when(_digits(s, "8") | _digits(s, "13"), total % 10 == 0).when(s.isNotNull(), False)
+    total = lambda s: F.when(F.length(s) == 13, D.weighted(s, [1, 3] * 6 + [1])).otherwise(D.weighted(s, [3, 1] * 4))
+    return rx.let(_solid(c), lambda s: F.when(_digits(s, "8") | _digits(s, "13"), total(s) % 10 == 0).when(s.isNotNull(), False))
 
 
 def is_valid_isbn(c: Column | str) -> Column:
-    s = _solid(c)
-    last = F.when(F.upper(F.substring(s, 10, 1)) == "X", 10).otherwise(D.at(s, 9))
-    ten = (D.weighted(s, list(range(10, 1, -1))) + last) % 11 == 0
-    return F.when(F.rlike(s, F.lit("^[0-9]{9}[0-9Xx]$")), ten).when(_digits(s, "13"), D.weighted(s, [1, 3] * 6 + [1]) % 10 == 0).when(s.isNotNull(), False)
+    def valid(s: Column) -> Column:
+        last = F.when(F.upper(F.substring(s, 10, 1)) == "X", 10).otherwise(D.at(s, 9))
+        ten = (D.weighted(s, list(range(10, 1, -1))) + last) % 11 == 0
+        return F.when(F.rlike(s, F.lit("^[0-9]{9}[0-9Xx]$")), ten).when(_digits(s, "13"), D.weighted(s, [1, 3] * 6 + [1]) % 10 == 0).when(s.isNotNull(), False)
+
+    return rx.let(_solid(c), valid)
 
 
 def is_valid_iban(c: Column | str) -> Column:

@@ -165,3 +165,12 @@ def test_reduced_letters_of_each_case(spark):
     out = df.select("k", reduction.reduce_letters("t", "es", 3).alias("o"))
     assert evaluated(out, "translate(") <= 2 and evaluated(out, "upper(t#") <= 2
     assert [r["o"] for r in out.orderBy("k").collect()] == ['Er Seso Nandu', 'ER SESO', 'er seso', 'er seso', 'sabado-siso 1a', '1A', 'E', 'ea v', 'ǆ s', '12', '', None, 'sdrasse ao', "a'v"]
+
+
+def test_numbers_are_cleaned_once(spark):
+    from quillframe.functions import ids, validate
+
+    df = spark.createDataFrame([("529.982.247-25", "0-306-40615-2"), ("1", ""), (None, None)], "a string, b string")
+    out = df.select(ids.is_valid_cpf("a").alias("a"), validate.is_valid_isbn("b").alias("b"))
+    assert evaluated(out, "regexp_replace") == 1 and evaluated(out, "translate(") == 1
+    assert [tuple(r) for r in out.collect()] == [(True, True), (False, False), (None, None)]
